@@ -152,7 +152,7 @@ class Pieces:
 
     def _cut(self, head: str, body: str) -> bytes:
         """Ids of a part; a last character that no piece joins to the one before it is cut off, so that the rest is looked up."""
-        if len(body) > 1 and body[-2:] not in self.inside:
+        if len(body) > 1 and body[-2] != SPACE and body[-2:] not in self.inside:
             stem = (head if head == "\n" else "") + body[:-1]
             known = self.memo.get(stem)
             if known is None:
