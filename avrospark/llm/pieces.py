@@ -65,17 +65,22 @@ class Pieces:
         rank = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
         self.rank = {p: rank[s] for p, s in score.items()}
         self.spines: dict[str, tuple[list[str], list[str]]] = {}
-        self.fits: dict[int, bool] = {}
+        self.fits: dict[int, bool] = {-1: True}
         self.base = 1 << 17
         self.names = {i: p for p, i in self.id_of.items()}
         self.sizes = {i: len(p) for p, i in self.id_of.items()}
         self.single = {p: i for p, i in self.id_of.items() if len(p) == 1}
         self.memo: dict[str, bytes] = {}
-        self.inside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
-        self.auto = ahocorasick.Automaton()
+        self.run_memo: dict[str, bytes] = {}
+        self.char_id = np.empty(0, np.int64)
+        self._grow(0x3000)
+        self.size_of = np.ones(n, np.int64)
+        for i, size in self.sizes.items():
+            self.size_of[i] = size
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in self.id_of:
             if len(p) > 1 and self.merged(p) == [p]:
-                self.auto.add_word(p, (self.id_of[p], len(p)))
+                self.auto.add_word(p, self.id_of[p])
         self.auto.make_automaton()
 
     def merged(self, piece: str) -> list[str]:
@@ -97,6 +102,7 @@ class Pieces:
         """Whether token ``b`` may follow token ``a``; characters outside the vocabulary stand as ``base`` + code point."""
         if len(self.fits) >= MEMO:
             self.fits.clear()
+            self.fits[-1] = True
         known = self.fits[a << 24 | b] = self._compatible(self._name(a), self._name(b))
         return known
 
@@ -125,10 +131,10 @@ class Pieces:
         fits, base, n = self.fits, self.base, len(part)
         last = [self.single.get(c, 0) or base + ord(c) for c in part]
         done = 0  # prefixes shorter than this have their last token
-        for end, (i, size) in self.auto.iter(part):
+        for end, i in self.auto.iter(part):
             if end < done:
                 continue
-            done, before = end, end - size
+            done, before = end, end - self.sizes[i]
             if before >= 0:
                 pair = last[before] << 24 | i
                 ok = fits[pair] if pair in fits else self.fit(last[before], i)
@@ -150,49 +156,93 @@ class Pieces:
             ids = [x for i in ids for x in ([i] if i < self.base else (self.byte_id.get(b, self.unknown) for b in chr(i - self.base).encode()))]
         return array("i", ids).tobytes()
 
-    def _cut(self, head: str, body: str) -> bytes:
-        """Ids of a part; a last character that no piece joins to the one before it is cut off, so that the rest is looked up."""
-        if len(body) > 1 and body[-2] != SPACE and body[-2:] not in self.inside:
-            stem = (head if head == "\n" else "") + body[:-1]
-            known = self.memo.get(stem)
-            if known is None:
-                known = self.memo[stem] = self._cut(head, body[:-1])
-            return known + self._ids(body[-1])
-        return self._ids(head + body) if head == SPACE else self._ids(head) + self._ids(body)
+    def tables(self, parts: list[str]) -> list[bytes]:
+        """Ids of many parts, as int32 bytes: the prefix tables of all parts are filled position by position together.
+
+        ``parts`` hold no line feed; each must be non-empty.
+        """
+        joined = "\n".join(parts)
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        start = np.cumsum(sizes + 1) - sizes - 1
+        self._grow(int(chars.max()))
+        last = self.char_id[chars]
+        found = np.fromiter((end << 20 | value for end, value in self.auto.iter(joined)), np.int64)
+        end, tok = found >> 20, found & 0xFFFFF
+        size = self.size_of[tok]
+        place = end - np.repeat(start, sizes + 1)[end] if end.size else end
+        head = size > place  # the token is the whole prefix: nothing stands before it
+        order = np.argsort(place, kind="stable")[::-1]  # the longest of a place comes last and so stays
+        end, tok, size, place, head = end[order], tok[order], size[order], place[order], head[order]
+        top = int(place[0]) if place.size else -1
+        cuts = np.searchsorted(-place, -np.arange(top + 2), side="right")  # rows with place >= p end at cuts[p]
+        fits, fit = self.fits, self.fit
+        for p in range(1, top + 1):
+            i, j = cuts[p + 1], cuts[p]
+            if i == j:
+                continue
+            e, t = end[i:j], tok[i:j]
+            pairs = np.where(head[i:j], -1, last[e - size[i:j]] << 24 | t).tolist()
+            ok = [fits[k] if k in fits else fit(k >> 24, k & 0xFFFFFF) for k in pairs]
+            good = np.array(ok, bool)
+            last[e[good]] = t[good]
+        at, path = start + sizes - 1, np.zeros(chars.size, bool)
+        while at.size:
+            path[at] = True
+            step = last[at]
+            at = at - np.where(step < self.base, self.size_of[np.minimum(step, self.size_of.size - 1)], 1)
+            at = at[(at >= 0) & (chars[np.maximum(at, 0)] != 10)]
+        ends = np.cumsum(path)
+        lo, hi = (ends[start] - path[start]).tolist(), ends[start + sizes - 1].tolist()
+        ids = last[path]
+        raw = ids.astype(np.int32).tobytes()
+        out = [raw[4 * i : 4 * j] for i, j in zip(lo, hi, strict=True)]
+        if (ids >= self.base).any():
+            for k in np.unique(np.searchsorted(np.array(hi), np.flatnonzero(ids >= self.base), side="right")).tolist():
+                out[k] = self._ids(parts[k])
+        return out
+
+    def _grow(self, code: int) -> None:
+        if code >= self.char_id.size:
+            self.char_id = np.arange(self.base, self.base + 2 * code, dtype=np.int64)
+            for c, i in self.single.items():
+                if ord(c) < self.char_id.size:
+                    self.char_id[ord(c)] = i
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        memo = self.memo
+        cuts = [t.replace("\n", " \n").split(" ") for t in texts]
+        every = set().union(*cuts)
+        missing = every - memo.keys()
+        if len(memo) + len(missing) > MEMO:
+            memo.clear()
+            missing = every
+        odd = {p for p in missing if not (body := p[1:] if p[:1] == "\n" else p) or body[0] == SPACE or body[-1] == SPACE}
+        todo = list(missing - odd)
+        if todo:
+            line = self._ids("\n")
+            for p, ids in zip(todo, self.tables([p[1:] if p[0] == "\n" else SPACE + p for p in todo]), strict=True):
+                memo[p] = line + ids if p[0] == "\n" else ids
+        return [
+            self._runs(t) if odd and not odd.isdisjoint(c) else np.frombuffer(b"".join([memo[p] for p in c]), np.int32) if t else np.empty(0, np.int32)
+            for t, c in zip(texts, cuts, strict=True)
+        ]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        memo, cut = self.memo, text.replace("\n", " \n").split(" ")
-        try:
-            return np.frombuffer(b"".join([memo[p] for p in cut]), np.int32)
-        except KeyError:
-            pass
-        plain = True
-        for p in cut:
-            if p not in memo:
-                head, body = ("\n", p[1:]) if p[:1] == "\n" else (SPACE, p)
-                if not body or body[0] == SPACE or body[-1] == SPACE or "\n" in body:
-                    plain = False
-                    continue
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[p] = self._cut(head, body)
-        if plain and all(p in memo for p in cut):
-            return np.frombuffer(b"".join([memo[p] for p in cut]), np.int32)
-        # runs of spaces and line feeds: cut the marked text itself before each run of marks and at line feeds
-        marked, out, at = SPACE + text.replace(" ", SPACE), [], 0
+        return self.encode_all([text])[0]
+
+    def _runs(self, text: str) -> np.ndarray:
+        """Texts with runs of marks: cut before each run of marks that follows another character, and at line feeds."""
+        marked, out, at, memo = SPACE + text.replace(" ", SPACE), [], 0, self.run_memo
         for i in range(1, len(marked) + 1):
             if i == len(marked) or (marked[i] == SPACE and marked[i - 1] != SPACE) or marked[i] == "\n" or marked[i - 1] == "\n":
-                part = marked[at:i]
-                at = i
-                key = f"\n\n{part}"  # apart from the keys above
-                if key not in memo:
+                part, at = marked[at:i], i
+                if part not in memo:
                     if len(memo) >= MEMO:
                         memo.clear()
-                    memo[key] = self._ids(part)
-                out.append(memo[key])
-        return np.frombuffer(b"".join(out), np.int32)
+                    memo[part] = self._ids(part)
+                out.append(memo[part])
+        return np.frombuffer(b"".join(out), np.int32) if text else np.empty(0, np.int32)
 
     def decode(self, ids) -> str:
         """Text of ids: pieces with marks as spaces, byte pieces as UTF-8 (each byte that fits none as U+FFFD), less the leading mark."""
@@ -249,7 +299,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = pieces(path)
-        ids = [p.encode(t or "") for t in batch.column(1).to_pylist()]
+        ids = p.encode_all([t or "" for t in batch.column(1).to_pylist()])
         at = np.cumsum([0, *(x.size for x in ids)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)))
         return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([p.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
