@@ -7,13 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packed, pieces, secrets, suffix
+from . import decontam, forest, jaccard, merkle, packed, pieces, secrets, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages' WARC files against a replica in which some records are damaged and some are lost, by the md5 of their ids."""
+    kept = merkle.store(table(spark, sf_dir, "pages"))
+    fate = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
+    damaged = F.when(fate == "00", F.concat(F.lit(b"\0"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
+    replica = merkle.leaves(kept.where(fate != "01").withColumn("record", damaged))
+    records = merkle.leaves(kept)
+    found = merkle.audit(records, replica)
+    return records.join(found, ["warc_file", "warc_offset"], "left").withColumn("status", F.coalesce("status", F.lit("ok")))
+
+
+OP3_SQL = """
+WITH r AS (
+  SELECT page_id, page_id // 1000 AS warc_file,
+    'WARC/1.0' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e
+      || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS record,
+    substr(md5(page_id::VARCHAR), 1, 2) AS fate
+  FROM pages, (SELECT chr(13) || chr(10) AS e))
+SELECT warc_file, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS warc_offset,
+  page_id, strlen(record) AS warc_length, sha256(record) AS record_sha256,
+  CASE fate WHEN '00' THEN 'corrupt' WHEN '01' THEN 'missing' ELSE 'ok' END AS status
+FROM r
+"""
+
+
 def op4_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = packed.write(table(spark, sf_dir, "documents"))
     return packed.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -57,6 +82,11 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return forest.search(rows, rows.where("vec_id % 50 = 0"))  # the stated queries; every row is a candidate
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -72,12 +102,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_bit_packing": op4_bit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc_fixity": OP3_SQL}
