@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, forest, jaccard, merkle, packed, pieces, secrets, suffix
+from . import decontam, forest, jaccard, maxent, merkle, packed, pieces, secrets, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits the pages' WARC files against a replica in which some records are damaged and some are lost, by the md5 of their ids."""
     kept = merkle.store(table(spark, sf_dir, "pages"))
@@ -102,6 +106,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxent_scoring": op1_maxent_scoring,
     "op3_warc_fixity": op3_warc_fixity,
     "op4_bit_packing": op4_bit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
