@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, forest, jaccard, maxent, merkle, packed, pieces, secrets, suffix
+from . import decontam, forest, jaccard, langid, maxent, merkle, packed, pieces, secrets, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; the text model is fitted on a bounded sample of the labelled documents."""
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    pages = table(spark, sf_dir, "pages").withColumn("page_text", langid.page_text(F.col("html")))
+    told = langid.identify(pages, model, text_col="page_text", keep=["page_id"], **langid.page_clues(F.col("url"), F.col("html")))
+    return told.select("row.page_id", "lang", "probability")
+
+
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits the pages' WARC files against a replica in which some records are damaged and some are lost, by the md5 of their ids."""
     kept = merkle.store(table(spark, sf_dir, "pages"))
@@ -107,6 +115,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxent_scoring": op1_maxent_scoring,
+    "op2_language_id": op2_language_id,
     "op3_warc_fixity": op3_warc_fixity,
     "op4_bit_packing": op4_bit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
