@@ -11,7 +11,7 @@ import glob
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,6 +27,11 @@ from ..schema.spark_types import _spark, from_spark_type
 SPLIT_BYTES = 32 << 20
 
 
+def plain(options: Mapping) -> dict:
+    """Options by their names in lower case, as Spark hands them over."""
+    return {k.lower(): v for k, v in options.items()}
+
+
 def local(path: str) -> str:
     return path[len("file:") :].replace("//", "/", 1) if path.startswith("file:/") else path
 
@@ -101,7 +106,7 @@ def decode_run(run: BlockRun, fields: list[str] | None, errors: str, verify: boo
 
 
 def _flag(options: dict, name: str, default: bool) -> bool:
-    return str(options.get(name, default)).lower() == "true"
+    return str(options.get(name.lower(), default)).lower() == "true"
 
 
 class _Common:
@@ -110,14 +115,14 @@ class _Common:
     def setup(self) -> None:
         o = self.options
         self.fields = json.loads(o["fields"]) if "fields" in o else None
-        self.errors = o.get("handleUnicodeErrors", "strict")
+        self.errors = o.get("handleunicodeerrors", "strict")
         self.verify, self.lenient = _flag(o, "verifyCrc", True), _flag(o, "ignoreBadWriterDefaults", False)
-        self.split = int(o.get("splitBytes", SPLIT_BYTES))
+        self.split = int(o.get("splitbytes", SPLIT_BYTES))
 
 
 class AvroReader(DataSourceReader, _Common):
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = plain(options)
         self.setup()
 
     def partitions(self) -> list[BlockRun]:
@@ -131,7 +136,7 @@ class AvroStreamReader(DataSourceStreamReader, _Common):
     """A folder as a stream: an offset is the set of files seen so far."""
 
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = plain(options)
         self.setup()
 
     def initialOffset(self) -> dict:
@@ -155,12 +160,12 @@ class Written(WriterCommitMessage):
 
 class AvroWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
-        self.options, self.overwrite = dict(options), overwrite
+        self.options, self.overwrite = plain(options), overwrite
         o = self.options
         self.path = local(o["path"])
-        given = o.get("avroSchema")
-        made = parse_schema(given) if given else parse_schema(from_spark_type(schema, o.get("recordName", "topLevelRecord"), o.get("recordNamespace", "")))
-        self.codec, self.level = o.get("codec", "null"), int(o["codecLevel"]) if "codecLevel" in o else None
+        given = o.get("avroschema")
+        made = parse_schema(given) if given else parse_schema(from_spark_type(schema, o.get("recordname", "topLevelRecord"), o.get("recordnamespace", "")))
+        self.codec, self.level = o.get("codec", "null"), int(o["codeclevel"]) if "codeclevel" in o else None
         before = [] if overwrite or not os.path.isdir(self.path) else list_files(self.path)
         if before:  # what is appended takes the schema and codec of what is there
             with open_file(before[0]) as f:
@@ -170,7 +175,7 @@ class AvroWriter(DataSourceArrowWriter):
 
         self.schema_text = json.dumps(whole(made))
         header_bytes(made, self.codec, b"\0" * 16)  # an unknown codec fails here
-        self.interval = int(o.get("syncInterval", 16000))
+        self.interval = int(o.get("syncinterval", 16000))
         self.metadata = {k[len("metadata.") :]: v for k, v in o.items() if k.startswith("metadata.")}
         self.strict, self.allow = _flag(o, "strict", False), _flag(o, "strictAllowDefault", False)
 
@@ -243,7 +248,7 @@ class AvroSource(DataSource):
         return "avro_native"
 
     def schema(self) -> StructType:
-        o = dict(self.options)
+        o = plain(self.options)
         return table_type(first_header(o).schema(_flag(o, "ignoreBadWriterDefaults", False)), json.loads(o["fields"]) if "fields" in o else None)
 
     def reader(self, schema: StructType) -> AvroReader:
@@ -254,11 +259,11 @@ class AvroSource(DataSource):
 
     def _with_fields(self, schema: StructType) -> dict:
         """A schema that the user gives prunes: only its columns are decoded."""
-        o = dict(self.options)
+        o = plain(self.options)
         return o if "fields" in o or schema.names == ["value"] else {**o, "fields": json.dumps(schema.names)}
 
     def writer(self, schema: StructType, overwrite: bool) -> AvroWriter:
-        return AvroWriter(dict(self.options), schema, overwrite)
+        return AvroWriter(plain(self.options), schema, overwrite)
 
 
 BLOCK_TYPE = "path string, block int, offset long, size long, num_records long, codec string, schema string, data binary"
@@ -266,7 +271,7 @@ BLOCK_TYPE = "path string, block int, offset long, size long, num_records long,
 
 class BlocksReader(DataSourceReader, _Common):
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = plain(options)
         self.setup()
 
     def partitions(self) -> list[BlockRun]:
@@ -294,4 +299,4 @@ class BlocksSource(DataSource):
         return BLOCK_TYPE
 
     def reader(self, schema: StructType) -> BlocksReader:
-        return BlocksReader(dict(self.options))
+        return BlocksReader(plain(self.options))
