@@ -115,6 +115,8 @@ class Encoder:
             arr = arr.combine_chunks()
         node = self.schema.get(self.schema.root if node is None else node)
         n = len(arr)
+        if not n:
+            return Rows(np.zeros(0, np.int64), np.empty(0, np.uint8))
         if isinstance(node, Union):
             return self.union(arr, node, at)
         if isinstance(node, Primitive) and node.type == "null":
@@ -200,7 +202,7 @@ class Encoder:
         if (one := optional(node)) is not None:
             null_at, other = one
             if not arr.null_count:
-                return weave([varint(np.full(n, 1 - null_at)), self.rows(arr, other, at)], n) if n else Rows(np.zeros(0, np.int64), np.empty(0, np.uint8))
+                return weave([varint(np.full(n, 1 - null_at)), self.rows(arr, other, at)], n)
             there = arr.is_valid().to_numpy(zero_copy_only=False)
             body = self.rows(arr.drop_null(), other, at)
             return weave([varint(np.where(there, 1 - null_at, null_at)), spread(body, np.flatnonzero(there), n)], n)
