@@ -25,6 +25,7 @@ from ..schema.model import AvroSchema, parse_schema
 from ..schema.spark_types import _spark, from_spark_type
 
 SPLIT_BYTES = 32 << 20
+LEAST_SPLIT = 1 << 19
 
 
 def plain(options: Mapping) -> dict:
@@ -66,17 +67,23 @@ class BlockRun(InputPartition):
     files: list
 
 
-def run_blocks(files: list[str], split: int) -> list[BlockRun]:
-    out, some, size = [], [], 0
+def run_blocks(files: list[str], split: int, least: int = 1) -> list[BlockRun]:
+    """Runs of about ``split`` bytes, smaller if there would be fewer than ``least`` of them."""
+    found: list[tuple[str, list]] = []
     for path in files:
-        mine: list = []
         with open_file(path) as f:
-            for b in blocks(f, read_header(f)):
-                mine.append((b.offset, b.size, b.start, b.length, b.count))
-                size += b.size
-                if size >= split:
-                    out.append(BlockRun([*some, (path, mine)]))
-                    some, mine, size = [], [], 0
+            found.append((path, [(b.offset, b.size, b.start, b.length, b.count) for b in blocks(f, read_header(f))]))
+    total = sum(b[1] for _, mine in found for b in mine)
+    split = max(1, min(split, max(total // max(1, least), LEAST_SPLIT)))
+    out, some, size = [], [], 0
+    for path, every in found:
+        mine: list = []
+        for b in every:
+            mine.append(b)
+            size += b[1]
+            if size >= split:
+                out.append(BlockRun([*some, (path, mine)]))
+                some, mine, size = [], [], 0
         if mine:
             some.append((path, mine))
     return [*out, BlockRun(some)] if some else out
@@ -117,7 +124,7 @@ class _Common:
         self.fields = json.loads(o["fields"]) if "fields" in o else None
         self.errors = o.get("handleunicodeerrors", "strict")
         self.verify, self.lenient = _flag(o, "verifyCrc", True), _flag(o, "ignoreBadWriterDefaults", False)
-        self.split = int(o.get("splitbytes", SPLIT_BYTES))
+        self.split, self.least = int(o.get("splitbytes", SPLIT_BYTES)), int(o.get("minpartitions", 1))
 
 
 class AvroReader(DataSourceReader, _Common):
@@ -126,7 +133,7 @@ class AvroReader(DataSourceReader, _Common):
         self.setup()
 
     def partitions(self) -> list[BlockRun]:
-        return run_blocks(pick_files(self.options), self.split) or [BlockRun([])]
+        return run_blocks(pick_files(self.options), self.split, self.least) or [BlockRun([])]
 
     def read(self, partition: BlockRun) -> Iterator[pa.RecordBatch]:
         yield from decode_run(partition, self.fields, self.errors, self.verify, self.lenient)
@@ -146,7 +153,7 @@ class AvroStreamReader(DataSourceStreamReader, _Common):
         return {"files": list_files(self.options["path"])}
 
     def partitions(self, start: dict, end: dict) -> list[BlockRun]:
-        return run_blocks(sorted(set(end["files"]) - set(start["files"])), self.split)
+        return run_blocks(sorted(set(end["files"]) - set(start["files"])), self.split, self.least)
 
     def read(self, partition: BlockRun) -> Iterator[pa.RecordBatch]:
         yield from decode_run(partition, self.fields, self.errors, self.verify, self.lenient)
@@ -275,7 +282,7 @@ class BlocksReader(DataSourceReader, _Common):
         self.setup()
 
     def partitions(self) -> list[BlockRun]:
-        return run_blocks(pick_files(self.options), self.split) or [BlockRun([])]
+        return run_blocks(pick_files(self.options), self.split, self.least) or [BlockRun([])]
 
     def read(self, partition: BlockRun) -> Iterator[tuple]:
         for path, found in partition.files:

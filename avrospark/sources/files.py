@@ -62,7 +62,7 @@ def read_avro(spark: SparkSession, path: str, reader_schema: Any = None, **optio
     frames = []
     for text, files in groups.items():
         ws = parse_schema(json.loads(text), ignore_default_errors=lenient)
-        scan = spark.read.format("avro_native").option("files", json.dumps(files)).options(**{k: str(v) for k, v in options.items()})
+        scan = spark.read.format("avro_native").option("files", json.dumps(files)).option("minPartitions", spark.sparkContext.defaultParallelism).options(**{k: str(v) for k, v in options.items()})
         if lenient:
             scan = scan.option("ignoreBadWriterDefaults", "true")
         if rs is None:
