@@ -64,7 +64,10 @@ class TextModel:
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 2000) -> TextModel:
     """The text model from at most ``train_rows`` labelled rows."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    some = rows.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(train_rows).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).collect()
+    rows = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
+    # the hashes first, so that texts of the chosen rows alone travel
+    last = rows.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    some = [r[1:] for r in sorted(rows.where(F.col("h") <= F.lit(last)).limit(2 * train_rows).collect())[:train_rows]] if last is not None else []
     languages = sorted({r[0] for r in some})
     counts = np.full((len(languages), TABLE), 0.5)
     for lang, text in some:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Entries of each memo; it is emptied when full, which changes speed and never results.
-MEMO = 500_000
+MEMO = 300_000
 SPACE = "▁"
 NEVER = 1 << 60
 

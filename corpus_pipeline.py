@@ -43,7 +43,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.scan(docs)
     text = secrets.redacted(F.col("row.text"), F.col("spans"))
     new = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
-    return found.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+    # one struct, so that a column of the documents named like one of the scan's is no alias for it
+    return found.select(F.struct(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)).alias("row")).select("row.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
