@@ -223,6 +223,11 @@ BACK = pa.schema([("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
+def shards_of(buckets: int) -> int:
+    """Shards are smaller than buckets: a sort needs some 150 bytes of memory for each byte of its pieces."""
+    return 8 * buckets
+
+
 def _cat(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table[name].to_pylist()), dtype)
 
@@ -310,7 +315,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                         had[2] = doc_id
         shards: dict[int, list] = {}
         for h, (k, raw, doc_id) in found.items():
-            shards.setdefault((k & 0xFFFFFFFF) % buckets, []).append((h, raw, doc_id))
+            shards.setdefault((k & 0xFFFFFFFF) % shards_of(buckets), []).append((h, raw, doc_id))
         block = left["block"][0].as_py() if left.num_rows else None
         rows = [
             {"shard": s, "block": block, "bytes": b"".join(x[1] for x in some), "sizes": np.array([len(x[1]) for x in some], np.uint32).tobytes(), "hashes": np.array([x[0] for x in some], np.uint64).tobytes(), "docs": np.array([x[2] for x in some], np.int64).tobytes()}
