@@ -10,7 +10,6 @@ ever holds a list of the documents of one key.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,32 +17,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import scratch
+from ..shared import shared_dir as shared_dir
+
 #: Documents of one block: consecutive ids, so that a block's rows mostly share a scan task.
 BLOCK_DOCS = 4096
 #: Rows of an Arrow batch that are worked on at once.
 SLICE = 512
 
-WORD = rb"[^\x20\x09-\x0D]+"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, else one set here for local runs."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = at.get() if at.isDefined() else None
-    if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="avrospark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: it cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -67,7 +54,7 @@ def texts(col: pa.Array) -> list[bytes]:
 
 
 def block_of(doc_id: Column, docs: int = BLOCK_DOCS) -> Column:
-    """Block of a document; ids that are null or not integral go by their hash."""
+    """Block of a document; those without an id are one block."""
     return F.coalesce(F.floor(doc_id.cast("double") / docs).cast("long"), F.lit(-1))
 
 

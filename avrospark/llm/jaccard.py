@@ -4,7 +4,7 @@ Documents are sets of distinct word shingles. Two link at ``similarity`` (in hun
 of Jaccard; the result is one row per document with the smallest id that links reach. The steps:
 
 1. A necessary condition, exact for any data. In hash order the first n - T + c shingles of two
-   linked sets share at least c' of them (T: overlap required of a set of n; c: a 15 % reserve).
+   linked sets share at least c' of them (T: overlap required of a set of n; c: a reserve of half the set).
    Prefixes go, combined per block of documents, to hash buckets that count them; each block gets
    the counts back. A document of which too few prefix shingles occur elsewhere links with nothing.
 2. Equal sets become one representative, by map-side minima over a 128-bit signature.
@@ -37,11 +37,9 @@ from .common import (
     ENTRY_ARROW,
     LOWER,
     block_of,
-    by_bucket,
     mix,
     parts,
     rows_batch,
-    summed,
     texts,
     word_hashes,
     written,
@@ -70,7 +68,7 @@ def required(n: int, similarity: int) -> int:
 
 
 def reserve(n: int) -> int:
-    return 1 + n * 15 // 100
+    return 1 + n // 2
 
 
 def prefix(n: int, similarity: int) -> int:
@@ -82,6 +80,11 @@ def needed(n: int, similarity: int) -> int:
     return reserve(required(n, similarity))
 
 
+def keys_of(s: np.ndarray, buckets: int) -> np.ndarray:
+    """Shingles as hash bucket and 32 more bits; two that fall together only count as more frequent."""
+    return (s >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | s & np.uint64(0xFFFFFFFF)
+
+
 SETS = "doc_id long, n long, s1 long, s2 long, shingles binary, kept array<long>"
 SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.binary()), ("kept", pa.list_(pa.int64()))])
 
@@ -95,28 +98,34 @@ def candidate_sets(docs: DataFrame, size: int, similarity: int) -> DataFrame:
             rows, per = [], {}
             for block, raw in zip(b.column(0).to_pylist(), texts(b.column(2)), strict=True):
                 s = shingles(raw, size)
-                per.setdefault(block, []).append(s[: prefix(s.size, similarity)])
+                per.setdefault(block, []).append(keys_of(s[: prefix(s.size, similarity)], buckets))
             for block, sets in per.items():
                 keys, times = np.unique(np.concatenate(sets), return_counts=True)
-                if keys.size:
-                    rows += by_bucket(block, keys, times, buckets)
+                bucket = (keys >> np.uint64(32)).astype(np.int64)
+                at = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for i, j in zip(at, [*at[1:], keys.size], strict=True):
+                    rows.append({"bucket": int(bucket[i]), "block": block, "keys": keys[i:j].astype(np.uint32).tobytes(), "vals": np.packbits(times[i:j] > 1).tobytes()})
             if rows:
                 yield rows_batch(rows, ENTRY_ARROW)
 
     def answer(table: pa.Table) -> pa.Table:
-        _, total, where, at = summed(table)
-        rows = []
-        for i, block in enumerate(table["block"].to_pylist()):
-            keys = np.frombuffer(table["keys"][i].as_py(), np.uint64)
-            count = total[where[at[i] : at[i + 1]]]
+        # a key counts once for each batch of documents that has it, twice for one with several of them
+        keys = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
+        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=k.size) for x, k in zip(table["vals"].to_pylist(), keys, strict=True)]
+        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.minimum(np.bincount(where, weights=1 + np.concatenate(many), minlength=distinct.size), 255).astype(np.uint8)[where]
+        rows, at, top = [], 0, np.uint64(table["bucket"][0].as_py() << 32)
+        for block, k in zip(table["block"].to_pylist(), keys, strict=True):
+            count = total[at : at + k.size]
+            at += k.size
             shared = count > 1
             if shared.any():
-                rows.append({"block": block, "keys": keys[shared].tobytes(), "vals": np.minimum(count[shared], 0xFFFFFFFF).astype(np.uint32).tobytes()})
+                rows.append({"block": block, "keys": (k[shared].astype(np.uint64) | top).tobytes(), "vals": count[shared].tobytes()})
         return pa.Table.from_pylist(rows, schema=ANSWER_ARROW)
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right["keys"].to_pylist())])
-        vals = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in right["vals"].to_pylist())])
+        vals = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in right["vals"].to_pylist())])
         keys, first = np.unique(keys, return_index=True)
         vals = vals[first].astype(np.int64)
         rows = []
@@ -128,7 +137,7 @@ def candidate_sets(docs: DataFrame, size: int, similarity: int) -> DataFrame:
             rows.append(row)
             if not n or not keys.size or doc_id is None:
                 continue
-            p = s[: prefix(n, similarity)]
+            p = keys_of(s[: prefix(n, similarity)], buckets)
             at = np.minimum(np.searchsorted(keys, p), keys.size - 1)
             known = keys[at] == p
             shared = int(known.sum())
@@ -151,12 +160,12 @@ class Links:
         order = sorted(range(len(ids)), key=lambda i: (sets[i].size, ids[i]))
         self.order, self.similarity = order, similarity
         self.sets = [sets[i] for i in order]
-        self.parent = list(range(len(ids)))
+        self.root = np.arange(len(ids))  # the component of each set, by its first set
         first: dict[int, int] = {}
         for at, i in enumerate(order):  # rows of one id, or of one label, are together from the start
             for key in {ids[i], *([labels[i]] if labels else [])}:
                 self.join(first.setdefault(key, at), at)
-        sizes = np.array([s.size for s in self.sets], np.int64)
+        sizes = self.size = np.array([s.size for s in self.sets], np.int64)
         doc = np.repeat(np.arange(len(ids)), sizes)
         token = np.concatenate(self.sets) if self.sets else np.empty(0, np.uint64)
         by_token = np.argsort(token, kind="stable")
@@ -171,15 +180,12 @@ class Links:
         self.penalty = 0.0085 * np.log2(max(2, longest)) + 1
 
     def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+        return int(self.root[i])
 
     def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.parent[max(i, j)] = min(i, j)
+        a, b = self.root[i], self.root[j]
+        if a != b:
+            self.root[self.root == max(a, b)] = min(a, b)
 
     def search(self, i: int) -> None:
         """Joins set ``i`` with what it links with among the sets before it, which are no larger."""
@@ -193,28 +199,34 @@ class Links:
         size, head = size[some], head[some]
         by_size = np.argsort(size, kind="stable")
         size, head = size[by_size], head[by_size]
-        n_long = min(int(need / self.penalty), need - 1)
+        n_long = min(int(need / self.penalty) // 2, need - 1)  # half of the customary number: merging is vectorised here
         short = size.size - n_long
         ends = np.cumsum(size[:short])
         merged = self.lists[np.repeat(head[:short] - ends + size[:short], size[:short]) + np.arange(ends[-1])]
-        found, times = np.unique(merged, return_counts=True)
-        enough = times >= need - n_long
-        found, times = found[enough], times[enough]
-        for k in np.argsort(-times, kind="stable").tolist():
-            j, have = int(found[k]), int(times[k])
-            m = self.sets[j].size
-            if 100 * m < self.similarity * n or self.find(i) == self.find(j):
-                continue
-            for left in range(n_long):  # binary probes of the long lists
-                h, z = head[short + left], size[short + left]
-                one = self.lists[h : h + z]
-                at = int(np.searchsorted(one, j))
-                have += at < z and one[at] == j
-                if have + n_long - left - 1 < need:
-                    break
-            if 100 * have >= self.similarity * (n + m - have):
+        times = np.bincount(merged, minlength=1)
+        found = np.flatnonzero(times >= need - n_long)
+        found = found[(self.root[found] != self.root[i]) & (100 * self.size[found] >= self.similarity * n)]
+        found = found[np.argsort(-times[found], kind="stable")]
+        root = self.root[found]
+        best = np.unique(root, return_index=True)[1]  # the likeliest of each component first
+        rest = np.delete(found, best)
+        for some in (found[best], rest):
+            some = some[self.root[some] != self.root[i]]  # the rest of a joined component is settled
+            for j in some[self._linked(some, times[some], n, size[short:], head[short:])].tolist():
                 self.join(i, j)
 
+    def _linked(self, some: np.ndarray, have: np.ndarray, n: int, size: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Which of ``some`` reach the overlap: binary probes of the long lists, for all that still can."""
+        need, have, live = required(n, self.similarity), have.astype(np.int64), np.arange(some.size)
+        for k, (h, z) in enumerate(zip(head.tolist(), size.tolist(), strict=True)):
+            if not live.size:
+                break
+            one, j = self.lists[h : h + z], some[live]
+            have[live] += one[np.minimum(one.searchsorted(j), z - 1)] == j
+            if k % 8 == 7:
+                live = live[have[live] + size.size - k - 1 >= need]
+        return 100 * have >= self.similarity * (n + self.size[some] - have)
+
     def labels(self, ids: list[int]) -> list[int]:
         low: dict[int, int] = {}
         for at, i in enumerate(self.order):
