@@ -23,9 +23,9 @@ among themselves; a long text is never cut; an empty table gives no rows; ids ou
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +40,7 @@ MAGIC, HEAD = b"TPK1", struct.Struct(">4sIQQQQ")
 #: Ids of a block; a multiple of 8, so that blocks are whole bytes at any width.
 BLOCK = 4096
 NULL_ID = -(1 << 63)
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 def width(vocabulary: int) -> int:
@@ -117,9 +117,9 @@ class Encoder:
     """The tokenizers library over parts of texts, each part encoded once and kept in a bounded memo.
 
     A byte-level pre-tokenizer always begins a token at a single space or line feed between two
-    characters that are no white space, so texts are cut there; others are cut only at such places."""
+    characters that are no white space, so texts are cut there; texts with other white space are encoded whole."""
 
-    CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+    STOPS = ",.;:!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -127,9 +127,30 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
+        added = {t.content for t in self.lib.get_added_tokens_decoder().values()}
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character for each of its bytes
+        for t, i in vocab.items():
+            self.bytes_of[i] = len(t.encode()) if t in added else len(t)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _encode_joined(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that each begin with a safe cut: encoded behind one another, and cut again where their bytes end."""
+        if not chunks:
+            return []
+        sizes = np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks))
+        lines = ["".join(chunks[i : i + 2048]) for i in range(0, len(chunks), 2048)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(lines, add_special_tokens=False)])
+        reached = np.cumsum(self.bytes_of[ids])
+        ends = np.cumsum(sizes)
+        stop = np.searchsorted(reached, ends) + 1
+        if reached[-1] != ends[-1] or (reached[stop - 1] != ends).any():
+            return self._encode(chunks)
+        raw, at = ids.tobytes(), [0, *(stop * 4).tolist()]
+        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         memo = self.memo
@@ -144,13 +165,20 @@ class Encoder:
             memo.clear()
             missing = every
         odd = {p for p in missing if not (body := p[1:] if p[:1] in ("\n", " ") else p) or body[0].isspace() or body[-1].isspace()}
-        todo = list(missing - odd)
-        for p, ids in zip(todo, self._encode([p if p[0] == "\n" else p[1:] if p[0] == " " else " " + p for p in todo]), strict=True):
-            memo[p] = ids
+        # a letter never shares a token with stops behind it: the part without them is looked up, or encoded once
+        stems = {p: q for p in missing - odd if p[-1] in self.STOPS and (q := p.rstrip(self.STOPS)) and q[-1].isalpha()}
+        todo = list(((missing - odd - stems.keys()) | set(stems.values())) - memo.keys())
+        heads, others = [p for p in todo if p[0] == " "], [p for p in todo if p[0] != " "]
+        memo.update(zip(heads, self._encode([p[1:] for p in heads]), strict=True))
+        memo.update(zip(others, self._encode_joined([p if p[0] == "\n" else " " + p for p in others]), strict=True))
+        tails = {p[len(q) :] for p, q in stems.items()} - self.stops.keys()
+        self.stops.update(zip(tails, self._encode(list(tails)), strict=True))
+        for p, q in stems.items():
+            memo[p] = memo[q] + self.stops[p[len(q) :]]
         out = []
         for t, c in zip(texts, cuts, strict=True):
             if odd and not odd.isdisjoint(c):
-                raw = b"".join(self._encode(self.CUT.split(t))) if t else b""
+                raw = self._encode([t])[0] if t else b""
             else:
                 raw = b"".join([memo[p] for p in c])
             out.append(np.frombuffer(raw, np.uint32))
