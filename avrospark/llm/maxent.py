@@ -2,17 +2,20 @@
 
 Counts. Blocks of documents send each of their words once, with its training count, to hash buckets that sum
 them; every block gets the corpus counts of its words back. Only sums, the number of distinct words and the
-``head`` most frequent words reach the driver, as many rows as there are buckets.
+most frequent words reach the driver, as many rows as there are buckets.
 
-Model. The head words are dealt into classes; all other words, known or not, are the tail class.
-P(word | history) = P(class | history) * P(word | class, history); in the tail the second factor is the smoothed
-unigram share. Both softmaxes read rows of weight tables by hashed features of the history: a bias, the
-last word, the last two, and the words two and three back (skips).
+Model. Of V distinct words the V ** 0.75 most frequent ones (``classes * width`` at least) are predicted from the history.
+The first ``classes * width`` are dealt into classes: P(word | history) = P(class | history) * P(word | class, history).
+The others hang below one more class, the tail, in a tree of ``width`` branches a node, as deep as their number needs; one
+branch of its top is the rest, rarer and unknown words, whose last factor is the smoothed unigram share. All
+softmaxes read rows of weight tables by hashed features of the history: a bias, the last word, the last two, and the words
+two and three back (skips). Features hash the 64-bit hash of every word, whether it is predicted or not.
 
 Training is by distributed gradient updates: in each of ``rounds`` rounds, every task takes AdaGrad steps on
 minibatches of its part of a disjoint share of all training documents, from the same weights; the changes
-are averaged by tokens in a tree of groups. All training documents are used once, and
-what is gathered grows with the tasks. The model's size is fixed by ``rows``, ``classes`` and ``width``.
+are averaged by tokens in a tree of groups. All training documents are used once, by at most two tasks a core, so that
+what is gathered grows with the cores and the model. The tables have ``rows`` rows, or 8192 a million training tokens
+to the power of 0.5 if that is more, and a row for each node of the tree.
 
 Scoring is in numpy batches of tokens that read only the table rows of their features.
 
@@ -35,7 +38,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, block_of, by_bucket, mix, parts, summed, texts, word_hashes, written
 
 END = np.uint64(1)
+BEGIN = np.uint64(2)
 BATCH = 16384
+#: Tokens scored at once: their logits stay in the cache.
+SCORED = 4096
 LN10 = float(np.log(10))
 
 
@@ -48,53 +54,62 @@ def crc(doc_id) -> int:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
 
 
+def ranged(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of codes as numbers under ``size``."""
+    return ((mix(codes) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+
+
 @dataclass
 class Model:
     """Weights and what is known of the vocabulary; ``train_tokens`` is N, ``distinct`` V."""
 
-    keys: np.ndarray  # hashes of the head words, ascending
-    place: np.ndarray  # class (1..) * width + slot of each
+    keys: np.ndarray  # hashes of the predicted words, ascending
+    rank: np.ndarray  # rank by frequency of each, from 0
     classes: int
     width: int
     rows: int
     by_class: np.ndarray  # rows x (classes + 1)
-    by_word: np.ndarray  # rows x width, of a feature and a class
+    by_word: np.ndarray  # (nodes + rows) x width: biases of the nodes, then rows of a feature and a node
     train_tokens: int
     distinct: int
-    head_tokens: int
+    head_tokens: int  # tokens of predicted words
 
-    def heads(self, words: np.ndarray) -> np.ndarray:
-        """Index of each word among the head words, or their number."""
+    def ranks(self, words: np.ndarray) -> np.ndarray:
+        """Rank of each word, or the number of predicted words."""
         if not self.keys.size:
             return np.zeros(words.size, np.int64)
         at = np.minimum(np.searchsorted(self.keys, words), self.keys.size - 1)
-        return np.where(self.keys[at] == words, at, self.keys.size)
+        return np.where(self.keys[at] == words, self.rank[at], self.keys.size)
 
-    def features(self, head: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def features(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Rows of the tables: five a token; documents lie one behind the other."""
-        n, begin = head.size, self.keys.size + 1
+        n = words.size
         start = np.repeat(np.cumsum(lengths) - lengths, lengths)
         back = np.arange(n) - start
-        h = [np.where(back >= k, head[np.maximum(np.arange(n) - k, 0)], begin).astype(np.uint64) for k in (1, 2, 3)]
-        base = np.uint64(1 << 20)
-        codes = (h[0] + base, h[0] * base + h[1] + base * base, h[1] + base * np.uint64(2), h[2] + base * np.uint64(3))
+        h = [np.where(back >= k, words[np.maximum(np.arange(n) - k, 0)], BEGIN) for k in (1, 2, 3)]
+        codes = (h[0], mix(h[0]) * np.uint64(3) + h[1], h[1] + np.uint64(1 << 33), h[2] + np.uint64(1 << 34))
         out = np.zeros((n, 5), np.int64)
         for k, c in enumerate(codes):
-            out[:, k + 1] = 1 + (mix(c) % np.uint64(self.rows - 1)).astype(np.int64)
+            out[:, k + 1] = 1 + ranged(c, self.rows - 1)
         return out
 
-    def second(self, rows: np.ndarray, of_class: np.ndarray) -> np.ndarray:
-        """Rows of the table inside classes, for features and a class."""
-        got = mix(rows.astype(np.uint64) * np.uint64(4096) + of_class.astype(np.uint64)[:, None])
-        out = self.classes + 1 + (got % np.uint64(self.rows - self.classes - 1)).astype(np.int64)
-        out[:, 0] = of_class  # the bias of each class
+    def second(self, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Rows of the table inside nodes, for features and a node."""
+        nodes = self.by_word.shape[0] - self.rows
+        out = np.empty(rows.shape, np.int64)
+        out[:, 0] = node  # the bias of each node
+        out[:, 1:] = nodes + ranged((rows[:, 1:].astype(np.uint64) << np.uint64(32)) + node.astype(np.uint64)[:, None], self.rows)
         return out
 
+    def steps(self, rank: np.ndarray):
+        """The class of each word, and (which words, node, slot) of every step below; the rest stops at the top of the tail."""
+        return steps(rank, self.keys.size, self.classes, self.width)
+
     @staticmethod
     def logs(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        z = table[rows[:, 0]].copy()
+        z = table.take(rows[:, 0], axis=0)
         for k in range(1, rows.shape[1]):
-            z += table[rows[:, k]]
+            z += table.take(rows[:, k], axis=0)
         z -= z.max(axis=1, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
@@ -102,36 +117,66 @@ class Model:
     def score(self, words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of each token, given the corpus counts of the words."""
         out = np.empty(words.size)
-        head = self.heads(words)
-        rows = self.features(head, lengths)
-        place = np.append(self.place, 0)[head]
-        tail_total = self.train_tokens - self.head_tokens + 0.5 * (self.distinct - self.keys.size + 1)
-        for at in range(0, words.size, BATCH):
-            r, p, c = rows[at : at + BATCH], place[at : at + BATCH], counts[at : at + BATCH]
-            cls = p // self.width
-            first = self.logs(self.by_class, r)[np.arange(p.size), cls].astype(float)
-            inside = np.log((c + 0.5) / tail_total)
-            known = np.flatnonzero(cls)
-            if known.size:
-                inside[known] = self.logs(self.by_word, self.second(r[known], cls[known]))[np.arange(known.size), p[known] % self.width]
-            out[at : at + BATCH] = (first + inside) / LN10
+        rank, rows = self.ranks(words), self.features(words, lengths)
+        rest_total = self.train_tokens - self.head_tokens + 0.5 * (self.distinct - self.keys.size + 1)
+        for at in range(0, words.size, SCORED):
+            r, w, c = rows[at : at + SCORED], rank[at : at + SCORED], counts[at : at + SCORED]
+            cls, below = self.steps(w)
+            total = self.logs(self.by_class, r)[np.arange(w.size), cls].astype(float)
+            for which, node, slot in below:
+                total[which] += self.logs(self.by_word, self.second(r[which], node))[np.arange(which.size), slot]
+            rest = np.flatnonzero(w >= self.keys.size)
+            total[rest] += np.log((c[rest] + 0.5) / rest_total)
+            out[at : at + SCORED] = total / LN10
         return out
 
 
+def levels(words: int, classes: int, width: int) -> list[int]:
+    """First node of each level of the tail's tree and the number of all nodes; 0 is no node, 1.. are the classes."""
+    tail = words - classes * width
+    at = [classes + 1]
+    if tail > 0:
+        depth = 1
+        while (width - 1) * width ** (depth - 1) < tail:
+            depth += 1
+        at.append(classes + 2)
+        for j in range(1, depth):
+            at.append(at[-1] + (tail - 1) // width ** (depth - j) + 1)
+    return at
+
+
+def steps(rank: np.ndarray, words: int, classes: int, width: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    at, head = levels(words, classes, width), classes * width
+    inner, depth = rank < min(head, words), len(at) - 1
+    cls = np.where(inner, rank // width + 1, 0)
+    if not depth:
+        which = np.flatnonzero(inner)
+        return cls, [(which, cls[which], rank[which] % width)] if which.size else []
+    t = rank - head
+    top = np.where(rank < words, t // width ** (depth - 1) + 1, 0)  # 0: the rest
+    out = [(np.arange(rank.size), np.where(inner, cls, at[0]), np.where(inner, rank % width, top))]
+    which = np.flatnonzero(~inner & (rank < words))
+    for j in range(1, depth if which.size else 0):
+        out.append((which, at[j] + t[which] // width ** (depth - j), t[which] // width ** (depth - j - 1) % width))
+    return cls, out
+
+
 def start(top: list[tuple[int, int]], n: int, v: int, classes: int, width: int, rows: int) -> Model:
     """The model before training: biases that give the unigram distribution."""
-    top = sorted(top, key=lambda x: (-x[1], x[0]))[: classes * width]
-    deal = np.arange(len(top)) // width  # most frequent words first: classes of like frequency
+    top = sorted(top, key=lambda x: (-x[1], x[0]))
     keys, counts = np.array([t[0] for t in top], np.uint64), np.array([t[1] for t in top], np.float64)
-    by_class, by_word = np.zeros((rows, classes + 1), np.float32), np.zeros((rows, width), np.float32)
-    mass = np.bincount(deal + 1, weights=counts, minlength=classes + 1) if len(top) else np.zeros(classes + 1)
-    mass[0] = n - counts.sum() + 0.5 * (v - len(top) + 1)
+    rest = n - counts.sum() + 0.5 * (v - len(top) + 1)
+    rank, weight = np.arange(len(top) + 1), np.append(counts, rest)
+    nodes = levels(len(top), classes, width)[-1]
+    cls, below = steps(rank, len(top), classes, width)
+    by_class, by_word = np.zeros((rows, classes + 1), np.float32), np.zeros((nodes + rows, width), np.float32)
+    mass, inside = np.bincount(cls, weights=weight, minlength=classes + 1), np.zeros((nodes, width))
+    for which, node, slot in below:
+        np.add.at(inside, (node, slot), weight[which])
     by_class[0] = np.log(np.maximum(mass, 1e-30) / mass.sum())
-    by_word[: classes + 1] = -60
-    by_word[deal + 1, np.arange(len(top)) % width] = np.log(np.maximum(counts, 1e-30))
+    by_word[:nodes] = np.where(inside > 0, np.log(np.maximum(inside, 1e-30)), -60)
     order = np.argsort(keys)
-    place = (deal + 1) * width + np.arange(len(top)) % width
-    return Model(keys[order], place[order].astype(np.int64), classes, width, rows, by_class, by_word, n, v, int(counts.sum()))
+    return Model(keys[order], order.astype(np.int64), classes, width, rows, by_class, by_word, n, v, int(counts.sum()))
 
 
 class Trainer:
@@ -147,7 +192,7 @@ class Trainer:
         g = np.exp(Model.logs(table, rows))
         g[np.arange(target.size), target] -= 1
         flat = rows[:, 1:].ravel()  # biases stay at the unigram distribution
-        order = np.argsort(flat, kind="stable")
+        order = np.sort(flat << 17 | np.arange(flat.size)) & (1 << 17) - 1  # by row, then place: faster than argsort
         at = np.flatnonzero(np.diff(flat[order], prepend=-1))
         grad = np.add.reduceat(g[order // (rows.shape[1] - 1)], at, axis=0) / np.float32(BATCH**0.5)
         r = flat[order][at]
@@ -156,15 +201,13 @@ class Trainer:
 
     def learn(self, words: np.ndarray, lengths: np.ndarray) -> None:
         m = self.m
-        head = m.heads(words)
-        rows, place = m.features(head, lengths), np.append(m.place, 0)[head]
+        rank, rows = m.ranks(words), m.features(words, lengths)
         for at in range(0, words.size, BATCH):
-            r, p = rows[at : at + BATCH], place[at : at + BATCH]
-            cls = p // m.width
+            r = rows[at : at + BATCH]
+            cls, below = m.steps(rank[at : at + BATCH])
             self._step(self.by_class, self.seen[0], r, cls)
-            known = np.flatnonzero(cls)
-            if known.size:
-                self._step(self.by_word, self.seen[1], m.second(r[known], cls[known]), p[known] % m.width)
+            for which, node, slot in below:
+                self._step(self.by_word, self.seen[1], m.second(r[which], node), slot)
         self.n += words.size
 
 
@@ -227,6 +270,11 @@ COUNTS_ARROW = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("vals",
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
+def predicted(v: int, least: int) -> int:
+    """Words of ``v`` that are predicted from the history."""
+    return min(v, max(least, int(v**0.75)))
+
+
 def score(
     docs: DataFrame,
     *,
@@ -243,7 +291,6 @@ def score(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
     buckets = parts(docs.sparkSession)
     df = docs.select(block_of(F.col(id_col)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    top_n = classes * width
 
     def send(batches):
         for b in batches:
@@ -260,9 +307,10 @@ def score(
 
     def answer(table: pa.Table) -> pa.Table:
         distinct, total, where, at = summed(table)
-        top = np.argsort(-total, kind="stable")[:top_n]
-        top = top[total[top] > 0]
-        out = [{"block": None, "keys": distinct[top].tobytes(), "vals": total[top].tobytes(), "n": int(total.sum()), "v": int((total > 0).sum())}]
+        seen = int((total > 0).sum())
+        share = predicted(buckets * seen, classes * width) / buckets
+        top = np.argsort(-total, kind="stable")[: min(seen, classes * width + int(share + 8 * share**0.5))]
+        out = [{"block": None, "keys": distinct[top].tobytes(), "vals": total[top].tobytes(), "n": int(total.sum()), "v": seen}]
         for i, block in enumerate(table["block"].to_pylist()):
             mine = np.minimum(total[where[at[i] : at[i + 1]]], 0xFFFFFFFF).astype(np.uint32)
             out.append({"block": block, "keys": table["keys"][i].as_py(), "vals": mine.tobytes(), "n": None, "v": None})
@@ -273,10 +321,11 @@ def score(
     stats = counts.where("n is not null").collect()  # one row a bucket
     n, v = sum(r["n"] for r in stats), sum(r["v"] for r in stats)
     top = [x for r in stats for x in zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["vals"], np.int64).tolist(), strict=True)]
-    model = start(top, n, v, classes, width, rows)
+    top = sorted(top, key=lambda x: (-x[1], x[0]))[: predicted(v, classes * width)]
+    model = start(top, n, v, classes, width, max(rows, int(8192 * (n / 1e6) ** 0.5)))
     if n:
         for turn in range(rounds):
-            model = _round(df.select("doc_id", "text"), model, turn, rounds, rate, held_mod, held_rest)
+            model = _round(df.select("doc_id", "text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism), model, turn, rounds, rate, held_mod, held_rest)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:

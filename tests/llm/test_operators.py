@@ -73,6 +73,35 @@ def test_maxent_is_a_distribution_and_learns():
     assert m.score(seq[:800], np.tile(counts[:8], 100).astype(float), np.array([800])).mean() > before + 0.2
 
 
+def test_maxent_tells_rare_words_apart(spark):
+    rng = np.random.default_rng(1)
+    words = np.unique(rng.integers(1 << 40, 1 << 60, 400).astype(np.uint64))
+    counts = np.arange(words.size, 0, -1)
+    m = maxent.start([(int(w), int(c)) for w, c in zip(words[:300], counts[:300], strict=True)], int(counts.sum()), words.size, 4, 4, 2048)
+    assert m.keys.size == 300  # 16 in classes, the others in the tail's tree
+    m.by_class[1:], m.by_word[-2048:] = rng.normal(0, 1, (2047, 5)), rng.normal(0, 1, (2048, 4))
+    every, weight = np.append(words, np.uint64(7)), np.append(counts, 0).astype(float)
+    for last in (words[2], words[250], words[390]):
+        pairs = np.column_stack([np.full(every.size, last), every]).ravel()
+        got = m.score(pairs, np.column_stack([np.ones(every.size), weight]).ravel(), np.full(every.size, 2))
+        assert math.isclose(sum(10 ** got[1::2]), 1, rel_tol=1e-4)
+    assert len({tuple(m.features(np.array([w, words[0]]), np.array([2]))[1]) for w in words[300:]}) > 95
+    seq = np.array([words[390], words[200], words[391], words[201]] * 8000)  # rare words after unpredicted ones
+    t = maxent.Trainer(m, 0.1)
+    before = m.score(seq[:400], np.ones(400), np.array([400])).mean()
+    for _ in range(3):
+        t.learn(seq, np.array([seq.size]))
+    m.by_class, m.by_word = t.by_class, t.by_word
+    got = m.score(seq[:400], np.ones(400), np.array([400]))
+    assert got.mean() > before + 0.2 and got[201] > got[200] + 0.5
+    assert maxent.predicted(400_000, 1024) > 10_000 and maxent.predicted(100, 1024) == 100
+    # every second word follows from the one before; all but four are outside the classes
+    pairs = [f"{w} {w}x" for w in (f"q{k}" for k in range(40))]
+    docs = spark.createDataFrame([(i, " ".join(pairs[(i * 7 + k * 11) % 40] for k in range(200))) for i in range(100)], "doc_id long, text string")
+    r = maxent.score(docs, classes=2, width=2, rows=512).where("held_out").agg(F.sum("score") - F.sum("base_score"), F.sum("n_tokens")).first()
+    assert r[0] / r[1] > 0.02
+
+
 # --- 2
 
 
