@@ -52,13 +52,13 @@ class TextModel:
     languages: list[str]
     weights: np.ndarray  # log probability of each hashed trigram, by language
 
-    def evidence(self, raw: bytes) -> list[float] | None:
-        """Tempered log likelihoods, the best at 0; none without letters."""
+    def evidence(self, raw: bytes) -> tuple[list[float] | None, float | None]:
+        """Tempered log likelihoods, the best at 0, and that of no language, where all trigrams are alike; none without letters."""
         g = grams(raw)
         if not g.size:
-            return None
-        total = self.weights[:, g].sum(axis=1) * min(1.0, 40.0 / g.size)
-        return (total - total.max()).tolist()
+            return None, None
+        total, temper = self.weights[:, g].sum(axis=1), min(1.0, 40.0 / g.size)
+        return ((total - total.max()) * temper).tolist(), float((-np.log(TABLE) * g.size - total.max()) * temper)
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 2000) -> TextModel:
@@ -76,7 +76,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def with_evidence(df: DataFrame, text_col: str, model: TextModel, keep: Sequence[str] | None = None) -> DataFrame:
-    """``row`` (the columns named by ``keep``, all by default) and ``text_evidence`` (array<double>, null without letters)."""
+    """``row`` (the columns named by ``keep``, all by default) and ``text_evidence`` (array<double>) and ``other`` (double), null without letters."""
     names = list(df.columns if keep is None else keep)
     quoted = [F.col(f"`{c.replace('`', '``')}`") for c in names]
     some = df.select(F.struct(*quoted).alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -87,10 +87,11 @@ def with_evidence(df: DataFrame, text_col: str, model: TextModel, keep: Sequence
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
-                found = pa.array([m.evidence(x) for x in texts(b.column(1))], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), found], ["row", "text_evidence"])
+                found = [m.evidence(x) for x in texts(b.column(1))]
+                logs, other = pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([x for _, x in found], pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column(0), logs, other], ["row", "text_evidence", "other"])
 
-    return some.mapInArrow(run, StructType([some.schema["row"], StructField("text_evidence", ArrayType(DoubleType()))]))
+    return some.mapInArrow(run, StructType([some.schema["row"], StructField("text_evidence", ArrayType(DoubleType())), StructField("other", DoubleType())]))
 
 
 def declared(of: Column, languages: Sequence[str], trust: float) -> Column:
@@ -124,12 +125,12 @@ def identify(
     strength: float = 5.0,
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``row``, ``lang``, ``probability`` and ``posterior`` (array in the order of ``model.languages``) of every row.
+    """``row``, ``lang``, ``probability``, ``posterior`` (array in the order of ``model.languages``), ``text_evidence`` and ``other`` of every row.
 
     ``markup``, ``suffixes``, ``host`` and ``domain`` are columns of ``df``."""
     names, langs = df.columns, model.languages
     if not langs:
-        return df.select(F.struct(*(names if keep is None else keep)).alias("row"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), F.array().cast("array<double>").alias("posterior"))
+        return df.select(F.struct(*(names if keep is None else keep)).alias("row"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), F.array().cast("array<double>").alias("posterior"), F.lit(None).cast("array<double>").alias("text_evidence"), F.lit(None).cast("double").alias("other"))
     null = F.lit(None).cast("string")
     clues = F.struct(*((markup if markup is not None else null).cast("string").alias("markup"), F.array(*(s.cast("string") for s in suffixes), null).alias("suffixes"), (host if host is not None else null).cast("string").alias("host"), (domain if domain is not None else host if host is not None else null).cast("string").alias("domain")))
     quoted = [F.col(f"`{c.replace('`', '``')}`") for c in (names if keep is None else keep)]
@@ -141,7 +142,7 @@ def identify(
     any_ = F.col("text_evidence").isNotNull() | F.coalesce(m.isin(*langs), F.lit(False))
     for i in range(len(suffixes)):
         any_ |= F.coalesce(s[i].isin(*langs), F.lit(False))
-    own = seen.select(F.col("row.row").alias("row"), F.col("row.clues.host").alias("host"), F.col("row.clues.domain").alias("domain"), logs.alias("logs"), any_.alias("seen"))
+    own = seen.select(F.col("row.row").alias("row"), F.col("row.clues.host").alias("host"), F.col("row.clues.domain").alias("domain"), logs.alias("logs"), any_.alias("seen"), "text_evidence", "other")
 
     # hierarchically smoothed priors: one aggregation by host, the levels above are sums of it
     soft = own.where("seen").select("host", "domain", _softmax(F.col("logs")).alias("p"))
@@ -161,10 +162,10 @@ def identify(
     hosts = hosts.select("host", "domain", F.array(*smoothed(hosts, [F.col("d")[i] for i in range(len(langs))])).alias("h"))
     both = own.join(hosts.select("host", "domain", "h"), ["host", "domain"], "left")
     given = F.coalesce("h", F.array(*map(F.lit, prior)))
-    done = both.select("row", "seen", _softmax(_plus(F.col("logs"), F.transform(given, lambda x: F.log(x)))).alias("posterior"))
+    done = both.select("row", "seen", _softmax(_plus(F.col("logs"), F.transform(given, lambda x: F.log(x)))).alias("posterior"), "text_evidence", "other")
     best = F.array_max("posterior")
     lang = F.element_at(F.array(*map(F.lit, langs)), F.array_position("posterior", best).cast("int"))
-    return done.select("row", F.when(F.col("seen"), lang).alias("lang"), F.when(F.col("seen"), best).otherwise(0.0).alias("probability"), "posterior")
+    return done.select("row", F.when(F.col("seen"), lang).alias("lang"), F.when(F.col("seen"), best).otherwise(0.0).alias("probability"), "posterior", "text_evidence", "other")
 
 
 # --- clues of web pages -----------------------------------------------------------------

@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over documents, each written and reread by whoever runs them.
 
-language: documents whose language no evidence tells (probability under 0.5) go. duplicates: of each
+language: documents go whose language their text does not tell (no letters, trigrams that fit no language, or probability
+under 0.5) or whose text contradicts the declared one; ``lang`` becomes the identified language. duplicates: of each
 component of near-duplicates (word 5-grams, Jaccard 0.8) the document with the smallest id stays.
 decontamination: documents with benchmark passages go. secrets: found secrets are replaced in the text.
 pieces: the rest is encoded; one row per document with its ids and what they decode to.
@@ -22,11 +23,26 @@ from avrospark.llm.common import shared_dir
 #: No SQL expresses language identification or encoding; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
+#: A text contradicts its declared language if it gives that language less than this share.
+CONTRADICTED = 0.05
+#: Prior weight of a text in no known language against one in any of them.
+NO_LANGUAGE = 0.01
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     told = langid.identify(docs, model, markup=F.col("lang"), host=F.col("source"))
-    return told.where("lang is not null and probability >= 0.5").select("row.*")
+    if not model.languages:
+        return docs.where("false")
+    # by the text alone, all languages alike before it: what it says of the declared language, and of none
+    total = F.aggregate("text_evidence", F.lit(0.0), lambda s, x: s + F.exp(x))
+    declared = F.array_position(F.array(*map(F.lit, model.languages)), F.col("row.lang").cast("string")).cast("int")
+    share = F.exp(F.when(declared > 0, F.element_at("text_evidence", F.greatest(declared, F.lit(1))))) / total
+    other = NO_LANGUAGE * F.exp(F.least("other", F.lit(700.0)))
+    fits = F.col("text_evidence").isNotNull() & (other < total) & F.coalesce(share >= CONTRADICTED, F.lit(True))
+    # one struct, so that a column of the documents named like one of identify's is no alias for it
+    row = F.struct(*((F.col("lang") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return told.where(fits & F.col("lang").isNotNull() & (F.col("probability") >= 0.5)).select(row.alias("row")).select("row.*")
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -415,6 +415,34 @@ def test_pipeline(spark, rows, tmp_path):
     assert none.count() == 0
 
 
+def test_pipeline_language_decides(spark, tmp_path):
+    import random
+
+    import corpus_pipeline as cp
+
+    r = random.Random(3)
+    of = {
+        "de": "der die und nicht ein schön über straße mit auch werden zwischen".split(),
+        "en": "the and with that this from which would there about should between".split(),
+    }
+    say = lambda lang, n=30: " ".join(r.choice(of[lang]) for _ in range(n))
+    rows = [(i, say(x := ["de", "en"][i % 2], 200), x, f"s{i % 4}") for i in range(200)]
+    planted = [
+        (500, say("en"), "de", "s0"),  # mislabelled
+        (501, say("de"), "en", "s1"),
+        (502, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "en", "s0"),  # foreign
+        (503, "Все люди рождаются свободными и равными в своем достоинстве и правах", "de", "s0"),
+        (504, "12 34 !! 56", "en", "s1"),  # no letters
+        (505, None, "en", "s1"),
+        (506, "", "de", "s0"),
+        (507, say("de"), None, "s0"),  # not labelled
+        (508, say("en", 2), "en", "s0"),
+    ]
+    docs = spark.createDataFrame(rows + planted, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x.lang for x in cp.language(spark, docs, str(tmp_path)).collect()}
+    assert got == {i: lang for i, _, lang, _ in rows} | {507: "de", 508: "en"}
+
+
 def test_digests_of_queries(spark, rows, tmp_path):
     from avrospark.llm.queries import QUERIES
 
