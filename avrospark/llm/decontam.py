@@ -151,12 +151,12 @@ def scan(
 WORDS_AS_TEXT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def verdict(n_words, n_hit, share: int = 20):
-    """A document is contaminated if at least 1/``share`` of its words are hit."""
-    return (n_hit > 0) & (share * n_hit >= n_words)
+def verdict(n_words, n_hit, share: int | None = 20):
+    """A document is contaminated if at least 1/``share`` of its words are hit; without a share, if any is."""
+    return n_hit > 0 if share is None else (n_hit > 0) & (share * n_hit >= n_words)
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", size: int = 13, max_chars: int = 4_000_000, share: int = 20) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", size: int = 13, max_chars: int = 4_000_000, share: int | None = 20) -> DataFrame:
     """Documents that are not contaminated, with all their columns; texts and order within a task stay."""
     at, names = docs.columns.index(text_col), docs.columns
     sets = pattern_sets(items, "item_id", "text", size, max_chars)
@@ -174,7 +174,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", siz
         for raw in texts(batch.column(at)):
             words = normal(raw)
             n = sum(b - a for a, b in covered(hits(auto, words)[0]))
-            keep.append(not (n > 0 and share * n >= len(words)))
+            keep.append(not verdict(len(words), n, share))
         return batch.filter(pa.array(keep, pa.bool_()))
 
     return map_batches(docs, work, docs.schema).toDF(*names)

@@ -3,7 +3,7 @@
 language: documents go whose language their text does not tell (no letters, trigrams that fit no language, or probability
 under 0.5) or whose text contradicts the declared one; ``lang`` becomes the identified language. duplicates: of each
 component of near-duplicates (word 5-grams, Jaccard 0.8) the document with the smallest id stays.
-decontamination: documents with benchmark passages go. secrets: found secrets are replaced in the text.
+decontamination: documents with any benchmark passage go, however long they are. secrets: found secrets are replaced in the text.
 pieces: the rest is encoded; one row per document with its ids and what they decode to.
 
 Every stage takes the rows its predecessor kept, and all but the last return the columns of documents.
@@ -52,7 +52,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), share=None)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

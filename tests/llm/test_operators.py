@@ -443,6 +443,19 @@ def test_pipeline_language_decides(spark, tmp_path):
     assert got == {i: lang for i, _, lang, _ in rows} | {507: "de", 508: "en"}
 
 
+def test_pipeline_drops_long_documents_with_passages(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    filler = " ".join(f"f{i}" for i in range(5000))
+    some = spark.createDataFrame([(1, filler), (2, f"{filler} {passage} {filler}"), (3, f"{filler} {passage[:40]}"), (4, passage), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for clean in (cp.decontamination(spark, some, str(tmp_path)), decontam.keep_clean(some, bench, max_chars=10, share=None)):
+        assert {r.doc_id for r in clean.collect()} == {1, 3, 5}
+    assert {r.doc_id for r in decontam.keep_clean(some, bench).collect()} == {1, 2, 3, 5}  # op6's rule
+
+
 def test_digests_of_queries(spark, rows, tmp_path):
     from avrospark.llm.queries import QUERIES
 
