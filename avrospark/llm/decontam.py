@@ -10,8 +10,9 @@ The automaton is sent to the executors, so its patterns are bounded: ``max_chars
 of patterns make one automaton, and a larger benchmark is worked off in several passes whose
 hits accumulate in the row, with a checkpoint between passes.
 
-Defined results: null and empty texts have no words and no hits; item rows with null id or
-text are ignored; rows with one item_id are one item; repeated document rows each get their
+Defined results: null and empty texts have no words and no hits; item rows with null
+text are ignored, and those with null id unless ``nameless``: then they are one item with the id null, last in ``items``;
+rows with one item_id are one item; repeated document rows each get their
 row; an empty benchmark leaves every document clean; other columns, whatever their names, are
 not touched.
 """
@@ -46,12 +47,12 @@ def windows(raw: bytes, size: int) -> set[tuple[bytes, int]]:
     return {(b" " + b" ".join(w[i : i + n]) + b" ", n) for i in range(len(w) - n + 1)} if w else set()
 
 
-def pattern_sets(items: DataFrame, item_col: str, text_col: str, size: int, max_chars: int) -> list[bytes]:
+def pattern_sets(items: DataFrame, item_col: str, text_col: str, size: int, max_chars: int, nameless: bool = False) -> list[bytes]:
     """Pickled {pattern: (words, item ids)}, each of at most ``max_chars`` characters but for one window more."""
     sets: list[dict] = [{}]
     chars = 0
     for item, raw in items.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator():
-        if item is None or raw is None:
+        if raw is None or item is None and not nameless:
             continue
         for pattern, n in windows(bytes(raw), size):
             if chars > max_chars:
@@ -63,11 +64,15 @@ def pattern_sets(items: DataFrame, item_col: str, text_col: str, size: int, max_
     return [pickle.dumps(s) for s in sets]
 
 
+def in_order(ids: set) -> list:
+    return sorted(ids, key=lambda i: (i is None, i or ""))
+
+
 @lru_cache(maxsize=1)
 def automaton(pickled: bytes):
     found = ahocorasick.Automaton()
     for pattern, (n, ids) in pickle.loads(pickled).items():
-        found.add_word(pattern.decode("latin-1"), (n, sorted(ids)))
+        found.add_word(pattern.decode("latin-1"), (n, in_order(ids)))
     if len(found):
         found.make_automaton()
     return found
@@ -106,9 +111,10 @@ def scan(
     item_text: str = "text",
     size: int = 13,
     max_chars: int = 4_000_000,
+    nameless: bool = False,
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (ids of items with a match, sorted), spans (characters, end exclusive)."""
-    sets = pattern_sets(items, item_col, item_text, size, max_chars)
+    sets = pattern_sets(items, item_col, item_text, size, max_chars, nameless)
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = df.schema["doc_id"].dataType.simpleString()
     between = f"doc_id {kind}, text string, hit array<long>, items array<string>"
@@ -126,7 +132,7 @@ def scan(
                     where += list(zip(before[::2], before[1::2], strict=True))
                     ids |= set(batch.column(3)[i].as_py())
                 where = covered(where)
-                all_items.append(sorted(ids))
+                all_items.append(in_order(ids))
                 if not last:
                     flat.append([x for ab in where for x in ab])
                     continue
@@ -156,15 +162,15 @@ def verdict(n_words, n_hit, share: int | None = 20):
     return n_hit > 0 if share is None else (n_hit > 0) & (share * n_hit >= n_words)
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", size: int = 13, max_chars: int = 4_000_000, share: int | None = 20) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", size: int = 13, max_chars: int = 4_000_000, share: int | None = 20, nameless: bool = False) -> DataFrame:
     """Documents that are not contaminated, with all their columns; texts and order within a task stay."""
     at, names = docs.columns.index(text_col), docs.columns
-    sets = pattern_sets(items, "item_id", "text", size, max_chars)
+    sets = pattern_sets(items, "item_id", "text", size, max_chars, nameless)
     if len(sets) > 1:  # several passes: mark the rows, pass by pass
         from .common import written
 
         rows = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("doc_id")), "decontam")
-        found = scan(rows.select("doc_id", F.col(f"row.{text_col}").alias("text")), items, size=size, max_chars=max_chars)
+        found = scan(rows.select("doc_id", F.col(f"row.{text_col}").alias("text")), items, size=size, max_chars=max_chars, nameless=nameless)
         bad = found.where(verdict(F.col("n_words"), F.col("n_hit"), share)).select("doc_id")
         return rows.join(bad, "doc_id", "left_anti").select("row.*")
     sent = docs.sparkSession.sparkContext.broadcast(sets[0])

@@ -456,6 +456,23 @@ def test_pipeline_drops_long_documents_with_passages(spark, tmp_path):
     assert {r.doc_id for r in decontam.keep_clean(some, bench).collect()} == {1, 2, 3, 5}  # op6's rule
 
 
+def test_benchmark_rows_without_id(spark, tmp_path):
+    import corpus_pipeline as cp
+    from avrospark.llm.queries import QUERIES
+
+    named, nameless = (" ".join(f"{c}{i}" for i in range(15)) for c in "pq")
+    docs = spark.createDataFrame([(1, nameless), (2, f"{named} {nameless}"), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(4, named), (None, nameless), (None, None)], "item_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op6_benchmark_decontamination"](spark, str(tmp_path)).collect()}
+    # n_items counts the null item and the digest skips it, as OP6_SQL does
+    assert got == {1: (15, 15, 1, sha(""), True), 2: (30, 30, 2, sha("4"), True), 3: (1, 0, 0, sha(""), False)}
+    assert [r.doc_id for r in cp.decontamination(spark, docs, str(tmp_path)).collect()] == [3]
+    assert decontam.keep_clean(docs, bench, max_chars=10, nameless=True).count() == 1
+
+
 def test_digests_of_queries(spark, rows, tmp_path):
     from avrospark.llm.queries import QUERIES
 
