@@ -2,8 +2,8 @@
 
 ``map_batches`` runs an Arrow function over a DataFrame by column position, so extra
 or repeated column names in the input never clash with what an operator adds.
-``exchange`` answers "what does the whole corpus know about the keys of this block of
-documents" with one shuffle each way: the keys of a block are combined before they
+``by_bucket`` and ``summed`` serve the exchange that answers "what does the whole corpus know about the keys of this
+block of documents" with one shuffle each way: the keys of a block are combined before they
 travel, so a key that a third of all documents hold is sent once a block and no task
 ever holds a list of the documents of one key.
 """
@@ -11,6 +11,7 @@ ever holds a list of the documents of one key.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,13 @@ from ..shared import shared_dir as shared_dir
 
 #: Documents of one block: consecutive ids, so that a block's rows mostly share a scan task.
 BLOCK_DOCS = 4096
-#: Rows of an Arrow batch that are worked on at once.
-SLICE = 512
+#: Texts of at least so many bytes go to one of SPREAD side blocks of their block, so that no block has more than
+#: BLOCK_DOCS * LONG_TEXT bytes of short texts, or some BLOCK_DOCS / SPREAD long ones.
+LONG_TEXT, SPREAD = 1 << 14, 1 << 10
+#: Bytes of input for which there is one hash bucket.
+BUCKET_BYTES = 8 << 20
+#: Rows of an Arrow batch that are worked on at once, and the bytes of text at which fewer are taken.
+SLICE, SLICE_BYTES = 512, 4 << 20
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -53,29 +59,55 @@ def texts(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary()).to_pylist()]
 
 
-def block_of(doc_id: Column, docs: int = BLOCK_DOCS) -> Column:
-    """Block of a document; those without an id are one block."""
-    return F.coalesce(F.floor(doc_id.cast("double") / docs).cast("long"), F.lit(-1))
+def raw_texts(col: pa.Array | pa.ChunkedArray) -> tuple[memoryview, np.ndarray]:
+    """UTF-8 bytes of all texts behind one another, and where each begins and the last ends; null as empty."""
+    col = col.cast(pa.large_binary())
+    col = (pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.large_binary())) if isinstance(col, pa.ChunkedArray) else col
+    if col.null_count:
+        col = col.fill_null(b"")
+    if not len(col):
+        return memoryview(b""), np.zeros(1, np.int64)
+    at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = memoryview(col.buffers()[2]) if col.buffers()[2] is not None else memoryview(b"")
+    return data[int(at[0]) : int(at[-1])], at - at[0]
+
+
+def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with up to ``most`` bytes, one text at least; ``at`` as from ``raw_texts``."""
+    i, n = 0, at.size - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
+def block_of(doc_id: Column, text: Column) -> Column:
+    """Block of a document; long texts have side blocks, and documents without an id are spread by their text."""
+    main = F.coalesce(F.floor(doc_id.cast("long") / F.lit(BLOCK_DOCS)).cast("long"), F.pmod(F.xxhash64(text), F.lit(BLOCK_DOCS)) - F.lit(1 << 40))
+    long_ = F.coalesce(F.octet_length(text), F.lit(0)) >= LONG_TEXT
+    return main * F.lit(2 * SPREAD) + F.when(long_, F.pmod(F.xxhash64(doc_id), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
 
 
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-# --- hashing of byte strings, vectorised ------------------------------------------------
+def buckets_of(df: DataFrame) -> int:
+    """Hash buckets for the keys of ``df``: by the bytes that its scan is planned to read, as many as shuffle partitions at least.
+
+    Many buckets share a shuffle task if there are fewer tasks; each bucket is answered alone, so its size bounds the memory."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(parts(df.sparkSession), min(size // BUCKET_BYTES, 1 << 22))
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+# --- hashing of words, vectorised -------------------------------------------------------
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or _POWERS[0][0].size <= n:
-        size = 1 << max(16, int(n).bit_length())
-        a, b = np.full(size, _P), np.full(size, _INV)
-        a[0] = b[0] = 1
-        _POWERS[0] = np.multiply.accumulate(a), np.multiply.accumulate(b)
-    return _POWERS[0]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of an eight-byte load that belong to a word with so many bytes left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 32
+_LITTLE = np.dtype("<u8")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,24 +120,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 
 
-def word_hashes(raw: bytes, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, start and end of each word of ``raw``: a polynomial hash from prefix sums, then mixed."""
-    b = np.frombuffer(raw, np.uint8)
-    w = is_word[b]
-    edge = np.diff(w.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not start.size:
-        return np.empty(0, np.uint64), start, end
-    up, down = _powers(b.size)
-    total = np.empty(b.size + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[b] * up[: b.size], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] ^ (end - start).astype(np.uint64)), start, end
+def words_of(raw: bytes | memoryview, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of many texts, and where each text's words begin and the last one's end.
+
+    ``raw`` and ``at`` as from ``raw_texts``. Each eight bytes of a word are mixed into its hash in turn, which is not linear in them;
+    words of over 32 bytes have a BLAKE2 hash.
+    """
+    low = bytes(raw).translate(LOWER)
+    if not low:
+        return np.empty(0, np.uint64), np.zeros(at.size, np.int64)
+    w = _IS_WORD[np.frombuffer(low, np.uint8)]
+    opens, ends = w.copy(), w.copy()
+    opens[1:] &= ~w[:-1]
+    ends[:-1] &= ~w[1:]
+    edge = at[(at > 0) & (at < w.size)]  # no word crosses from one text to the next
+    opens[edge] = w[edge]
+    ends[edge - 1] = w[edge - 1]
+    start, size = np.flatnonzero(opens), np.flatnonzero(ends) + 1
+    size -= start
+    loads = np.ndarray((len(low),), _LITTLE, low + bytes(8), strides=(1,))
+    h = mix(mix(loads[start] & _LEFT[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD)
+    for k in range(8, _LONG_WORD, 8):
+        some = np.flatnonzero(size > k)
+        if not some.size:
+            break
+        h[some] = mix(h[some] * _ODD ^ mix(loads[start[some] + k] & _LEFT[np.minimum(size[some] - k, 8)]))
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        a = int(start[i])
+        h[i] = int.from_bytes(blake2b(low[a : a + int(size[i])], digest_size=8).digest(), "little")
+    return h, np.searchsorted(start, at)
 
 
 # --- the exchange ---------------------------------------------------------------------

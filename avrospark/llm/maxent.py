@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, block_of, by_bucket, mix, parts, summed, texts, word_hashes, written
+from .common import block_of, by_bucket, mix, parts, summed, texts, words_of, written
 
 END = np.uint64(1)
 BEGIN = np.uint64(2)
@@ -47,7 +47,7 @@ LN10 = float(np.log(10))
 
 def tokens(raw: bytes) -> np.ndarray:
     """Hashes of the words of a text and of its end."""
-    return np.append(word_hashes(raw.translate(LOWER))[0], END)
+    return np.append(words_of(raw, np.array([0, len(raw)]))[0], END)
 
 
 def crc(doc_id) -> int:
@@ -290,7 +290,7 @@ def score(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
     buckets = parts(docs.sparkSession)
-    df = docs.select(block_of(F.col(id_col)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    df = docs.select(block_of(F.col(id_col), F.col(text_col).cast("string")).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def send(batches):
         for b in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, block_of, mix, parts, rows_batch
+from .common import block_of, mix, parts, rows_batch
 
 #: Bytes of a hashed window; a run's hash is the smallest of the windows inside ``length`` bytes.
 WINDOW = 20
@@ -36,6 +36,21 @@ WINDOW = 20
 BUCKETS = 2048
 
 
+_P = np.uint64(0x9E3779B97F4A7C15)
+_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or _POWERS[0][0].size <= n:
+        size = 1 << max(16, int(n).bit_length())
+        a, b = np.full(size, _P), np.full(size, _INV)
+        a[0] = b[0] = 1
+        _POWERS[0] = np.multiply.accumulate(a), np.multiply.accumulate(b)
+    return _POWERS[0]
+
+
 # --- suffix arrays --------------------------------------------------------------------
 
 
@@ -256,7 +271,7 @@ def solve(pieces: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes, end exclusive) and kept (the remaining bytes) of every document."""
     buckets = parts(docs.sparkSession)
-    df = docs.select(block_of(F.col(id_col)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    df = docs.select(block_of(F.col(id_col), F.col(text_col)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
     # equal documents: all but those of the smallest id are copies
     hashed = df.where("doc_id is not null").select("block", "doc_id", F.md5("text").alias("h"), F.length("text").alias("l"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from avrospark.llm import decontam, forest, jaccard, langid, maxent, merkle, packed, pieces, secrets, suffix
+from avrospark.llm import common, decontam, forest, jaccard, langid, maxent, merkle, packed, pieces, secrets, suffix
 
 from .fixtures import corpus, frame
 
@@ -215,6 +215,29 @@ def test_jaccard_chains_and_edges(spark, docs):
     assert sorted(((r.doc_id, r.component_id) for r in jaccard.join(odd).collect()), key=str) == [(1, 1), (1, 1), (None, None)]
 
 
+def test_jaccard_words_that_polynomials_confuse(spark):
+    bit = lambda n: bin(n).count("1") & 1
+    one = "".join("ab"[bit(n)] for n in range(1024))  # sums of powers modulo 2**64 can't tell these from their complements
+    two = one.translate({97: "b", 98: "a"})
+    rows = [(i, f"{w} {end}") for i, (w, end) in enumerate([(one, "one two three"), (two, "one two three"), (one, "one two three"), (two, "x y z"), (one[:31], "a b c"), (two[:31], "a b c")])]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 5}
+    words = [one[a:b] for a in range(0, 40, 7) for b in range(a + 1, 120, 3)] + ["é", "e", "\x00", "\x00\x00", "a\x00", "x" * 33, "x" * 32]
+    raw = " ".join(words).encode()
+    found = common.words_of(raw, np.array([0, len(raw)]))[0].tolist()
+    assert len(set(zip(words, found, strict=True))) == len(set(found)) == len(set(words))
+    cut = common.words_of(b"ABcd", np.array([0, 2, 2, 4]))  # no word crosses texts
+    assert cut[0].tolist() == common.words_of(b"ab cd", np.array([0, 5]))[0].tolist() and cut[1].tolist() == [0, 1, 1, 2]
+
+
+def test_jaccard_rows_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    long_ = " ".join(f"l{k}" for k in range(5000))  # in a side block
+    rows = [(5, a), (7, a), (7, b), (9, b), (9, c), (11, c), (3, long_), (11, long_), (20, long_), (20, None), (None, long_), (30, a + " x")]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is not null").collect())
+    assert got == sorted((i, 3) for i, _ in rows if i is not None)
+
+
 # --- 6
 
 
