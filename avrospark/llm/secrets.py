@@ -13,7 +13,7 @@ reported only if a complementary part lies within ``scope`` code points of it:
 How positions are found without a UDF: Java's ``split`` and ``regexp_extract_all`` walk the
 same leftmost non-overlapping matches, so the lengths of the pieces between matches and of
 the matches, summed in order, are the positions, in code points. The parts of a document are
-exploded to rows once, shuffled by row id, and a sorted sweep (window) over the row's parts
+written once with a number for the row, exploded to rows, shuffled by that number, and a sorted sweep (window) over the row's parts
 finds for each weak candidate the nearest end before and the nearest start behind of every
 complementary kind: an interval join that never makes pairs. Only parts travel, and the text
 only if it is asked for; one row is one key, so that no key is hot.
@@ -28,12 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the greedy runs of 20 or more characters
 HEX = r"[0-9a-f]{24,}"  # the greedy runs of 24 or more characters
 KEY = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
 USER = r"""(?i:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
-ENDPOINT = r"""(?:https?|jdbc|postgres|mysql|mongodb|redis|s3|ftp)(?::[a-z]+)?://[A-Za-z0-9._:@-]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b"""
+ENDPOINT = r"""(?:https?|jdbc|postgres|mysql|mongodb|redis|s3|ftp)(?::[a-z]++)?://[A-Za-z0-9._:@-]++|(?<![a-z0-9.-])[a-z0-9.-]++:[0-9]{2,5}\b"""
 
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "key", "user", "endpoint")
@@ -45,14 +47,19 @@ SPAN = "struct<kind:string,start:long,end:long>"
 SCOPE = 200
 
 
+def _host(m: Column) -> Column:
+    """Whether a found endpoint is a URL, or a host of two names at least: dots between names only."""
+    return m.contains("://") | (m.contains(".") & ~m.startswith(".") & ~m.contains("..") & ~m.contains(".:"))
+
+
 def _parts(text: Column, k: int) -> Column:
     """Of kind ``k``: for each match the characters since the last one, its length, and whether it counts."""
     rule = F.lit(RULES[KINDS[k]])
     between, found = F.split(text, RULES[KINDS[k]], -1), F.regexp_extract_all(text, rule, F.lit(0))
-    ok = F.regexp_extract_all(text, rule, F.lit(2)) if k == 0 else found
+    value = F.regexp_extract_all(text, rule, F.lit(2)) if k == 0 else found
     pieces = F.transform(
-        F.arrays_zip(found.alias("m"), F.slice(between, 1, F.greatest(F.size(found), F.lit(1))).alias("b"), ok.alias("v")),
-        lambda x: F.struct(F.lit(k).alias("kind"), F.length(x["b"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("size"), (F.length(x["v"]) >= 6).alias("ok")),
+        F.arrays_zip(found.alias("m"), F.slice(between, 1, F.greatest(F.size(found), F.lit(1))).alias("b"), value.alias("v")),
+        lambda x: F.struct(F.lit(k).alias("kind"), F.length(x["b"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("size"), (_host(x["v"]) if KINDS[k] == "endpoint" else F.length(x["v"]) >= 6).alias("ok")),
     )
     none = F.array().cast("array<struct<kind:int,gap:bigint,size:bigint,ok:boolean>>")
     return F.when(text.rlike(RULES[KINDS[k]]), pieces).otherwise(none)
@@ -65,6 +72,7 @@ def scan(df: DataFrame, *, text_col: str = "text", scope: int = SCOPE, keep_text
     quoted = [F.col(f"`{c.replace('`', '``')}`") for c in names]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.struct(*quoted).alias("row"), F.monotonically_increasing_id().alias("rid"), F.concat(*(_parts(text, k) for k in range(len(KINDS)))).alias("parts"))
+    docs = written(docs, "secret-parts")
     one = docs.select("row", "rid", F.posexplode_outer("parts").alias("at", "part"))
     one = one.select(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")).alias("row"), "rid", "at", "part.*").repartition(F.col("rid"))
     # positions: sums of the lengths up to here, kind by kind

@@ -397,6 +397,60 @@ def test_secrets(spark, docs, rows):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secrets_take_time_by_length(spark):
+    import time
+
+    units = ["a.", "a-", "a=", "/", "a.b:", "token ", "AKIA", "s3:a", "deadbee ", "user= ", "password", "http:"]
+    run = lambda texts: secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    run(units)
+    for u in units:
+        began = time.time()
+        (row,) = run([u * (1_000_000 // len(u))])
+        assert time.time() - began < 8, u  # the whole query; its jobs alone take about one second
+        assert len(row.spans) == (u == "AKIA")
+    assert len(run(["a." * 5000])) == 1
+
+
+def _brute_secrets(text, scope=200):
+    """Spans by regular expressions and a comparison of all pairs."""
+    found = []
+    for k, kind in enumerate(secrets.KINDS):
+        for m in re.finditer(secrets.RULES[kind], text):
+            if kind == "assign":
+                ok = len(m[2]) >= 6
+            elif kind == "endpoint":
+                ok = "://" in m[0] or (re.fullmatch(r"[a-z0-9-]+(\.[a-z0-9-]+)+:[0-9]+", m[0]) is not None)
+            else:
+                ok = True
+            if ok:
+                found.append((m.start(), k, m.end(), kind))
+    near = lambda a, b: a is not b and (0 <= a[0] - b[2] <= scope or 0 <= b[0] - a[2] <= scope or (a[0] < b[2] and b[0] < a[2]))
+    keep = [x for x in found if x[3] in secrets.BASE or any(y[3] in secrets.COMPLEMENTS[x[3]] and near(x, y) for y in found)]
+    return sorted(keep)
+
+
+def test_secret_query_links_like_all_pairs(spark, tmp_path):
+    import random
+
+    from avrospark.llm.queries import QUERIES
+
+    r = random.Random(5)
+    key = "".join(r.choice("ABCDEFabcdef0123456789GHIJ+/") for _ in range(40))
+    units = ["password = hunter2222", "token:'abc'", "AKIA" + "Z" * 16, "deadbeef" * 3, key, "user=bob77", "login: al", "https://host.example:8080/x", "db.local:5432", ".bad.:99", "a..b:99", "plain"]
+    texts = [" ".join(r.choice(units) + " x" * r.choice([0, 1, 5, 60, 98, 99, 100, 101, 120]) for _ in range(r.randrange(1, 9))) for _ in range(300)] + [None, "", "é" * 250 + " user=bob77 token:abcdef1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    weak = 0
+    for row in QUERIES["op10_secret_scan"](spark, str(tmp_path)).collect():
+        want = _brute_secrets(texts[row.doc_id] or "")
+        say = lambda some: ",".join(f"{k}:{a}:{b}" for a, _, b, k in some)
+        base = [x for x in want if x[1] < 3]
+        assert row.spans == say(want), texts[row.doc_id]
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3))
+        assert row.base_sha256 == hashlib.sha256(say(base).encode()).hexdigest()
+        weak += len(want) - len(base)
+    assert weak > 100
+
+
 # --- the pipeline
 
 
