@@ -141,8 +141,12 @@ def words_of(raw: bytes | memoryview, at: np.ndarray) -> tuple[np.ndarray, np.nd
     opens[edge] = w[edge]
     ends[edge - 1] = w[edge - 1]
     start, size = np.flatnonzero(opens), np.flatnonzero(ends) + 1
-    size -= start
-    loads = np.ndarray((len(low),), _LITTLE, low + bytes(8), strides=(1,))
+    return span_hashes(low, start, size - start), np.searchsorted(start, at)
+
+
+def span_hashes(raw: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of ``raw`` at ``start`` of ``size`` bytes."""
+    loads = np.ndarray((len(raw),), _LITTLE, raw + bytes(8), strides=(1,))
     h = mix(mix(loads[start] & _LEFT[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD)
     for k in range(8, _LONG_WORD, 8):
         some = np.flatnonzero(size > k)
@@ -151,8 +155,45 @@ def words_of(raw: bytes | memoryview, at: np.ndarray) -> tuple[np.ndarray, np.nd
         h[some] = mix(h[some] * _ODD ^ mix(loads[start[some] + k] & _LEFT[np.minimum(size[some] - k, 8)]))
     for i in np.flatnonzero(size > _LONG_WORD).tolist():
         a = int(start[i])
-        h[i] = int.from_bytes(blake2b(low[a : a + int(size[i])], digest_size=8).digest(), "little")
-    return h, np.searchsorted(start, at)
+        h[i] = int.from_bytes(blake2b(raw[a : a + int(size[i])], digest_size=8).digest(), "little")
+    return h
+
+
+class Memo:
+    """Arrays by the hash of what they are made from; at most ``most``, then it is emptied, which changes speed and never results."""
+
+    def __init__(self, most: int, kind):
+        self.most, self.kind = most, np.dtype(kind)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.values, self.used = np.empty(1 << 16, self.kind), 0
+
+    def look(self, hashes: np.ndarray, make: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of ``hashes`` behind one another, and their sizes; ``make`` gives those at some places of ``hashes``."""
+        distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        known = np.isin(distinct, self.keys, assume_unique=True)
+        if self.keys.size + (~known).sum() > self.most:
+            self.clear()
+            known[:] = False
+        if not known.all():
+            new = np.flatnonzero(~known)
+            made = make(first[new])
+            sizes = np.fromiter(map(len, made), np.int64, len(made)) // self.kind.itemsize
+            values = np.frombuffer(b"".join(made), self.kind)
+            if self.used + values.size > self.values.size:
+                self.values = np.concatenate([self.values[: self.used], np.empty(max(self.values.size, values.size), self.kind)])
+            self.values[self.used : self.used + values.size] = values
+            place = np.searchsorted(self.keys, distinct[new])
+            self.at = np.insert(self.at, place, self.used + np.cumsum(sizes) - sizes)
+            self.size = np.insert(self.size, place, sizes)
+            self.keys = np.insert(self.keys, place, distinct[new])
+            self.used += values.size
+        place = np.searchsorted(self.keys, distinct)[where]
+        at, size = self.at[place], self.size[place]
+        ends = np.cumsum(size)
+        return self.values[np.arange(ends[-1] if ends.size else 0) + np.repeat(at - ends + size, size)], size
 
 
 # --- the exchange ---------------------------------------------------------------------

@@ -2,25 +2,27 @@
 
 Counts. Blocks of documents send each of their words once, with its training count, to hash buckets that sum
 them; every block gets the corpus counts of its words back. Only sums, the number of distinct words and the
-most frequent words reach the driver, as many rows as there are buckets.
+most frequent words reach the driver, some rows of a bucket each.
 
-Model. Of V distinct words the V ** 0.75 most frequent ones (``classes * width`` at least) are predicted from the history.
-The first ``classes * width`` are dealt into classes: P(word | history) = P(class | history) * P(word | class, history).
-The others hang below one more class, the tail, in a tree of ``width`` branches a node, as deep as their number needs; one
-branch of its top is the rest, rarer and unknown words, whose last factor is the smoothed unigram share. All
-softmaxes read rows of weight tables by hashed features of the history: a bias, the last word, the last two, and the words
-two and three back (skips). Features hash the 64-bit hash of every word, whether it is predicted or not.
+Model. Of V distinct words the 16 * V ** 0.55 most frequent ones (``least`` at least) are predicted from the history. They are
+factored into nested classes: every class is parted into two of about equal mass, P(word | history) is the product of
+P(part | class, history) down to the word, and one leaf at the top is the rest, rarer and unknown words, whose last factor is the
+smoothed unigram share. Words are parted along the main direction of what stands one and two places before them (shares
+of the ``CONTEXTS`` most frequent words), so that classes hold words of like use. Every softmax reads single weights of
+one table by a hash of the class and a feature of the history: the last word, the last two, and the words two and three
+back (skips), beside a bias that gives the unigram distribution. Features hash the words themselves, predicted or not.
 
 Training is by distributed gradient updates: in each of ``rounds`` rounds, every task takes AdaGrad steps on
-minibatches of its part of a disjoint share of all training documents, from the same weights; the changes
-are averaged by tokens in a tree of groups. All training documents are used once, by at most two tasks a core, so that
-what is gathered grows with the cores and the model. The tables have ``rows`` rows, or 8192 a million training tokens
-to the power of 0.5 if that is more, and a row for each node of the tree.
+minibatches of its part of a disjoint share of all training documents, from the same weights; in a tree of
+groups the changes of each weight are averaged, by tokens, over the tasks that changed it. All training documents are used
+once, by at most two tasks a core, so that what is gathered grows with the cores and the model. The table has ``rows`` weights
+for a million training tokens and grows with the cube root of their number, as a power of two.
 
-Scoring is in numpy batches of tokens that read only the table rows of their features.
+Scoring is in numpy batches that read only the weights of their tokens' paths.
 
 Defined results: null and empty texts have one token, the end; a null id counts as the text ''; without training
-documents the counts are 0 and all words are unknown; repeated rows are scored and learnt each; the whole text counts.
+documents the counts are 0 and all words are unknown; repeated rows are scored and learnt each; the whole text counts;
+words are told apart by a 64-bit hash that is not linear in their bytes.
 """
 
 from __future__ import annotations
@@ -32,236 +34,262 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, by_bucket, mix, parts, summed, texts, words_of, written
+from .common import ENTRIES, ENTRY_ARROW, block_of, buckets_of, by_bucket, mix, raw_texts, rows_batch, slices, summed, words_of, written
 
 END = np.uint64(1)
 BEGIN = np.uint64(2)
-BATCH = 16384
-#: Tokens scored at once: their logits stay in the cache.
-SCORED = 4096
+#: Tokens of a training step, and of a scoring batch: their paths stay in the cache.
+BATCH, SCORED = 4096, 8192
+#: Frequent words whose shares among the words before say how a word is used.
+CONTEXTS = 32
+#: Words of a class from which it is parted by use, not by frequency.
+PARTED = 256
 LN10 = float(np.log(10))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(raw: bytes) -> np.ndarray:
-    """Hashes of the words of a text and of its end."""
-    return np.append(words_of(raw, np.array([0, len(raw)]))[0], END)
+def tokens(raw, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of many texts, each with its end behind it, and the number of tokens of each text."""
+    words, begin = words_of(raw, at)
+    return np.insert(words, begin[1:], END), np.diff(begin) + 1
 
 
 def crc(doc_id) -> int:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
 
 
-def ranged(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of codes as numbers under ``size``."""
-    return ((mix(codes) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+def behind(values: np.ndarray, lengths: np.ndarray, k: int, none) -> np.ndarray:
+    """Of each token what stands ``k`` places before it in its text, or ``none``."""
+    out = np.full(values.size, none, values.dtype)
+    out[k:] = values[:-k]
+    first = np.cumsum(lengths) - lengths
+    for j in range(k):
+        at = first[lengths > j] + j
+        out[at] = none
+    return out
+
+
+def features(words: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    h1, h2, h3 = (behind(words, lengths, k, BEGIN) for k in (1, 2, 3))
+    one = mix(h1)
+    return [one, mix(one * np.uint64(3) + h2), mix(h2 + np.uint64(1 << 33)), mix(h3 + np.uint64(1 << 34))]
 
 
 @dataclass
 class Model:
-    """Weights and what is known of the vocabulary; ``train_tokens`` is N, ``distinct`` V."""
+    """Weights and what is known of the vocabulary."""
 
     keys: np.ndarray  # hashes of the predicted words, ascending
-    rank: np.ndarray  # rank by frequency of each, from 0
-    classes: int
-    width: int
-    rows: int
-    by_class: np.ndarray  # rows x (classes + 1)
-    by_word: np.ndarray  # (nodes + rows) x width: biases of the nodes, then rows of a feature and a node
+    opens: np.ndarray  # where each word's path begins; the last but one is the rest's
+    nodes: np.ndarray  # classes on the paths
+    right: np.ndarray  # whether the path takes the second part
+    bias: np.ndarray  # of each class
+    table: np.ndarray  # hashed weights, a power of two
     train_tokens: int
     distinct: int
-    head_tokens: int  # tokens of predicted words
+    rest: float  # smoothed count of all words that are not predicted
 
     def ranks(self, words: np.ndarray) -> np.ndarray:
-        """Rank of each word, or the number of predicted words."""
+        """Place of each word among the predicted ones, or their number."""
         if not self.keys.size:
             return np.zeros(words.size, np.int64)
         at = np.minimum(np.searchsorted(self.keys, words), self.keys.size - 1)
-        return np.where(self.keys[at] == words, self.rank[at], self.keys.size)
-
-    def features(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Rows of the tables: five a token; documents lie one behind the other."""
-        n = words.size
-        start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        back = np.arange(n) - start
-        h = [np.where(back >= k, words[np.maximum(np.arange(n) - k, 0)], BEGIN) for k in (1, 2, 3)]
-        codes = (h[0], mix(h[0]) * np.uint64(3) + h[1], h[1] + np.uint64(1 << 33), h[2] + np.uint64(1 << 34))
-        out = np.zeros((n, 5), np.int64)
-        for k, c in enumerate(codes):
-            out[:, k + 1] = 1 + ranged(c, self.rows - 1)
-        return out
-
-    def second(self, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Rows of the table inside nodes, for features and a node."""
-        nodes = self.by_word.shape[0] - self.rows
-        out = np.empty(rows.shape, np.int64)
-        out[:, 0] = node  # the bias of each node
-        out[:, 1:] = nodes + ranged((rows[:, 1:].astype(np.uint64) << np.uint64(32)) + node.astype(np.uint64)[:, None], self.rows)
-        return out
-
-    def steps(self, rank: np.ndarray):
-        """The class of each word, and (which words, node, slot) of every step below; the rest stops at the top of the tail."""
-        return steps(rank, self.keys.size, self.classes, self.width)
-
-    @staticmethod
-    def logs(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        z = table.take(rows[:, 0], axis=0)
-        for k in range(1, rows.shape[1]):
-            z += table.take(rows[:, k], axis=0)
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+        return np.where(self.keys[at] == words, at, self.keys.size)
+
+    def paths(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every step of every token: the token, its class, whether the second part is taken; and each token's first step."""
+        a = self.opens[ranks]
+        size = self.opens[ranks + 1] - a
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(a - ends + size, size)
+        return np.repeat(np.arange(ranks.size), size), self.nodes[at], self.right[at], ends - size
+
+    def logits(self, found: list[np.ndarray], token: np.ndarray, node: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Log odds of the second part at every step, and which weights they read."""
+        table = self.table if table is None else table
+        shift = np.uint64(65 - table.size.bit_length())
+        salt, z, places = mix(node + 1), self.bias[node], []
+        for f in found:
+            at = ((f[token] ^ salt) * _ODD >> shift).view(np.int64)
+            places.append(at)
+            z = z + table[at]
+        return z, places
 
     def score(self, words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of each token, given the corpus counts of the words."""
-        out = np.empty(words.size)
-        rank, rows = self.ranks(words), self.features(words, lengths)
-        rest_total = self.train_tokens - self.head_tokens + 0.5 * (self.distinct - self.keys.size + 1)
+        out, ranks, found = np.empty(words.size), self.ranks(words), features(words, lengths)
         for at in range(0, words.size, SCORED):
-            r, w, c = rows[at : at + SCORED], rank[at : at + SCORED], counts[at : at + SCORED]
-            cls, below = self.steps(w)
-            total = self.logs(self.by_class, r)[np.arange(w.size), cls].astype(float)
-            for which, node, slot in below:
-                total[which] += self.logs(self.by_word, self.second(r[which], node))[np.arange(which.size), slot]
-            rest = np.flatnonzero(w >= self.keys.size)
-            total[rest] += np.log((c[rest] + 0.5) / rest_total)
-            out[at : at + SCORED] = total / LN10
-        return out
-
-
-def levels(words: int, classes: int, width: int) -> list[int]:
-    """First node of each level of the tail's tree and the number of all nodes; 0 is no node, 1.. are the classes."""
-    tail = words - classes * width
-    at = [classes + 1]
-    if tail > 0:
-        depth = 1
-        while (width - 1) * width ** (depth - 1) < tail:
-            depth += 1
-        at.append(classes + 2)
-        for j in range(1, depth):
-            at.append(at[-1] + (tail - 1) // width ** (depth - j) + 1)
-    return at
-
-
-def steps(rank: np.ndarray, words: int, classes: int, width: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    at, head = levels(words, classes, width), classes * width
-    inner, depth = rank < min(head, words), len(at) - 1
-    cls = np.where(inner, rank // width + 1, 0)
-    if not depth:
-        which = np.flatnonzero(inner)
-        return cls, [(which, cls[which], rank[which] % width)] if which.size else []
-    t = rank - head
-    top = np.where(rank < words, t // width ** (depth - 1) + 1, 0)  # 0: the rest
-    out = [(np.arange(rank.size), np.where(inner, cls, at[0]), np.where(inner, rank % width, top))]
-    which = np.flatnonzero(~inner & (rank < words))
-    for j in range(1, depth if which.size else 0):
-        out.append((which, at[j] + t[which] // width ** (depth - j), t[which] // width ** (depth - j - 1) % width))
-    return cls, out
-
-
-def start(top: list[tuple[int, int]], n: int, v: int, classes: int, width: int, rows: int) -> Model:
-    """The model before training: biases that give the unigram distribution."""
-    top = sorted(top, key=lambda x: (-x[1], x[0]))
-    keys, counts = np.array([t[0] for t in top], np.uint64), np.array([t[1] for t in top], np.float64)
-    rest = n - counts.sum() + 0.5 * (v - len(top) + 1)
-    rank, weight = np.arange(len(top) + 1), np.append(counts, rest)
-    nodes = levels(len(top), classes, width)[-1]
-    cls, below = steps(rank, len(top), classes, width)
-    by_class, by_word = np.zeros((rows, classes + 1), np.float32), np.zeros((nodes + rows, width), np.float32)
-    mass, inside = np.bincount(cls, weights=weight, minlength=classes + 1), np.zeros((nodes, width))
-    for which, node, slot in below:
-        np.add.at(inside, (node, slot), weight[which])
-    by_class[0] = np.log(np.maximum(mass, 1e-30) / mass.sum())
-    by_word[:nodes] = np.where(inside > 0, np.log(np.maximum(inside, 1e-30)), -60)
-    order = np.argsort(keys)
-    return Model(keys[order], order.astype(np.int64), classes, width, rows, by_class, by_word, n, v, int(counts.sum()))
+            some = slice(at, at + SCORED)
+            token, node, right, opens = self.paths(ranks[some])
+            z, _ = self.logits([f[some] for f in found], token, node)
+            out[some] = -np.add.reduceat(np.logaddexp(0, np.where(right, -z, z).astype(np.float64)), opens)
+        rest = ranks == self.keys.size
+        out[rest] += np.log((counts[rest] + 0.5) / self.rest)
+        return out / LN10
+
+
+def parted(mass: np.ndarray, use: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Nested classes of two parts: (class, word, whether in the second part) of all steps, and each class's log odds."""
+    if use is not None:
+        use = np.sqrt(use / np.maximum(use.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    nodes, words, right, odds = [], [], [], []
+    todo = [np.argsort(-mass, kind="stable")]
+    while todo:
+        some = todo.pop()
+        if some.size < 2:
+            continue
+        if use is not None and some.size >= PARTED:
+            x, w = use[some], (mass[some] / mass[some].sum()).astype(np.float32)
+            x = x - w @ x
+            main = np.linalg.eigh((x * w[:, None]).T @ x)[1][:, -1]
+            some = some[np.argsort(x @ (main * np.sign(main[np.abs(main).argmax()])), kind="stable")]
+        so_far = np.cumsum(mass[some])
+        cut = int(np.clip(np.searchsorted(so_far, so_far[-1] / 2), 0, some.size - 2)) + 1
+        for part, second in ((some[:cut], False), (some[cut:], True)):
+            nodes.append(np.full(part.size, len(odds) + 1, np.int32))
+            words.append(part)
+            right.append(np.full(part.size, second))
+            todo.append(part)
+        odds.append(float(np.log((so_far[-1] - so_far[cut - 1]) / so_far[cut - 1])))
+    if not nodes:
+        return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool), odds
+    return np.concatenate(nodes), np.concatenate(words), np.concatenate(right), odds
+
+
+def start(keys: np.ndarray, counts: np.ndarray, n: int, v: int, rows: int, use: np.ndarray | None = None) -> Model:
+    """The model before training, whose biases give the unigram distribution. ``keys`` ascend; ``use`` has a row for each."""
+    counts = counts.astype(np.float64)
+    rest = n - counts.sum() + 0.5 * (v - keys.size + 1)
+    node, word, right, odds = parted(counts, use)
+    order = np.lexsort((node, word))
+    size = np.append(np.bincount(word, minlength=keys.size) + 1, 1)  # the top class is on every path
+    opens = np.concatenate([[0], np.cumsum(size)])
+    nodes, turn = np.zeros(opens[-1], np.int32), np.zeros(opens[-1], bool)
+    below = np.ones(opens[-1], bool)
+    below[opens[:-1]] = False
+    nodes[below], turn[below] = node[order], right[order]
+    turn[-1] = True  # the rest
+    top = float(np.log(rest / counts.sum())) if keys.size else 60.0
+    bits = max(4, round(float(np.log2(rows))))
+    return Model(keys, opens, nodes, turn, np.array([top, *odds], np.float32), np.zeros(1 << bits, np.float32), n, v, rest)
 
 
 class Trainer:
     """AdaGrad steps on one task's documents."""
 
     def __init__(self, model: Model, rate: float):
-        self.m, self.rate = model, rate
-        self.by_class, self.by_word = model.by_class.copy(), model.by_word.copy()
-        self.seen = [np.full(t.shape, 1e-2, np.float32) for t in (self.by_class, self.by_word)]
-        self.n = 0
-
-    def _step(self, table: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-        g = np.exp(Model.logs(table, rows))
-        g[np.arange(target.size), target] -= 1
-        flat = rows[:, 1:].ravel()  # biases stay at the unigram distribution
-        order = np.sort(flat << 17 | np.arange(flat.size)) & (1 << 17) - 1  # by row, then place: faster than argsort
-        at = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grad = np.add.reduceat(g[order // (rows.shape[1] - 1)], at, axis=0) / np.float32(BATCH**0.5)
-        r = flat[order][at]
-        seen[r] += grad * grad
-        table[r] -= self.rate * grad / np.sqrt(seen[r])
+        self.m, self.rate, self.n = model, np.float32(rate), 0
+        self.table = model.table.copy()
+        self.seen = np.full(self.table.size, 0.1, np.float32)
 
     def learn(self, words: np.ndarray, lengths: np.ndarray) -> None:
-        m = self.m
-        rank, rows = m.ranks(words), m.features(words, lengths)
+        m, ranks, found = self.m, self.m.ranks(words), features(words, lengths)
         for at in range(0, words.size, BATCH):
-            r = rows[at : at + BATCH]
-            cls, below = m.steps(rank[at : at + BATCH])
-            self._step(self.by_class, self.seen[0], r, cls)
-            for which, node, slot in below:
-                self._step(self.by_word, self.seen[1], m.second(r[which], node), slot)
+            some = slice(at, at + BATCH)
+            token, node, right, _ = m.paths(ranks[some])
+            z, places = m.logits([f[some] for f in found], token, node, self.table)
+            g = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - right
+            g = g.astype(np.float32)
+            square = g * g
+            for p in places:
+                np.add.at(self.seen, p, square)
+            g *= -self.rate
+            for p in places:
+                np.add.at(self.table, p, g / np.sqrt(self.seen[p]))
         self.n += words.size
 
 
 CHUNKS = 16
-DELTA = pa.schema([("node", pa.int64()), ("chunk", pa.int32()), ("n", pa.int64()), ("delta", pa.binary())])
+GATHERED = pa.schema([("node", pa.int64()), ("chunk", pa.int32()), ("n", pa.int64()), ("values", pa.binary())])
+
+
+def _gather(made: DataFrame, tasks: int, join) -> list[np.ndarray] | None:
+    """One array from those of all tasks, CHUNKS rows each, by ``join(weights, arrays)`` in a tree of groups of 64 tasks."""
+    kind = "node long, chunk int, n long, values binary"
+
+    def one(table: pa.Table) -> pa.Table:
+        n = np.array(table["n"].to_pylist(), np.float64)
+        total = join(n, [np.frombuffer(x, np.float16) for x in table["values"].to_pylist()])
+        row = {"node": table["node"][0].as_py() // 64, "chunk": table["chunk"][0].as_py(), "n": int(n.sum()), "values": total.astype(np.float16).tobytes()}
+        return pa.Table.from_pylist([row], schema=GATHERED)
+
+    while True:
+        made = made.withColumn("up", F.floor(F.col("node") / 64)).groupBy("up", "chunk").applyInArrow(one, kind)
+        tasks = -(-tasks // 64)
+        if tasks <= 1:
+            break
+    got = sorted(made.collect(), key=lambda r: r["chunk"])  # CHUNKS rows, the size of the model
+    return np.concatenate([np.frombuffer(r["values"], np.float16) for r in got]).astype(np.float32) if got else None
+
+
+def _chunks(values: np.ndarray, n: int) -> pa.RecordBatch:
+    rows = [{"node": TaskContext.get().partitionId(), "chunk": k, "n": n, "values": x.tobytes()} for k, x in enumerate(np.array_split(values.astype(np.float16), CHUNKS))]
+    return pa.RecordBatch.from_pylist(rows, schema=GATHERED)
+
 
+def _roots(_, some: list[np.ndarray]) -> np.ndarray:
+    return np.sqrt(sum(np.square(x.astype(np.float32)) for x in some))
 
-def _round(docs: DataFrame, model: Model, turn: int, rounds: int, rate: float, held_mod: int, held_rest: int) -> Model:
+
+def _mean(n: np.ndarray, some: list[np.ndarray]) -> np.ndarray:
+    """Changes of each weight, averaged over those that changed it."""
+    total, weight = np.zeros(some[0].size, np.float32), np.zeros(some[0].size, np.float32)
+    for w, x in zip(n / n.sum(), some, strict=True):
+        x = x.astype(np.float32)
+        total += np.float32(w) * x
+        weight += np.float32(w) * (x != 0)
+    return total / np.maximum(weight, np.float32(1e-30))
+
+
+def _texts(batches):
+    """(words, lengths) of some texts at a time; their column is the only one."""
+    for b in batches:
+        raw, at = raw_texts(b.column(0))
+        for i, j in slices(at):
+            yield tokens(raw[int(at[i]) : int(at[j])], at[i : j + 1] - at[i])
+
+
+def _uses(docs: DataFrame, keys: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
+    """Of each predicted word how often each context stands one and two places before it, over all training documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((keys, np.argsort(-counts, kind="stable")[:CONTEXTS])))
+
+    def count(batches):
+        known, top = pickle.loads(sent.value)
+        context = np.full(known.size + 1, CONTEXTS)
+        context[top] = np.arange(top.size)
+        total, n = np.zeros(known.size * 2 * (CONTEXTS + 1), np.float32), 0
+        for words, lengths in _texts(batches):
+            at = np.minimum(np.searchsorted(known, words), known.size - 1)
+            rank = np.where(known[at] == words, at, known.size)
+            here = rank < known.size
+            for k in (1, 2):
+                seen = behind(context[rank], lengths, k, CONTEXTS)[here]
+                np.add.at(total, (rank[here] * 2 + k - 1) * (CONTEXTS + 1) + seen, np.float32(1))
+            n += words.size
+        if n:
+            yield _chunks(np.sqrt(total), n)
+
+    found = _gather(docs.mapInArrow(count, "node long, chunk int, n long, values binary"), docs.rdd.getNumPartitions(), _roots)
+    return None if found is None else np.square(found).reshape(keys.size, -1)
+
+
+def _round(docs: DataFrame, model: Model, rate: float) -> Model:
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def train(batches):
         m = pickle.loads(sent.value)
         t = Trainer(m, rate)
-        words, lengths, n = [], [], 0
-        for b in batches:
-            for doc_id, raw in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                c = crc(doc_id)
-                if c % held_mod == held_rest or (c // held_mod) % rounds != turn:
-                    continue
-                w = tokens(raw)
-                words.append(w)
-                lengths.append(w.size)
-                n += w.size
-                if n >= 8 * BATCH:
-                    t.learn(np.concatenate(words), np.array(lengths))
-                    words, lengths, n = [], [], 0
-        if n:
-            t.learn(np.concatenate(words), np.array(lengths))
+        for words, lengths in _texts(batches):
+            t.learn(words, lengths)
         if t.n:
-            change = np.concatenate([(t.by_class - m.by_class).ravel(), (t.by_word - m.by_word).ravel()]).astype(np.float16)
-            rows = [{"node": TaskContext.get().partitionId(), "chunk": k, "n": t.n, "delta": x.tobytes()} for k, x in enumerate(np.array_split(change, CHUNKS))]
-            yield pa.RecordBatch.from_pylist(rows, schema=DELTA)
+            yield _chunks(t.table - m.table, t.n)
 
-    def average(table: pa.Table) -> pa.Table:
-        n = np.array(table["n"].to_pylist(), np.float64)
-        total = sum(w * np.frombuffer(x, np.float16).astype(np.float32) for w, x in zip(n / n.sum(), table["delta"].to_pylist(), strict=True))
-        row = {"node": table["node"][0].as_py() // 64, "chunk": table["chunk"][0].as_py(), "n": int(n.sum()), "delta": total.astype(np.float16).tobytes()}
-        return pa.Table.from_pylist([row], schema=DELTA)
-
-    kind = "node long, chunk int, n long, delta binary"
-    made = docs.mapInArrow(train, kind)
-    tasks = docs.rdd.getNumPartitions()
-    while True:  # a tree of groups of 64 tasks
-        made = made.withColumn("up", F.floor(F.col("node") / 64)).groupBy("up", "chunk").applyInArrow(average, kind)
-        tasks = -(-tasks // 64)
-        if tasks <= 1:
-            break
-    got = sorted(made.collect(), key=lambda r: r["chunk"])  # CHUNKS rows, the size of the model
-    if not got:
-        return model
-    change = np.concatenate([np.frombuffer(r["delta"], np.float16) for r in got]).astype(np.float32)
-    cut = model.by_class.size
-    model.by_class = model.by_class + change[:cut].reshape(model.by_class.shape)
-    model.by_word = model.by_word + change[cut:].reshape(model.by_word.shape)
+    change = _gather(docs.mapInArrow(train, "node long, chunk int, n long, values binary"), docs.rdd.getNumPartitions(), _mean)
+    if change is not None:
+        model.table = model.table + change
     return model
 
 
@@ -272,96 +300,110 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 
 def predicted(v: int, least: int) -> int:
     """Words of ``v`` that are predicted from the history."""
-    return min(v, max(least, int(v**0.75)))
+    return min(v, max(least, int(16 * v**0.55)))
 
 
-def score(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    held_mod: int = 5,
-    held_rest: int = 1,
-    classes: int = 32,
-    width: int = 32,
-    rows: int = 8192,
-    rounds: int = 3,
-    rate: float = 0.1,
-) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
-    buckets = parts(docs.sparkSession)
-    df = docs.select(block_of(F.col(id_col), F.col(text_col).cast("string")).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def word_counts(df: DataFrame, buckets: int, held_mod: int, held_rest: int, least: int) -> DataFrame:
+    """COUNTS: of every block its words' training counts in the corpus; and, with a null block, sums and frequent words of every bucket."""
 
     def send(batches):
         for b in batches:
-            per: dict[int, list] = {}
-            for block, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
-                per.setdefault(block, []).append((crc(doc_id) % held_mod != held_rest, tokens(raw)))
-            out = []
-            for block, some in per.items():
-                keys, where = np.unique(np.concatenate([w for _, w in some]), return_inverse=True)
-                weight = np.repeat(np.array([t for t, _ in some], float), [w.size for _, w in some])
-                out += by_bucket(block, keys, np.bincount(where, weights=weight, minlength=keys.size), buckets)
+            blocks, ids = b.column(0).to_numpy(), b.column(1).to_pylist()
+            learnt = np.fromiter((crc(i) % held_mod != held_rest for i in ids), bool, len(ids))
+            raw, at = raw_texts(b.column(2))
+            parts = [(*tokens(raw[int(at[i]) : int(at[j])], at[i : j + 1] - at[i]), i, j) for i, j in slices(at)]
+            out: list[dict] = []
+            for block in np.unique(blocks).tolist():
+                words, weight = [], []
+                for w, lengths, i, j in parts:
+                    mine = np.repeat(blocks[i:j] == block, lengths)
+                    words.append(w[mine])
+                    weight.append(np.repeat(learnt[i:j], lengths)[mine])
+                keys, where = np.unique(np.concatenate(words), return_inverse=True)
+                out += by_bucket(block, keys, np.bincount(where, weights=np.concatenate(weight), minlength=keys.size), buckets)
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())]))
+                yield rows_batch(out, ENTRY_ARROW)
 
     def answer(table: pa.Table) -> pa.Table:
         distinct, total, where, at = summed(table)
         seen = int((total > 0).sum())
-        share = predicted(buckets * seen, classes * width) / buckets
-        top = np.argsort(-total, kind="stable")[: min(seen, classes * width + int(share + 8 * share**0.5))]
+        share = predicted(buckets * seen, least) / buckets
+        top = np.argsort(-total, kind="stable")[: min(seen, least + int(share + 8 * share**0.5))]
         out = [{"block": None, "keys": distinct[top].tobytes(), "vals": total[top].tobytes(), "n": int(total.sum()), "v": seen}]
         for i, block in enumerate(table["block"].to_pylist()):
             mine = np.minimum(total[where[at[i] : at[i + 1]]], 0xFFFFFFFF).astype(np.uint32)
             out.append({"block": block, "keys": table["keys"][i].as_py(), "vals": mine.tobytes(), "n": None, "v": None})
         return pa.Table.from_pylist(out, schema=COUNTS_ARROW)
 
-    entries = df.mapInArrow(send, "bucket int, block long, keys binary, vals binary")
-    counts = written(entries.groupBy("bucket").applyInArrow(answer, COUNTS), "maxent-counts")
-    stats = counts.where("n is not null").collect()  # one row a bucket
+    return df.mapInArrow(send, ENTRIES).groupBy("bucket").applyInArrow(answer, COUNTS)
+
+
+def fit(df: DataFrame, counts: DataFrame, *, held_mod: int, held_rest: int, least: int, rows: int, rounds: int, rate: float) -> Model:
+    """The trained model; ``df`` has doc_id and text, ``counts`` is from ``word_counts``."""
+    stats = counts.where("n is not null").select("keys", "vals", "n", "v").collect()  # one row a bucket
     n, v = sum(r["n"] for r in stats), sum(r["v"] for r in stats)
-    top = [x for r in stats for x in zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["vals"], np.int64).tolist(), strict=True)]
-    top = sorted(top, key=lambda x: (-x[1], x[0]))[: predicted(v, classes * width)]
-    model = start(top, n, v, classes, width, max(rows, int(8192 * (n / 1e6) ** 0.5)))
-    if n:
-        for turn in range(rounds):
-            model = _round(df.select("doc_id", "text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism), model, turn, rounds, rate, held_mod, held_rest)
+    keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in stats)])
+    times = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["vals"], np.int64) for r in stats)])
+    top = np.lexsort((keys, -times))[: predicted(v, least)]
+    top = top[np.argsort(keys[top])]
+    keys, times = keys[top], times[top]
+    size = int(rows * (n / 1e6) ** (1 / 3))
+    if not n:
+        return start(keys, times, n, v, rows)
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    learnt = df.where(number % held_mod != held_rest)
+    few: Column = F.floor(number / held_mod) % rounds
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    model = start(keys, times, n, v, max(16, size), _uses(learnt.select("text").coalesce(tasks), keys, times) if keys.size >= PARTED else None)
+    for turn in range(rounds):
+        model = _round(learnt.where(few == turn).select("text").coalesce(tasks), model, rate)
+    return model
+
+
+def score(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    held_mod: int = 5,
+    held_rest: int = 1,
+    least: int = 1024,
+    rows: int = 1 << 20,
+    rounds: int = 3,
+    rate: float = 0.1,
+    fitted: list | None = None,
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document; the model is appended to ``fitted``."""
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    df = df.select(block_of(F.col("doc_id"), F.col("text")).alias("block"), "doc_id", "text")
+    counts = written(word_counts(df, buckets_of(docs), held_mod, held_rest, least), "maxent-counts")
+    model = fit(df, counts, held_mod=held_mod, held_rest=held_rest, least=least, rows=rows, rounds=rounds, rate=rate)
+    if fitted is not None:
+        fitted.append(model)
+    n, v = model.train_tokens, model.distinct
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         m: Model = pickle.loads(sent.value)
-        keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right["keys"].to_pylist())])
-        vals = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in right["vals"].to_pylist())])
+        keys = np.frombuffer(b"".join(right["keys"].to_pylist()), np.uint64)
+        vals = np.frombuffer(b"".join(right["vals"].to_pylist()), np.uint32)
         keys, first = np.unique(keys, return_index=True)  # a block's word has one count, however often it was asked
-        vals = vals[first]
-        out: list[list] = [[] for _ in SCORES]
-        todo: list = []
-
-        def flush():
-            words = np.concatenate([w for _, w in todo])
-            lengths = np.array([w.size for _, w in todo])
-            at = np.minimum(np.searchsorted(keys, words), max(0, keys.size - 1))
-            c = vals[at].astype(np.float64)
+        vals = vals[first].astype(np.float64)
+        ids = left["doc_id"].to_pylist()
+        raw, at = raw_texts(left["text"])
+        sizes, known, base, told = [], [], [], []
+        for i, j in slices(at):
+            words, lengths = tokens(raw[int(at[i]) : int(at[j])], at[i : j + 1] - at[i])
+            c = vals[np.searchsorted(keys, words)]
             opens = np.cumsum(lengths) - lengths
-            base = np.add.reduceat(np.log10((c + 0.5) / (n + 0.5 * (v + 1))), opens)
-            model_score = np.add.reduceat(m.score(words, c, lengths), opens)
-            known = np.add.reduceat((c > 0).astype(np.int64), opens)
-            for k, (doc_id, w) in enumerate(todo):
-                for col, x in zip(out, (doc_id, crc(doc_id) % held_mod == held_rest, w.size, int(known[k]), n, float(base[k]), float(model_score[k])), strict=True):
-                    col.append(x)
-            todo.clear()
-
-        size = 0
-        for doc_id, raw in zip(left["doc_id"].to_pylist(), left["text"], strict=True):
-            w = tokens(raw.as_buffer().to_pybytes() if raw.is_valid else b"")
-            todo.append((doc_id, w))
-            size += w.size
-            if size >= 8 * BATCH:
-                flush()
-                size = 0
-        if todo:
-            flush()
-        return pa.table([pa.array(c, f.type) for c, f in zip(out, SCORES, strict=True)], schema=SCORES)
+            sizes.append(lengths)
+            known.append(np.add.reduceat((c > 0).astype(np.int64), opens))
+            base.append(np.add.reduceat(np.log10((c + 0.5) / (n + 0.5 * (v + 1))), opens))
+            told.append(np.add.reduceat(m.score(words, c, lengths), opens))
+        whole = lambda some, kind: pa.array(np.concatenate([np.empty(0, kind), *some]))
+        held = [crc(i) % held_mod == held_rest for i in ids]
+        cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), whole(sizes, np.int64), whole(known, np.int64), pa.array(np.full(len(ids), n)), whole(base, np.float64), whole(told, np.float64)]
+        return pa.table(cols, schema=SCORES)
 
     answers = counts.where("n is null").select("block", "keys", "vals")
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, shared_dir
+from .common import Memo, parts, raw_texts, shared_dir, slices, span_hashes
 
 MAGIC, HEAD = b"TPK1", struct.Struct(">4sIQQQQ")
 #: Ids of a block; a multiple of 8, so that blocks are whole bytes at any width.
@@ -113,21 +113,41 @@ class Segment:
         return unpack(raw, min(b * BLOCK, self.n_ids) - a * BLOCK, self.bits)[start - a * BLOCK : end - a * BLOCK]
 
 
-class Encoder:
-    """The tokenizers library over parts of texts, each part encoded once and kept in a bounded memo.
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+
+
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP[list(b",.;:!?")] = True
+
+
+def part_starts(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where texts may be cut: a byte-level pre-tokenizer always begins a token at white space behind another character,
+    and at a stop behind a letter.
 
-    A byte-level pre-tokenizer always begins a token at a single space or line feed between two
-    characters that are no white space, so texts are cut there; texts with other white space are encoded whole."""
+    Cuts at white space are those at spaces and line feeds; white space beyond ASCII is told by its two or three bytes."""
+    cut = np.zeros(b.size, bool)
+    cut[1:] = _STOP[b[1:]] & _LETTER[b[:-1]]
+    opens = np.flatnonzero(((b[1:] == 32) | (b[1:] == 10)) & ~_BLANK[b[:-1]]) + 1
+    wide = opens[b[opens - 1] >= 128]
+    p1, p2, p3 = b[wide - 1], b[np.maximum(wide - 2, 0)], b[np.maximum(wide - 3, 0)]
+    blank = (p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0)) | (p3 == 0xE1) & (p2 == 0x9A) & (p1 == 0x80) | (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80)
+    blank |= (p3 == 0xE2) & ((p2 == 0x80) & ((p1 >= 0x80) & (p1 <= 0x8A) | (p1 == 0xA8) | (p1 == 0xA9) | (p1 == 0xAF)) | (p2 == 0x81) & (p1 == 0x9F))
+    cut[opens] = True
+    cut[wide[blank]] = False
+    cut[at[:-1][np.diff(at) > 0]] = True
+    return np.flatnonzero(cut)
 
-    STOPS = ",.;:!?"
+
+class Encoder:
+    """The tokenizers library over parts of texts, each encoded once and kept in a bounded memo of arrays."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {}
+        self.lib, self.memo = Tokenizer.from_file(path), Memo(MEMO, np.uint32)
         added = {t.content for t in self.lib.get_added_tokens_decoder().values()}
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character for each of its bytes
@@ -152,37 +172,33 @@ class Encoder:
         raw, at = ids.tobytes(), [0, *(stop * 4).tolist()]
         return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
 
+    def encode_raw(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts behind one another, and how many each has; ``at``: where each begins and the last ends."""
+        if not raw:
+            return np.empty(0, np.uint32), np.zeros(at.size - 1, np.int64)
+        start = part_starts(np.frombuffer(raw, np.uint8), at)
+        ends = np.append(start[1:], len(raw))
+
+        def make(which: np.ndarray) -> list[bytes]:
+            parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[which].tolist(), ends[which].tolist(), strict=True)]
+            # those that begin with a cut and do not end in white space can stand behind one another
+            joined = [k for k, p in enumerate(parts) if p[0] in " \n" and not p[-1].isspace()]
+            out: list[bytes] = [b""] * len(parts)
+            for k, ids in zip(joined, self._encode_joined([parts[k] for k in joined]), strict=True):
+                out[k] = ids
+            alone = sorted(set(range(len(parts))).difference(joined))
+            for k, ids in zip(alone, self._encode([parts[k] for k in alone]), strict=True):
+                out[k] = ids
+            return out
+
+        ids, size = self.memo.look(span_hashes(raw, start, ends - start), make)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        return ids, np.diff(edge[np.searchsorted(start, at)])
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        memo = self.memo
-        cuts = []
-        for t in texts:
-            c = t.replace("\n", " \n").split(" ")
-            c[0] = " " + c[0]  # the first part has no space before it; no other part holds one
-            cuts.append(c)
-        every = set().union(*cuts)
-        missing = every - memo.keys()
-        if len(memo) + len(missing) > MEMO:
-            memo.clear()
-            missing = every
-        odd = {p for p in missing if not (body := p[1:] if p[:1] in ("\n", " ") else p) or body[0].isspace() or body[-1].isspace()}
-        # a letter never shares a token with stops behind it: the part without them is looked up, or encoded once
-        stems = {p: q for p in missing - odd if p[-1] in self.STOPS and (q := p.rstrip(self.STOPS)) and q[-1].isalpha()}
-        todo = list(((missing - odd - stems.keys()) | set(stems.values())) - memo.keys())
-        heads, others = [p for p in todo if p[0] == " "], [p for p in todo if p[0] != " "]
-        memo.update(zip(heads, self._encode([p[1:] for p in heads]), strict=True))
-        memo.update(zip(others, self._encode_joined([p if p[0] == "\n" else " " + p for p in others]), strict=True))
-        tails = {p[len(q) :] for p, q in stems.items()} - self.stops.keys()
-        self.stops.update(zip(tails, self._encode(list(tails)), strict=True))
-        for p, q in stems.items():
-            memo[p] = memo[q] + self.stops[p[len(q) :]]
-        out = []
-        for t, c in zip(texts, cuts, strict=True):
-            if odd and not odd.isdisjoint(c):
-                raw = self._encode([t])[0] if t else b""
-            else:
-                raw = b"".join([memo[p] for p in c])
-            out.append(np.frombuffer(raw, np.uint32))
-        return out
+        raw = [t.encode() for t in texts]
+        ids, sizes = self.encode_raw(b"".join(raw), np.cumsum([0, *map(len, raw)]))
+        return np.split(ids, np.cumsum(sizes)[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -208,7 +224,6 @@ def write(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", t
     path = path or f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
     model = tokenizer or default_tokenizer()
     bits = width(max(vocabulary(model), end_id + 1))
-    tail = np.array([end_id], np.uint32)
 
     def run(batches):
         number, docs_, ids_, n = 0, [], [], 0
@@ -218,13 +233,15 @@ def write(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", t
             raw = segment(docs_, ids_, bits, task, number)
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["segment"])
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                for d, x in zip(b.column(0).to_pylist(), encoder(model).encode_all([t or "" for t in b.column(1).to_pylist()]), strict=True):
+        for b in batches:
+            some, (raw, at) = b.column(0).to_pylist(), raw_texts(b.column(1))
+            for i, j in slices(at):
+                ids, sizes = encoder(model).encode_raw(bytes(raw[int(at[i]) : int(at[j])]), at[i : j + 1] - at[i])
+                ends = np.cumsum(sizes)
+                for d, x in zip(some[i:j], np.split(np.insert(ids, ends, end_id), ends + np.arange(1, j - i + 1)), strict=False):
                     docs_.append(d)
-                    ids_.append(np.concatenate([x, tail]))
-                    n += x.size + 1
+                    ids_.append(x)
+                    n += x.size
                     if n >= segment_ids:
                         yield cut()
                         number, docs_, ids_, n = number + 1, [], [], 0

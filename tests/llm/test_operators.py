@@ -40,7 +40,8 @@ def empty(docs):
 
 
 def test_maxent(docs, rows):
-    got = {r.doc_id: r for r in maxent.score(docs, classes=4, width=4, rows=512).collect()}
+    fitted = []
+    got = {r.doc_id: r for r in maxent.score(docs, least=30, rows=1 << 14, fitted=fitted).collect()}
     c = collections.Counter()
     toks = {i: [*WORD.findall(lower(t)), 0] for i, t in rows}
     for i, w in toks.items():
@@ -51,55 +52,75 @@ def test_maxent(docs, rows):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 5 == 1, len(w), sum(c[x] > 0 for x in w), n)
         assert math.isclose(r.base_score, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-        assert r.score < 0 and math.isfinite(r.score)
+        assert math.isclose(r.score, plain_score(fitted[0], w, c), rel_tol=1e-5)
     assert maxent.score(empty(docs)).collect() == []
-
-
-def test_maxent_is_a_distribution_and_learns():
-    rng = np.random.default_rng(0)
-    words = np.sort(rng.integers(1 << 40, 1 << 60, 30).astype(np.uint64))
-    counts = rng.integers(1, 50, 30)
-    m = maxent.start([(int(w), int(c)) for w, c in zip(words[:16], counts[:16], strict=True)], int(counts.sum()), 30, 4, 4, 256)
-    every = np.append(words, np.uint64(7))  # the last stands for all unknown words
-    weight = np.append(counts, 0).astype(float)
-    total = sum(10 ** float(m.score(np.array([words[3], w]), np.array([counts[3], c]), np.array([2]))[1]) for w, c in zip(every, weight, strict=True))
-    assert math.isclose(total, 1, rel_tol=1e-4)
-    seq = np.tile(words[:8], 4000)  # wholly predictable
-    t = maxent.Trainer(m, 0.1)
-    before = m.score(seq[:800], np.tile(counts[:8], 100).astype(float), np.array([800])).mean()
-    for _ in range(3):
-        t.learn(seq, np.array([seq.size]))
-    m.by_class, m.by_word = t.by_class, t.by_word
-    assert m.score(seq[:800], np.tile(counts[:8], 100).astype(float), np.array([800])).mean() > before + 0.2
-
-
-def test_maxent_tells_rare_words_apart(spark):
+    odd = docs.sparkSession.createDataFrame([(None, "a b"), (3, None), (3, None), (4, "a")], "doc_id long, text string")
+    some = sum(k for i, k in (("", 3), ("3", 1), ("3", 1), ("4", 2)) if zlib.crc32(i.encode()) % 5 != 1)
+    assert sorted((r.n_tokens, r.train_tokens) for r in maxent.score(odd).collect()) == [(1, some), (1, some), (2, some), (3, some)]
+
+
+def plain_score(m, words, counts):
+    """The model's log10 probability of a text, one word and one class at a time."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & mask
+        return x ^ x >> 31
+
+    hashes = [1 if w == 0 else int(common.words_of(w.encode(), np.array([0, len(w.encode())]))[0][0]) for w in words]
+    place, total = {k: i for i, k in enumerate(m.keys.tolist())}, 0.0
+    bits = m.table.size.bit_length() - 1
+    for i, (w, h) in enumerate(zip(words, hashes, strict=True)):
+        h1, h2, h3 = (hashes[i - k] if i >= k else 2 for k in (1, 2, 3))
+        found = [mix(h1), mix((mix(h1) * 3 + h2) & mask), mix((h2 + (1 << 33)) & mask), mix((h3 + (1 << 34)) & mask)]
+        rank = place.get(h, len(place))
+        for k in range(m.opens[rank], m.opens[rank + 1]):
+            node = int(m.nodes[k])
+            z = float(m.bias[node]) + sum(float(m.table[((f ^ mix(node + 1)) * 0x9E3779B97F4A7C15 & mask) >> (64 - bits)]) for f in found)
+            total -= math.log1p(math.exp(-z if m.right[k] else z))
+        if rank == len(place):
+            total += math.log((counts[w] + 0.5) / m.rest)
+    return total / math.log(10)
+
+
+def test_maxent_is_a_distribution_and_learns(spark):
     rng = np.random.default_rng(1)
     words = np.unique(rng.integers(1 << 40, 1 << 60, 400).astype(np.uint64))
-    counts = np.arange(words.size, 0, -1)
-    m = maxent.start([(int(w), int(c)) for w, c in zip(words[:300], counts[:300], strict=True)], int(counts.sum()), words.size, 4, 4, 2048)
-    assert m.keys.size == 300  # 16 in classes, the others in the tail's tree
-    m.by_class[1:], m.by_word[-2048:] = rng.normal(0, 1, (2047, 5)), rng.normal(0, 1, (2048, 4))
-    every, weight = np.append(words, np.uint64(7)), np.append(counts, 0).astype(float)
-    for last in (words[2], words[250], words[390]):
+    counts = rng.permutation(np.arange(1, words.size + 1))
+    top = np.sort(np.argsort(-counts)[:300])
+    m = maxent.start(words[top], counts[top], int(counts.sum()), words.size, 1 << 14, rng.integers(0, 9, (300, 10)).astype(float))
+    every, weight = np.append(words, np.uint64(7)), np.append(counts, 0).astype(float)  # the last stands for all unknown words
+    first = m.score(every, weight, np.ones(every.size, int))
+    assert np.allclose(first, np.log10((weight + 0.5 * (1 - np.isin(every, m.keys))) / (counts.sum() + 0.5 * (words.size - 299))), atol=1e-4)  # unigram shares
+    m.table = rng.normal(0, 1, 1 << 14).astype(np.float32)
+    for last in words[[2, 250, 390]]:
         pairs = np.column_stack([np.full(every.size, last), every]).ravel()
         got = m.score(pairs, np.column_stack([np.ones(every.size), weight]).ravel(), np.full(every.size, 2))
         assert math.isclose(sum(10 ** got[1::2]), 1, rel_tol=1e-4)
-    assert len({tuple(m.features(np.array([w, words[0]]), np.array([2]))[1]) for w in words[300:]}) > 95
-    seq = np.array([words[390], words[200], words[391], words[201]] * 8000)  # rare words after unpredicted ones
+    m.table = np.zeros(1 << 14, np.float32)
+    rare = [w for w in words.tolist() if w not in set(m.keys.tolist())]
+    some = m.keys[[5, 200]].tolist()
+    seq = np.array([rare[0], some[0], rare[1], some[1]] * 4000, np.uint64)  # predicted words after ones that are not
     t = maxent.Trainer(m, 0.1)
     before = m.score(seq[:400], np.ones(400), np.array([400])).mean()
     for _ in range(3):
         t.learn(seq, np.array([seq.size]))
-    m.by_class, m.by_word = t.by_class, t.by_word
+    m.table = t.table
     got = m.score(seq[:400], np.ones(400), np.array([400]))
-    assert got.mean() > before + 0.2 and got[201] > got[200] + 0.5
+    assert got.mean() > before + 0.2 and got[201] > before + 0.5
     assert maxent.predicted(400_000, 1024) > 10_000 and maxent.predicted(100, 1024) == 100
-    # every second word follows from the one before; all but four are outside the classes
+    # every second word follows from the one before
     pairs = [f"{w} {w}x" for w in (f"q{k}" for k in range(40))]
     docs = spark.createDataFrame([(i, " ".join(pairs[(i * 7 + k * 11) % 40] for k in range(200))) for i in range(100)], "doc_id long, text string")
-    r = maxent.score(docs, classes=2, width=2, rows=512).where("held_out").agg(F.sum("score") - F.sum("base_score"), F.sum("n_tokens")).first()
-    assert r[0] / r[1] > 0.02
+    r = maxent.score(docs, least=16, rows=1 << 14).where("held_out").agg(F.sum("score") - F.sum("base_score"), F.sum("n_tokens")).first()
+    assert r[0] / r[1] > 0.2
+
+
+def test_maxent_averages_what_was_changed():
+    got = maxent._mean(np.array([1.0, 3.0]), [np.array([2, 0, 0, 4], np.float16), np.array([2, 8, 0, 0], np.float16)])
+    assert got.tolist() == [2, 8, 0, 4]
+    assert maxent.behind(np.arange(1, 7), np.array([1, 3, 2]), 2, 0).tolist() == [0, 0, 0, 2, 0, 0]
 
 
 # --- 2
