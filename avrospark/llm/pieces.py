@@ -9,8 +9,8 @@ Two tokens are compatible if merging their characters yields just these two: the
 of the first token's merge tree and the left spine of the second grow, the earlier merge first,
 and no merge across the boundary may come before both. Tests are memoised.
 
-A text is cut where no piece can span: before a space mark that follows another character,
-and at line feeds, which no piece holds. Cut parts are encoded once and kept in a bounded memo.
+A text is cut where no piece can span: before a run of space marks that follows another character,
+at line feeds, which no piece holds, and between ASCII characters that stand beside each other in no piece. Parts are told apart by 64-bit hashes, encoded once and kept in a bounded memo of arrays.
 
 Defined results: null and empty texts have no ids and decode to the empty text; ids outside the
 vocabulary raise; repeated rows are encoded each; the text is read whole, in linear time.
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import Memo, mix, raw_texts, slices, span_hashes
 
 #: Entries of each memo; it is emptied when full, which changes speed and never results.
-MEMO = 300_000
+MEMO, PAIRS = 1_000_000, 300_000
 SPACE = "▁"
 NEVER = 1 << 60
 
@@ -70,8 +70,18 @@ class Pieces:
         self.names = {i: p for p, i in self.id_of.items()}
         self.sizes = {i: len(p) for p, i in self.id_of.items()}
         self.single = {p: i for p, i in self.id_of.items() if len(p) == 1}
-        self.memo: dict[str, bytes] = {}
-        self.run_memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO, np.int32)
+        self.byte_size = np.fromiter((len(x or b"") for x in self.bytes_of), np.int64, n)
+        #: Whether a text that begins with the token loses one leading space in decoding.
+        self.opens_plainly = np.fromiter(((x or b"")[:1] == b" " and i not in self.raw and i != self.unknown for i, x in enumerate(self.bytes_of)), bool, n)
+        #: ASCII characters (the mark as a space) that no piece holds one behind the other
+        self.apart = np.zeros((256, 256), bool)
+        self.apart[:128, :128] = True
+        for p in self.id_of:
+            for x, y in zip(p, p[1:], strict=False):
+                x, y = x.replace(SPACE, " "), y.replace(SPACE, " ")
+                if x < "\x80" and y < "\x80":
+                    self.apart[ord(x), ord(y)] = False
         self.char_id = np.empty(0, np.int64)
         self._grow(0x3000)
         self.size_of = np.ones(n, np.int64)
@@ -100,7 +110,7 @@ class Pieces:
 
     def fit(self, a: int, b: int) -> bool:
         """Whether token ``b`` may follow token ``a``; characters outside the vocabulary stand as ``base`` + code point."""
-        if len(self.fits) >= MEMO:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
             self.fits[-1] = True
         known = self.fits[a << 24 | b] = self._compatible(self._name(a), self._name(b))
@@ -209,40 +219,58 @@ class Pieces:
                 if ord(c) < self.char_id.size:
                     self.char_id[ord(c)] = i
 
+    def encode_raw(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts behind one another, and how many each has; ``at``: where each begins and the last ends."""
+        if not raw:
+            return np.empty(0, np.int32), np.zeros(at.size - 1, np.int64)
+        b = np.frombuffer(raw, np.uint8)
+        p1, line = np.append(np.uint8(10), b[:-1]), b == 10
+        cut = line | (p1 == 10) | self.apart[p1, b]
+        runs = np.flatnonzero((b == 32) & (p1 != 32))  # a run of spaces, but not behind a mark that is in the text
+        mark = (runs > 2) & (b[runs - 1] == 0x81) & (b[runs - 2] == 0x96) & (b[runs - 3] == 0xE2)
+        cut[runs[~mark]] = True
+        first = at[:-1][np.diff(at) > 0]
+        cut[first] = True
+        start = np.flatnonzero(cut)
+        ends = np.append(start[1:], len(raw))
+        begins = np.searchsorted(start, first)
+
+        def make(which: np.ndarray) -> list[bytes]:
+            heads = set(begins.tolist())
+            parts = [(SPACE if k in heads else "") + raw[a:b].decode("utf-8", "replace").replace(" ", SPACE) for k, a, b in zip(which.tolist(), start[which].tolist(), ends[which].tolist(), strict=True)]
+            plain = [k for k, p in enumerate(parts) if p[-1] != "\n"]
+            out = [b"".join(self._ids(c) for c in p) if p[-1] == "\n" else b"" for p in parts]
+            for k, ids in zip(plain, self.tables([parts[k] for k in plain]) if plain else [], strict=True):
+                out[k] = ids
+            return out
+
+        hashes = span_hashes(raw, start, ends - start)
+        hashes[begins] = mix(hashes[begins] + np.uint64(1))  # a text's first part has one mark more
+        ids, size = self.memo.look(hashes, make)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        return ids, np.diff(edge[np.searchsorted(start, at)])
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        memo = self.memo
-        cuts = [t.replace("\n", " \n").split(" ") for t in texts]
-        every = set().union(*cuts)
-        missing = every - memo.keys()
-        if len(memo) + len(missing) > MEMO:
-            memo.clear()
-            missing = every
-        odd = {p for p in missing if not (body := p[1:] if p[:1] == "\n" else p) or body[0] == SPACE or body[-1] == SPACE}
-        todo = list(missing - odd)
-        if todo:
-            line = self._ids("\n")
-            for p, ids in zip(todo, self.tables([p[1:] if p[0] == "\n" else SPACE + p for p in todo]), strict=True):
-                memo[p] = line + ids if p[0] == "\n" else ids
-        return [
-            self._runs(t) if odd and not odd.isdisjoint(c) else np.frombuffer(b"".join([memo[p] for p in c]), np.int32) if t else np.empty(0, np.int32)
-            for t, c in zip(texts, cuts, strict=True)
-        ]
+        raw = [t.encode() for t in texts]
+        ids, sizes = self.encode_raw(b"".join(raw), np.cumsum([0, *map(len, raw)]))
+        return np.split(ids, np.cumsum(sizes)[:-1])
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def _runs(self, text: str) -> np.ndarray:
-        """Texts with runs of marks: cut before each run of marks that follows another character, and at line feeds."""
-        marked, out, at, memo = SPACE + text.replace(" ", SPACE), [], 0, self.run_memo
-        for i in range(1, len(marked) + 1):
-            if i == len(marked) or (marked[i] == SPACE and marked[i - 1] != SPACE) or marked[i] == "\n" or marked[i - 1] == "\n":
-                part, at = marked[at:i], i
-                if part not in memo:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = self._ids(part)
-                out.append(memo[part])
-        return np.frombuffer(b"".join(out), np.int32) if text else np.empty(0, np.int32)
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Texts of ids that lie behind one another."""
+        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        edge = np.concatenate([[0], np.cumsum(self.byte_size[ids])])
+        ends = np.cumsum(sizes)
+        plain = (sizes > 0) & self.opens_plainly[ids[np.minimum(ends - sizes, max(0, ids.size - 1))]] if ids.size else np.zeros(sizes.size, bool)
+        out = []
+        for k, (i, j, a, z) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), edge[ends - sizes].tolist(), edge[ends].tolist(), strict=True)):
+            try:
+                out.append(raw[a + 1 : z].decode() if plain[k] else self.decode(ids[i:j].tolist()))
+            except UnicodeDecodeError:
+                out.append(self.decode(ids[i:j].tolist()))
+        return out
 
     def decode(self, ids) -> str:
         """Text of ids: pieces with marks as spaces, byte pieces as UTF-8 (each byte that fits none as U+FFFD), less the leading mark."""
@@ -297,13 +325,15 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     path = model or default_model()
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def work(batches):
         p = pieces(path)
-        ids = p.encode_all([t or "" for t in batch.column(1).to_pylist()])
-        at = np.cumsum([0, *(x.size for x in ids)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([p.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
-
-    return map_batches(df, work, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+        for b in batches:
+            raw, at = raw_texts(b.column(1))
+            for i, j in slices(at):
+                ids, sizes = p.encode_raw(bytes(raw[int(at[i]) : int(at[j])]), at[i : j + 1] - at[i])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists, pa.array(p.decode_all(ids, sizes), pa.string())], ["doc_id", "ids", "decoded"])
+
+    return df.mapInArrow(work, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
