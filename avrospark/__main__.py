@@ -13,8 +13,8 @@ from decimal import Decimal
 from typing import Any
 
 from . import __version__
-from .kernels.codecs import CODECS
-from .kernels.container import blocks, decode_blocks, open_file, payload, read_header
+from .kernels.codecs import CODECS, decompress
+from .kernels.container import blocks, decode_blocks, open_file, read_header
 from .kernels.decode import Decoder
 
 
@@ -54,8 +54,8 @@ def main(args: list[str] | None = None) -> int:
                     print(json.dumps({k: v.decode() for k, v in header.metadata.items() if k != "avro.schema"}, indent=indent))
                     continue
                 decoder = Decoder(header.schema())
-                for b in list(blocks(f, header)):
-                    for records in decode_blocks([payload(f, b, header)], [b.count], decoder):
+                for b, raw in blocks(f, header):
+                    for records in decode_blocks([decompress(header.codec, raw)], [b.count], decoder):
                         for r in records.to_pylist(maps_as_pydicts="strict"):
                             print(json.dumps(r, default=plain, indent=indent))
     return 0

@@ -12,7 +12,7 @@ from pyspark.sql.types import BinaryType, StructType
 
 from ..kernels.decode import Decoder, messages
 from ..kernels.encode import Encoder
-from ..logical import custom_reader
+from ..logical import custom_reader, custom_writer, named_unions
 from ..plans.resolve import needed_fields, resolve
 from ..schema.load import whole
 from ..schema.model import parse_schema
@@ -30,8 +30,22 @@ def _text(schema: Any) -> str:
     return json.dumps(whole(parse_schema(schema)))
 
 
-def avro_decode(col: Column, writer_schema: Any, reader_schema: Any = None, *, unicode_errors: str = "strict") -> Column:
-    """The value of each message, in the shape of ``reader_schema`` (default: the writer's). Only fields that the reader takes are decoded."""
+def avro_decode(
+    col: Column,
+    writer_schema: Any,
+    reader_schema: Any = None,
+    *,
+    unicode_errors: str = "strict",
+    return_record_name: bool = False,
+    return_record_name_override: bool = False,
+    return_named_type: bool = False,
+    return_named_type_override: bool = False,
+) -> Column:
+    """The value of each message, in the shape of ``reader_schema`` (default: the writer's). Only fields that the reader takes are decoded.
+
+    Unions of several branches always come with the branch's name. ``return_record_name`` gives it for a record beside null too,
+    ``return_named_type`` for any named type beside null (the record options are then ignored); an override takes it away again, as such a
+    union has one named branch only."""
     ws = parse_schema(writer_schema)
     rs = parse_schema(reader_schema) if reader_schema is not None else None
     fields = None
@@ -50,7 +64,9 @@ def avro_decode(col: Column, writer_schema: Any, reader_schema: Any = None, *, u
     out = arrow_udf(decode, spark_kind)(col)
     out = out.getField("value") if boxed else out
     out = custom_reader(out, ws)
-    return resolve(out, ws, rs) if rs is not None else out
+    out = resolve(out, ws, rs) if rs is not None else out
+    named = return_named_type and not return_named_type_override
+    return named_unions(out, rs or ws, records=return_record_name and not return_record_name_override and not return_named_type, named=named)
 
 
 def avro_encode(col: Column, schema: Any, *, strict: bool = False, strict_allow_default: bool = False) -> Column:
@@ -61,4 +77,4 @@ def avro_encode(col: Column, schema: Any, *, strict: bool = False, strict_allow_
     def encode(column: pa.Array) -> pa.Array:
         return Encoder(_parsed(text), strict, strict_allow_default).rows(column).binary()
 
-    return arrow_udf(encode, BinaryType())(col)
+    return arrow_udf(encode, BinaryType())(custom_writer(col, _parsed(text)))

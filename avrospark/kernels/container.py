@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ import pyarrow as pa
 
 from ..schema.load import whole
 from ..schema.model import AvroSchema, parse_schema
-from .codecs import CODECS, compress, decompress
+from .codecs import CODECS, compress
 from .decode import Decoder, Lanes
 from .encode import Rows
 from .literal import zigzag
@@ -22,16 +23,18 @@ from .literal import zigzag
 MAGIC = b"Obj\x01"
 SYNC_SIZE = 16
 SYNC_INTERVAL = 16000
+#: Bytes in which a sync marker is looked for at once.
+SEARCHED = 1 << 16
 
 
 def open_file(path: str) -> BinaryIO:
     """A file of any file system that Arrow knows, for random reading."""
-    import pyarrow.fs as fs
-
     if "://" not in path and not path.startswith("file:"):
         return open(path, "rb")
-    system, inner = fs.FileSystem.from_uri(path if not path.startswith("file:/") or path.startswith("file://") else "file://" + path[5:])
-    return system.open_input_file(inner)
+    from ..sources import places
+
+    system, inner = places.at(path)
+    return io.BufferedReader(system.open_input_file(inner), 1 << 20)
 
 
 def _long(f: BinaryIO) -> int | None:
@@ -104,10 +107,33 @@ class Block:
     length: int  # of the payload
 
 
-def blocks(f: BinaryIO, header: Header) -> Iterator[Block]:
-    """The blocks of a file; their payloads are jumped over, their sync markers checked."""
-    at = header.end
-    while True:
+def find_sync(f: BinaryIO, sync: bytes, start: int, end: int) -> int | None:
+    """Where the first sync marker that begins in [start, end) ends."""
+    at, kept = start, b""
+    while at < end:
+        f.seek(at)
+        raw = f.read(min(SEARCHED, end + SYNC_SIZE - 1 - at))
+        if not raw:
+            return None
+        place = (kept + raw).find(sync)
+        if place >= 0:
+            return at - len(kept) + place + SYNC_SIZE
+        at, kept = at + len(raw), (kept + raw)[1 - SYNC_SIZE :]
+    return None
+
+
+def first_block(f: BinaryIO, header: Header, start: int, end: int) -> int | None:
+    """Where the first block of a byte range begins: a block belongs to the range in which the marker before it begins."""
+    mark = header.end - SYNC_SIZE
+    if start <= mark:
+        return header.end if mark < end else None
+    return find_sync(f, header.sync, start, end)
+
+
+def blocks(f: BinaryIO, header: Header, start: int = 0, end: int = 1 << 62) -> Iterator[tuple[Block, bytes]]:
+    """The blocks of a byte range of a file and their payloads, still compressed; their sync markers are checked."""
+    at = first_block(f, header, start, end)
+    while at is not None and at - SYNC_SIZE < end:
         f.seek(at)
         count = _long(f)
         if count is None:
@@ -115,15 +141,14 @@ def blocks(f: BinaryIO, header: Header) -> Iterator[Block]:
         length = _long(f)
         if length is None:
             raise EOFError("the file ends inside a block")
-        start = f.tell()
-        f.seek(start + length)
-        sync = f.read(SYNC_SIZE)
-        if len(sync) < SYNC_SIZE:
+        begins = f.tell()
+        raw = f.read(length + SYNC_SIZE)
+        if len(raw) < length + SYNC_SIZE:
             raise EOFError("the file ends inside a block")
-        if sync != header.sync:
+        if raw[length:] != header.sync:
             raise ValueError("expected sync marker not found")
-        yield Block(at, start + length + SYNC_SIZE - at, count, start, length)
-        at = start + length + SYNC_SIZE
+        yield Block(at, begins + length + SYNC_SIZE - at, count, begins, length), raw[:length]
+        at = begins + length + SYNC_SIZE
 
 
 def decode_blocks(payloads: list[bytes], counts: list[int], decoder: Decoder, most: int = 1 << 20) -> Iterator[pa.Array]:
@@ -172,10 +197,5 @@ def new_sync() -> bytes:
     return os.urandom(SYNC_SIZE)
 
 
-def payload(f: BinaryIO, b: Block, header: Header, verify: bool = True) -> bytes:
-    f.seek(b.start)
-    return decompress(header.codec, f.read(b.length), verify)
-
-
 def is_avro_bytes(first: Any) -> bool:
     return bytes(first[:4]) == MAGIC

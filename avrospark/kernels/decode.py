@@ -34,20 +34,37 @@ class Lanes:
         if pos.size and int(pos.max()) >= self.size:
             raise EOFError("the data ends inside a value")
         b = self.data[pos]
-        z = (b & 0x7F).astype(np.uint64)
         more = b > 127
         pos = pos + 1
-        if more.any():
-            at, shift = np.flatnonzero(more), 7
-            while at.size:
-                if shift > 63:
-                    raise ValueError("a varint has more than 10 bytes")
-                b = self.data[np.minimum(pos[at], self.size)]
-                z[at] |= (b & 0x7F).astype(np.uint64) << np.uint64(shift)
-                pos[at] += 1
-                at, shift = at[b > 127], shift + 7
+        if not more.any():
+            small = b.astype(np.int64)
+            return (small >> 1) ^ -(small & 1), pos
+        z = (b & 0x7F).astype(np.uint64)
+        at, shift = np.flatnonzero(more), 7
+        while at.size:
+            if shift > 63:
+                raise ValueError("a varint has more than 10 bytes")
+            b = self.data[np.minimum(pos[at], self.size)]
+            z[at] |= (b & 0x7F).astype(np.uint64) << np.uint64(shift)
+            pos[at] += 1
+            at, shift = at[b > 127], shift + 7
         return ((z >> np.uint64(1)) ^ (np.uint64(0) - (z & np.uint64(1)))).view(np.int64), pos
 
+    def behind_long(self, pos: np.ndarray) -> np.ndarray:
+        """The cursors behind a varint at each cursor."""
+        if pos.size and int(pos.max()) >= self.size:
+            raise EOFError("the data ends inside a value")
+        at, out = np.flatnonzero(self.data[pos] > 127), pos + 1
+        for _ in range(9):
+            if not at.size:
+                return out
+            more = self.data[np.minimum(out[at], self.size)] > 127
+            out[at] += 1
+            at = at[more]
+        if at.size:
+            raise ValueError("a varint has more than 10 bytes")
+        return out
+
     def runs(self, pos: np.ndarray, sizes: np.ndarray) -> pa.Array:
         """``sizes`` bytes from each cursor, as a binary array."""
         if sizes.size and (int(sizes.min()) < 0 or int((pos + sizes).max()) > self.size):
@@ -67,8 +84,9 @@ class Lanes:
 class Decoder:
     """Decodes values of one schema. ``fields`` names the top-level fields that are wanted, all by default."""
 
-    def __init__(self, schema: AvroSchema, fields: Collection[str] | None = None, unicode_errors: str = "strict"):
-        self.schema, self.fields, self.errors = schema, None if fields is None else set(fields), unicode_errors
+    def __init__(self, schema: AvroSchema, fields: Collection[str] | None = None, unicode_errors: str = "strict", whole: bool = True):
+        """``whole``: whether cursors go on behind the last wanted field, as they must where records follow one another."""
+        self.schema, self.fields, self.errors, self.whole = schema, None if fields is None else set(fields), unicode_errors, whole
 
     def type(self) -> pa.DataType:
         kind = arrow_type(self.schema)
@@ -139,7 +157,10 @@ class Decoder:
             raise ValueError("an index is not of a branch of the union")
         if len(node.branches) == 1:
             return self.value(lanes, pos, node.branches[0], depth)
-        one, pos = optional(node), pos.copy()
+        one = optional(node)
+        if one is not None and index.size and (index == 1 - one[0]).all():  # nothing is null
+            return self.value(lanes, pos, one[1], depth)
+        pos = pos.copy()
         wide: list[pa.Array] = []
         for i, b in enumerate(node.branches):
             where = np.flatnonzero(index == i)
@@ -214,10 +235,14 @@ class Decoder:
             return pa.nulls(0), pos
         values, fields = [], []
         kind = arrow_type(self.schema, node, depth)
+        left = len(wanted) if wanted is not None else -1
         for f, t in zip(node.fields, kind, strict=True):
             if wanted is not None and f.name not in wanted:
+                if not left and not self.whole:
+                    break
                 pos = self.skip(lanes, pos, f.type)
                 continue
+            left -= 1
             got, pos = self.value(lanes, pos, f.type, deeper)
             values.append(got if got.type == t.type else got.cast(t.type))
             fields.append(t)
@@ -235,12 +260,14 @@ class Decoder:
                 return pos
             if node.type in ("boolean", "float", "double"):
                 return pos + {"boolean": 1, "float": 4, "double": 8}[node.type]
-            got, pos = lanes.long(pos)
-            return pos + got if node.type in ("bytes", "string") else pos
+            if node.type in ("bytes", "string"):
+                got, pos = lanes.long(pos)
+                return pos + got
+            return lanes.behind_long(pos)
         if isinstance(node, Fixed):
             return pos + node.size
         if isinstance(node, Enum):
-            return lanes.long(pos)[1]
+            return lanes.behind_long(pos)
         if isinstance(node, Record):
             for f in node.fields:
                 pos = self.skip(lanes, pos, f.type)
@@ -248,6 +275,8 @@ class Decoder:
         pos = pos.copy()
         if isinstance(node, Union):
             index, pos = lanes.long(pos)
+            if 0 <= index[0] < len(node.branches) and (index == index[0]).all():
+                return self.skip(lanes, pos, node.branches[int(index[0])])
             for i, b in enumerate(node.branches):
                 where = np.flatnonzero(index == i)
                 pos[where] = self.skip(lanes, pos[where], b)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +17,14 @@ from ..kernels.literal import zigzag
 from ..plans.resolve import needed_fields, resolve
 from ..schema.canonical import canonical_form
 from ..schema.model import Record, parse_schema
-from ..sources.datasource import local, table_type
-from ..sources.files import register
+from ..logical import READERS, custom_reader
+from ..sources import places
+from ..sources.datasource import table_type
+from ..sources.files import kept, register
 
 
 def read_blocks(spark: SparkSession, path: str, **options: Any) -> DataFrame:
-    """path, block, offset, size, num_records, codec, schema and data (compressed) of every block."""
+    """path, offset, size, num_records, codec, schema and data (compressed) of every block; path and offset tell one from the others."""
     return register(spark).read.format("avro_blocks").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
@@ -43,31 +45,50 @@ def transcode(blocks: DataFrame, codec: str, level: int | None = None) -> DataFr
 
 
 def write_blocks(blocks: DataFrame, path: str, schema: Any = None) -> DataFrame:
-    """Writes blocks to new files, one a task, in block order; all must have one schema in canonical form and one codec. Returns (file, blocks)."""
-    heads = blocks.select("schema", "codec").distinct().limit(3).collect()
-    if len({r["codec"] for r in heads}) > 1 or len({canonical_form(r["schema"]) for r in heads}) > 1:
-        raise ValueError("blocks of one file must have one schema and one codec")
-    if schema is not None and heads and canonical_form(schema) != canonical_form(heads[0]["schema"]):
-        raise ValueError("the blocks have another schema")
-    text = heads[0]["schema"] if heads else parse_schema(schema).text()
-    codec = heads[0]["codec"] if heads else "null"
-    target = local(path)
+    """Writes blocks to new files, one a task, in the order of their files and offsets; all must have one schema in canonical form
+    and one codec. Returns (file, blocks). Tasks write hidden files; once all are done, those of the successful attempts get their names."""
+    job, asked = uuid.uuid4().hex, canonical_form(schema) if schema is not None else None
 
     def run(batches):
-        os.makedirs(target, exist_ok=True)
-        name, n, sync = os.path.join(target, f"part-{uuid.uuid4().hex}.avro"), 0, new_sync()
-        hidden = os.path.join(target, f".{os.path.basename(name)}.tmp")
-        with open(hidden, "wb") as f:
-            f.write(header_bytes(parse_schema(text), codec, sync))
+        f = known = None
+        n, sync = 0, new_sync()
+        hidden = places.join(path, f".{job}-{uuid.uuid4().hex}.tmp")
+        try:
             for b in batches:
-                for count, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for text, codec, count, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    if f is None:
+                        places.make(path)
+                        f, known = places.create(hidden), (canonical_form(text), codec)
+                        f.write(header_bytes(parse_schema(text), codec, sync))
+                        texts = {text}
+                    elif codec != known[1] or text not in texts and canonical_form(text) != known[0]:
+                        raise ValueError("blocks of one file must have one schema and one codec")
+                    texts.add(text)
                     f.write(zigzag(count) + zigzag(len(data)) + data + sync)
                     n += 1
-        os.replace(hidden, name)
-        yield pa.RecordBatch.from_pylist([{"file": name, "blocks": n}], schema=pa.schema([("file", pa.string()), ("blocks", pa.int64())]))
-
-    done = blocks.sortWithinPartitions("path", "block").select("num_records", "data").mapInArrow(run, "file string, blocks long")
-    return blocks.sparkSession.createDataFrame(done.collect(), "file string, blocks long")  # a row a task
+        finally:
+            if f is not None:
+                f.close()
+        if f is not None:
+            yield pa.RecordBatch.from_pylist([{"file": hidden, "blocks": n, "schema": known[0], "codec": known[1]}], schema=pa.schema([("file", pa.string()), ("blocks", pa.int64()), ("schema", pa.string()), ("codec", pa.string())]))
+
+    done, out = [], []
+    try:
+        done = blocks.sortWithinPartitions("path", "offset").select("schema", "codec", "num_records", "data").mapInArrow(run, "file string, blocks long, schema string, codec string").collect()  # a row a task
+        if len({(r["schema"], r["codec"]) for r in done}) > 1:
+            raise ValueError("blocks of one file must have one schema and one codec")
+        if asked is not None and any(r["schema"] != asked for r in done):
+            raise ValueError("the blocks have another schema")
+        for k, r in enumerate(done):
+            out.append((places.join(path, f"part-{k:05d}-{job}.avro"), r["blocks"]))
+            places.move(r["file"], out[-1][0])
+    finally:
+        if places.exists(path):
+            system, inner = places.at(path)
+            for x in system.get_file_info(fs.FileSelector(inner)):
+                if x.base_name.startswith(f".{job}-"):  # of attempts that failed
+                    system.delete_file(x.path)
+    return blocks.sparkSession.createDataFrame(out, "file string, blocks long")
 
 
 def explode_blocks(blocks: DataFrame, writer_schema: Any, reader_schema: Any = None) -> DataFrame:
@@ -85,8 +106,9 @@ def explode_blocks(blocks: DataFrame, writer_schema: Any, reader_schema: Any = N
                 yield pa.RecordBatch.from_struct_array(got if pa.types.is_struct(got.type) else pa.StructArray.from_arrays([got], names=["value"]))
 
     df = blocks.select("num_records", "codec", "data").mapInArrow(run, table_type(ws, fields))
-    if rs is None:
+    if rs is None and not READERS:
         return df
-    made = resolve(F.struct(*df.columns), ws, rs).alias("value")
-    out = df.select(made)
-    return out.select("value.*") if isinstance(rs.get(rs.root), Record) else out
+    record = isinstance(ws.get(ws.root), Record)
+    made = custom_reader(F.struct(*df.columns) if record else F.col("value"), kept(ws, df.columns))
+    out = df.select((resolve(made, ws, rs) if rs is not None else made).alias("value"))
+    return out.select("value.*") if isinstance((rs or ws).get((rs or ws).root), Record) else out

@@ -1,28 +1,29 @@
-"""Python data sources: ``avro_native`` (scan, sink, stream) and ``avro_blocks``.
+"""Python data sources: ``avro_native`` (scan, sink, streams of both kinds) and ``avro_blocks``.
 
-The driver reads headers and block positions only; runs of blocks of about ``splitBytes`` are the partitions.
-A task decompresses its blocks and decodes them lane by lane; ``fields`` prunes the columns inside the decoder.
-The sink writes one file a task under a temporary name and renames the files when the job commits.
+The driver lists files; ranges of about ``splitBytes`` bytes of them are the partitions. A task seeks the first sync marker
+of its range, reads blocks as long as the marker before them begins inside it, decompresses them and decodes them lane by lane;
+``fields`` prunes the columns inside the decoder. The sinks write one file a task under a temporary name, and the driver
+renames the files of successful tasks when the job commits.
 """
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..kernels.container import Header, block_bytes, blocks, cut, decode_blocks, header_bytes, new_sync, open_file, payload, read_header
+from ..kernels.codecs import decompress
+from ..kernels.container import SYNC_SIZE, Header, block_bytes, blocks, cut, decode_blocks, header_bytes, new_sync, open_file, read_header
 from ..kernels.decode import Decoder
 from ..kernels.encode import Encoder
-from ..schema.model import AvroSchema, parse_schema
+from ..schema.model import AvroSchema, Record, parse_schema
 from ..schema.spark_types import _spark, from_spark_type
+from . import places
 
 SPLIT_BYTES = 32 << 20
 LEAST_SPLIT = 1 << 19
@@ -33,83 +34,65 @@ def plain(options: Mapping) -> dict:
     return {k.lower(): v for k, v in options.items()}
 
 
-def local(path: str) -> str:
-    return path[len("file:") :].replace("//", "/", 1) if path.startswith("file:/") else path
-
-
 def list_files(path: str) -> list[str]:
-    """The data files of comma-separated paths: files, folders or patterns; names that begin with . or _ are none."""
-    out: list[str] = []
-    for one in path.split(","):
-        one = local(one)
-        if "://" in one:
-            import pyarrow.fs as fs
-
-            system, inner = fs.FileSystem.from_uri(one)
-            info = system.get_file_info(inner)
-            found = [inner] if info.is_file else [x.path for x in system.get_file_info(fs.FileSelector(inner, recursive=True)) if x.is_file]
-            out += sorted(f"{one.split('://')[0]}://{x}" for x in found)
-        elif os.path.isdir(one):
-            out += sorted(os.path.join(d, f) for d, _, names in os.walk(one) for f in names)
-        else:
-            out += sorted(glob.glob(one)) or [one]
-    return [f for f in out if os.path.basename(f)[:1] not in (".", "_")]
+    return [f for f, _, _ in places.found(path)]
 
 
-def pick_files(options: dict) -> list[str]:
-    return json.loads(options["files"]) if "files" in options else list_files(options["path"])
+def sized_files(options: dict) -> list[tuple[str, int]]:
+    if "files" in options:
+        return [(f, n) for f, n in json.loads(options["files"])]
+    return [(f, n) for f, n, _ in places.found(options["path"])]
 
 
 @dataclass
-class BlockRun(InputPartition):
-    """Blocks of files: (path, [(start, length, count), ...])."""
+class Ranges(InputPartition):
+    """Byte ranges of files: (path, start, end)."""
 
     files: list
 
 
-def run_blocks(files: list[str], split: int, least: int = 1) -> list[BlockRun]:
-    """Runs of about ``split`` bytes, smaller if there would be fewer than ``least`` of them."""
-    found: list[tuple[str, list]] = []
-    for path in files:
-        with open_file(path) as f:
-            found.append((path, [(b.offset, b.size, b.start, b.length, b.count) for b in blocks(f, read_header(f))]))
-    total = sum(b[1] for _, mine in found for b in mine)
+def cut_ranges(files: list[tuple[str, int]], split: int, least: int = 1) -> list[Ranges]:
+    """Ranges of about ``split`` bytes, smaller if there would be fewer than ``least`` of them; small files share one."""
+    total = sum(n for _, n in files)
     split = max(1, min(split, max(total // max(1, least), LEAST_SPLIT)))
     out, some, size = [], [], 0
-    for path, every in found:
-        mine: list = []
-        for b in every:
-            mine.append(b)
-            size += b[1]
+    for path, n in files:
+        at = 0
+        while True:
+            end = min(n, at + split - size)
+            some.append((path, at, end if end < n else 1 << 62))
+            size += end - at
+            at = end
             if size >= split:
-                out.append(BlockRun([*some, (path, mine)]))
-                some, mine, size = [], [], 0
-        if mine:
-            some.append((path, mine))
-    return [*out, BlockRun(some)] if some else out
-
+                out.append(Ranges(some))
+                some, size = [], 0
+            if at >= n:
+                break
+    return [*out, Ranges(some)] if some else out
 
-def decode_run(run: BlockRun, fields: list[str] | None, errors: str, verify: bool, lenient: bool) -> Iterator[pa.RecordBatch]:
-    from ..kernels.container import Block
 
-    for path, found in run.files:
+def decode_ranges(ranges: Ranges, fields: list[str] | None, errors: str, verify: bool, lenient: bool) -> Iterator[pa.RecordBatch]:
+    for path, start, end in ranges.files:
         with open_file(path) as f:
             header = read_header(f)
             decoder = Decoder(header.schema(lenient), fields, errors)
-            at = 0
-            while at < len(found):
-                payloads, counts, size = [], [], 0
-                while at < len(found) and size < SPLIT_BYTES:
-                    offset, whole, start, length, count = found[at]
-                    payloads.append(payload(f, Block(offset, whole, count, start, length), header, verify))
-                    counts.append(count)
-                    size += len(payloads[-1])
-                    at += 1
+
+            def decoded(payloads: list[bytes], counts: list[int], decoder: Decoder = decoder) -> Iterator[pa.RecordBatch]:
                 for got in decode_blocks(payloads, counts, decoder):
                     got = got if pa.types.is_struct(got.type) else pa.StructArray.from_arrays([got], names=["value"])
-                    whole_ = pa.RecordBatch.from_struct_array(got)
-                    for i in range(0, whole_.num_rows, 65536):
-                        yield whole_.slice(i, 65536)
+                    whole = pa.RecordBatch.from_struct_array(got)
+                    for i in range(0, whole.num_rows, 65536):
+                        yield whole.slice(i, 65536)
+
+            payloads, counts, size = [], [], 0
+            for block, raw in blocks(f, header, start, end):
+                payloads.append(decompress(header.codec, raw, verify))
+                counts.append(block.count)
+                size += len(payloads[-1])
+                if size >= SPLIT_BYTES:
+                    yield from decoded(payloads, counts)
+                    payloads, counts, size = [], [], 0
+            yield from decoded(payloads, counts)
 
 
 def _flag(options: dict, name: str, default: bool) -> bool:
@@ -132,48 +115,55 @@ class AvroReader(DataSourceReader, _Common):
         self.options = plain(options)
         self.setup()
 
-    def partitions(self) -> list[BlockRun]:
-        return run_blocks(pick_files(self.options), self.split, self.least) or [BlockRun([])]
+    def partitions(self) -> list[Ranges]:
+        return cut_ranges(sized_files(self.options), self.split, self.least) or [Ranges([])]
 
-    def read(self, partition: BlockRun) -> Iterator[pa.RecordBatch]:
-        yield from decode_run(partition, self.fields, self.errors, self.verify, self.lenient)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from decode_ranges(partition, self.fields, self.errors, self.verify, self.lenient)
 
 
 class AvroStreamReader(DataSourceStreamReader, _Common):
-    """A folder as a stream: an offset is the set of files seen so far."""
+    """A folder as a stream. An offset is the latest time of a file that was seen, and the names of the files of that time; files
+    are taken in the order of their times, which a rename sets anew."""
 
     def __init__(self, options: dict):
         self.options = plain(options)
         self.setup()
 
     def initialOffset(self) -> dict:
-        return {"files": []}
+        return {"time": -1, "names": []}
 
     def latestOffset(self) -> dict:
-        return {"files": list_files(self.options["path"])}
+        files = [(t, f) for f, _, t in places.found(self.options["path"])]
+        last = max((t for t, _ in files), default=-1)
+        return {"time": last, "names": sorted(f for t, f in files if t == last)} if files else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        def seen(t: int, f: str, offset: dict) -> bool:
+            return t < offset["time"] or t == offset["time"] and f in offset["names"]
 
-    def partitions(self, start: dict, end: dict) -> list[BlockRun]:
-        return run_blocks(sorted(set(end["files"]) - set(start["files"])), self.split, self.least)
+        return cut_ranges([(f, n) for f, n, t in places.found(self.options["path"]) if seen(t, f, end) and not seen(t, f, start)], self.split, self.least)
 
-    def read(self, partition: BlockRun) -> Iterator[pa.RecordBatch]:
-        yield from decode_run(partition, self.fields, self.errors, self.verify, self.lenient)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from decode_ranges(partition, self.fields, self.errors, self.verify, self.lenient)
 
 
 @dataclass
 class Written(WriterCommitMessage):
     temporary: str | None
-    final: str | None
 
 
-class AvroWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+class _Sink:
+    """What batch and stream sinks share."""
+
+    def prepare(self, options: dict, schema: StructType, overwrite: bool) -> None:
         self.options, self.overwrite = plain(options), overwrite
         o = self.options
-        self.path = local(o["path"])
+        self.path = o["path"]
         given = o.get("avroschema")
         made = parse_schema(given) if given else parse_schema(from_spark_type(schema, o.get("recordname", "topLevelRecord"), o.get("recordnamespace", "")))
         self.codec, self.level = o.get("codec", "null"), int(o["codeclevel"]) if "codeclevel" in o else None
-        before = [] if overwrite or not os.path.isdir(self.path) else list_files(self.path)
+        before = [] if overwrite or not places.exists(self.path) else list_files(self.path)
         if before:  # what is appended takes the schema and codec of what is there
             with open_file(before[0]) as f:
                 header = read_header(f)
@@ -181,62 +171,94 @@ class AvroWriter(DataSourceArrowWriter):
         from ..schema.load import whole
 
         self.schema_text = json.dumps(whole(made))
-        header_bytes(made, self.codec, b"\0" * 16)  # an unknown codec fails here
+        header_bytes(made, self.codec, b"\0" * SYNC_SIZE)  # an unknown codec fails here
         self.interval = int(o.get("syncinterval", 16000))
+        self.marker = bytes.fromhex(o["syncmarker"]) if "syncmarker" in o else None
+        if self.marker is not None and len(self.marker) != SYNC_SIZE:
+            raise ValueError(f"a sync marker has {SYNC_SIZE} bytes")
         self.metadata = {k[len("metadata.") :]: v for k, v in o.items() if k.startswith("metadata.")}
         self.strict, self.allow = _flag(o, "strict", False), _flag(o, "strictAllowDefault", False)
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         schema, file = parse_schema(self.schema_text), None
-        encoder, sync = Encoder(schema, self.strict, self.allow), new_sync()
-        os.makedirs(self.path, exist_ok=True)
-        name = f"part-{uuid.uuid4().hex}.avro"
-        temporary, final = os.path.join(self.path, f".{name}.tmp"), os.path.join(self.path, name)
+        encoder, sync = Encoder(schema, self.strict, self.allow), self.marker or new_sync()
+        places.make(self.path)
+        temporary = places.join(self.path, f".{self.job}-{uuid.uuid4().hex}.tmp")
         try:
             for batch in iterator:
                 if file is None:
-                    file = open(temporary, "wb")
+                    file = places.create(temporary)
                     file.write(header_bytes(schema, self.codec, sync, self.metadata))
                 arr = batch.to_struct_array() if hasattr(batch, "to_struct_array") else pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
-                if not isinstance(schema.get(schema.root), _record()):
+                if not isinstance(schema.get(schema.root), Record):
                     arr = batch.column(0)
                 for count, body in cut(encoder.rows(arr), self.interval):
                     file.write(block_bytes(count, body, self.codec, sync, self.level))
         finally:
             if file is not None:
                 file.close()
-        return Written(temporary, final) if file is not None else Written(None, None)
+        return Written(temporary if file is not None else None)
+
+    def sweep(self) -> None:
+        """What attempts that did not succeed have left."""
+        system, inner = places.at(self.path)
+        import pyarrow.fs as fs
+
+        for x in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+            if x.base_name.startswith(f".{self.job}-"):
+                system.delete_file(x.path)
+
+
+class AvroWriter(_Sink, DataSourceArrowWriter):
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+        self.prepare(options, schema, overwrite)
 
     def commit(self, messages: list[Written | None]) -> None:
-        old = list_files(self.path) if self.overwrite and os.path.isdir(self.path) else []
-        os.makedirs(self.path, exist_ok=True)
-        found = [m for m in messages if m is not None and m.temporary]
+        places.make(self.path)
+        # an overwrite hides the old files before the new ones appear, so that no reader sees both
+        old = [(f, places.join(f.rpartition("/")[0], f".{self.job}-{k}.old")) for k, f in enumerate(list_files(self.path) if self.overwrite else [])]
+        for f, hidden in old:
+            places.move(f, hidden)
+        found = [m.temporary for m in messages if m is not None and m.temporary]
         if not found:
-            name = os.path.join(self.path, f"part-{uuid.uuid4().hex}.avro")
-            with open(name, "wb") as f:
-                f.write(header_bytes(parse_schema(self.schema_text), self.codec, new_sync(), self.metadata))
-        for m in found:
-            os.replace(m.temporary, m.final)
-        for f in old:
-            os.remove(f)
+            found = [places.join(self.path, f".{self.job}-empty.tmp")]
+            with places.create(found[0]) as f:
+                f.write(header_bytes(parse_schema(self.schema_text), self.codec, self.marker or new_sync(), self.metadata))
+        for k, f in enumerate(found):
+            places.move(f, places.join(self.path, f"part-{k:05d}-{self.job}.avro"))
+        for _, hidden in old:
+            places.remove(hidden)
+        self.sweep()
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m is not None and m.temporary and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+        self.sweep()
 
 
-def _record():
-    from ..schema.model import Record
+class AvroStreamWriter(_Sink, DataSourceStreamArrowWriter):
+    """Every batch's files bear its number; a batch that is run again takes the place of its first run."""
 
-    return Record
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+        self.prepare(options, schema, overwrite)
+
+    def commit(self, messages: list[Written | None], batchId: int) -> None:
+        for f in list_files(self.path) if places.exists(self.path) else []:
+            if f.rpartition("/")[2].startswith(f"batch-{batchId:010d}-"):
+                places.remove(f)
+        for k, m in enumerate(x for x in messages if x is not None and x.temporary):
+            places.move(m.temporary, places.join(self.path, f"batch-{batchId:010d}-{k:05d}.avro"))
+
+    def abort(self, messages: list[Written | None], batchId: int) -> None:
+        for m in messages:
+            if m is not None and m.temporary:
+                places.remove(m.temporary)
 
 
 def first_header(options: dict) -> Header:
-    files = pick_files(options)
+    files = sized_files(options)
     if not files:
         raise FileNotFoundError(f"no files at {options.get('path')}")
-    with open_file(files[0]) as f:
+    with open_file(files[0][0]) as f:
         return read_header(f)
 
 
@@ -272,8 +294,11 @@ class AvroSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> AvroWriter:
         return AvroWriter(plain(self.options), schema, overwrite)
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> AvroStreamWriter:
+        return AvroStreamWriter(plain(self.options), schema, overwrite)
+
 
-BLOCK_TYPE = "path string, block int, offset long, size long, num_records long, codec string, schema string, data binary"
+BLOCK_TYPE = "path string, offset long, size long, num_records long, codec string, schema string, data binary"
 
 
 class BlocksReader(DataSourceReader, _Common):
@@ -281,18 +306,16 @@ class BlocksReader(DataSourceReader, _Common):
         self.options = plain(options)
         self.setup()
 
-    def partitions(self) -> list[BlockRun]:
-        return run_blocks(pick_files(self.options), self.split, self.least) or [BlockRun([])]
+    def partitions(self) -> list[Ranges]:
+        return cut_ranges(sized_files(self.options), self.split, self.least) or [Ranges([])]
 
-    def read(self, partition: BlockRun) -> Iterator[tuple]:
-        for path, found in partition.files:
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for path, start, end in partition.files:
             with open_file(path) as f:
                 header = read_header(f)
                 text = header.metadata["avro.schema"].decode()
-                before = sum(1 for b in blocks(f, header) if b.offset < found[0][0])
-                for i, (offset, size, start, length, count) in enumerate(found):
-                    f.seek(start)
-                    yield (path, before + i, offset, size, count, header.codec, text, f.read(length))
+                for b, raw in blocks(f, header, start, end):
+                    yield (path, b.offset, b.size, b.count, header.codec, text, raw)
 
 
 class BlocksSource(DataSource):

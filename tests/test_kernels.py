@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from avrospark.kernels.codecs import CODECS, compress, decompress
-from avrospark.kernels.container import block_bytes, blocks, cut, decode_blocks, header_bytes, payload, read_header
+from avrospark.kernels.container import block_bytes, blocks, cut, decode_blocks, header_bytes, read_header
 from avrospark.kernels.decode import Decoder, messages
 from avrospark.kernels.encode import Encoder
 from avrospark.schema import parse_schema
@@ -135,7 +135,7 @@ def container(schema, values, codec="null"):
 def read(raw):
     f = io.BytesIO(raw)
     h = read_header(f)
-    return [x for b in list(blocks(f, h)) for a in decode_blocks([payload(f, b, h)], [b.count], Decoder(h.schema())) for x in a.to_pylist()]
+    return [x for b, raw in blocks(f, h) for a in decode_blocks([decompress(h.codec, raw)], [b.count], Decoder(h.schema())) for x in a.to_pylist()]
 
 
 def test_broken_files():
