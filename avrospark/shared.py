@@ -9,12 +9,16 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, else the checkpoint folder of the context, else one set here for local runs."""
+    """The folder that all executors see: ``spark.checkpoint.dir``, else the checkpoint folder of the context, else one set here for local runs.
+
+    On a cluster, where a folder of this machine is seen by nobody else, one of the first two must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = at.get() if at.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="avrospark-")
         spark.sparkContext.setCheckpointDir(path)
     return path
