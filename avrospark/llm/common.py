@@ -22,14 +22,14 @@ from ..shared import scratch
 from ..shared import shared_dir as shared_dir
 
 #: Documents of one block: consecutive ids, so that a block's rows mostly share a scan task.
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 2048
 #: Texts of at least so many bytes go to one of SPREAD side blocks of their block, so that no block has more than
 #: BLOCK_DOCS * LONG_TEXT bytes of short texts, or some BLOCK_DOCS / SPREAD long ones.
-LONG_TEXT, SPREAD = 1 << 14, 1 << 10
+LONG_TEXT, SPREAD = 1 << 14, 1 << 3
 #: Bytes of input for which there is one hash bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: Rows of an Arrow batch that are worked on at once, and the bytes of text at which fewer are taken.
-SLICE, SLICE_BYTES = 512, 4 << 20
+SLICE, SLICE_BYTES = 512, 1 << 19
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -81,6 +81,14 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
+def ranges(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of equal values."""
+    if not sorted_.size:
+        return []
+    at = np.flatnonzero(np.diff(sorted_, prepend=sorted_[:1] - 1)).tolist()
+    return list(zip(sorted_[at].tolist(), at, [*at[1:], sorted_.size], strict=True))
+
+
 def block_of(doc_id: Column, text: Column) -> Column:
     """Block of a document; long texts have side blocks, and documents without an id are spread by their text."""
     main = F.coalesce(F.floor(doc_id.cast("long") / F.lit(BLOCK_DOCS)).cast("long"), F.pmod(F.xxhash64(text), F.lit(BLOCK_DOCS)) - F.lit(1 << 40))

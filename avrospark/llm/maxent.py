@@ -4,13 +4,13 @@ Counts. Blocks of documents send each of their words once, with its training cou
 them; every block gets the corpus counts of its words back. Only sums, the number of distinct words and the
 most frequent words reach the driver, some rows of a bucket each.
 
-Model. Of V distinct words the 16 * V ** 0.55 most frequent ones (``least`` at least) are predicted from the history. They are
+Model. Of V distinct words the 12 * V ** 0.55 most frequent ones (``least`` at least) are predicted from the history. They are
 factored into nested classes: every class is parted into two of about equal mass, P(word | history) is the product of
 P(part | class, history) down to the word, and one leaf at the top is the rest, rarer and unknown words, whose last factor is the
 smoothed unigram share. Words are parted along the main direction of what stands one and two places before them (shares
 of the ``CONTEXTS`` most frequent words), so that classes hold words of like use. Every softmax reads single weights of
-one table by a hash of the class and a feature of the history: the last word, the last two, and the words two and three
-back (skips), beside a bias that gives the unigram distribution. Features hash the words themselves, predicted or not.
+one table by a hash of the class and a feature of the history: the last word, the last two, and the word before the last
+(a skip), beside a bias that gives the unigram distribution. Features hash the words themselves, predicted or not.
 
 Training is by distributed gradient updates: in each of ``rounds`` rounds, every task takes AdaGrad steps on
 minibatches of its part of a disjoint share of all training documents, from the same weights; in a tree of
@@ -27,7 +27,6 @@ words are told apart by a 64-bit hash that is not linear in their bytes.
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from dataclasses import dataclass
 
@@ -37,12 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ENTRIES, ENTRY_ARROW, block_of, buckets_of, by_bucket, mix, raw_texts, rows_batch, slices, summed, words_of, written
+from .common import ENTRIES, ENTRY_ARROW, block_of, buckets_of, by_bucket, mix, ranges, raw_texts, rows_batch, slices, summed, words_of, written
 
 END = np.uint64(1)
 BEGIN = np.uint64(2)
 #: Tokens of a training step, and of a scoring batch: their paths stay in the cache.
-BATCH, SCORED = 4096, 8192
+BATCH, SCORED = 1024, 2048
+#: Nested classes stand in groups of 2 ** LINE weights, a line of the processor's cache, for each feature.
+LINE = 4
 #: Frequent words whose shares among the words before say how a word is used.
 CONTEXTS = 32
 #: Words of a class from which it is parted by use, not by frequency.
@@ -73,9 +74,9 @@ def behind(values: np.ndarray, lengths: np.ndarray, k: int, none) -> np.ndarray:
 
 
 def features(words: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    h1, h2, h3 = (behind(words, lengths, k, BEGIN) for k in (1, 2, 3))
+    h1, h2 = (behind(words, lengths, k, BEGIN) for k in (1, 2))
     one = mix(h1)
-    return [one, mix(one * np.uint64(3) + h2), mix(h2 + np.uint64(1 << 33)), mix(h3 + np.uint64(1 << 34))]
+    return [one, mix(one * np.uint64(3) + h2), mix(h2 + np.uint64(1 << 33))]
 
 
 @dataclass
@@ -84,13 +85,17 @@ class Model:
 
     keys: np.ndarray  # hashes of the predicted words, ascending
     opens: np.ndarray  # where each word's path begins; the last but one is the rest's
-    nodes: np.ndarray  # classes on the paths
+    nodes: np.ndarray  # classes on the paths: a group of nested classes, and the place in it
     right: np.ndarray  # whether the path takes the second part
+    doors: np.ndarray  # as opens, for the groups that a path goes through
+    groups: np.ndarray  # these groups
+    stay: np.ndarray  # how many classes of a path are in each
     bias: np.ndarray  # of each class
     table: np.ndarray  # hashed weights, a power of two
     train_tokens: int
     distinct: int
     rest: float  # smoothed count of all words that are not predicted
+    _salts: np.ndarray | None = None
 
     def ranks(self, words: np.ndarray) -> np.ndarray:
         """Place of each word among the predicted ones, or their number."""
@@ -99,46 +104,63 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, words), self.keys.size - 1)
         return np.where(self.keys[at] == words, at, self.keys.size)
 
-    def paths(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of every step of every token: the token, its class, whether the second part is taken; and each token's first step."""
-        a = self.opens[ranks]
-        size = self.opens[ranks + 1] - a
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(a - ends + size, size)
-        return np.repeat(np.arange(ranks.size), size), self.nodes[at], self.right[at], ends - size
-
-    def logits(self, found: list[np.ndarray], token: np.ndarray, node: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Log odds of the second part at every step, and which weights they read."""
-        table = self.table if table is None else table
-        shift = np.uint64(65 - table.size.bit_length())
-        salt, z, places = mix(node + 1), self.bias[node], []
+    def steps(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every step of every token's path: its class, whether the second part is taken; and each token's first step."""
+        at, first = _spans(self.opens, ranks)
+        return self.nodes[at], self.right[at], first
+
+    def places(self, found: list[np.ndarray], ranks: np.ndarray, node: np.ndarray, size: int, apart: int = LINE):
+        """For each feature, which weights of a table of ``size`` every step reads; lines begin every 2 ** ``apart``."""
+        at, first = _spans(self.doors, ranks)
+        token = np.repeat(np.arange(ranks.size), np.diff(first, append=at.size))
+        shift, slot, stay = np.uint64(65 + LINE - size.bit_length()), node & (1 << LINE) - 1, self.stay[at]
+        salt = self.salts[self.groups[at]]
         for f in found:
-            at = ((f[token] ^ salt) * _ODD >> shift).view(np.int64)
-            places.append(at)
-            z = z + table[at]
-        return z, places
-
-    def score(self, words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, given the corpus counts of the words."""
-        out, ranks, found = np.empty(words.size), self.ranks(words), features(words, lengths)
+            line = ((f[token] ^ salt) * _ODD >> shift).view(np.int64) << apart
+            yield np.repeat(line, stay) + slot
+
+    @property
+    def salts(self) -> np.ndarray:
+        if self._salts is None:
+            self._salts = mix(np.arange(1, self.bias.size // (1 << LINE) + 1, dtype=np.uint64))
+        return self._salts
+
+    def score(self, words: np.ndarray, counts: np.ndarray, lengths: np.ndarray, ranks: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each token, given the corpus counts of the words (and their ranks)."""
+        out, ranks, found = np.empty(words.size), self.ranks(words) if ranks is None else ranks, features(words, lengths)
         for at in range(0, words.size, SCORED):
             some = slice(at, at + SCORED)
-            token, node, right, opens = self.paths(ranks[some])
-            z, _ = self.logits([f[some] for f in found], token, node)
-            out[some] = -np.add.reduceat(np.logaddexp(0, np.where(right, -z, z).astype(np.float64)), opens)
+            node, right, opens = self.steps(ranks[some])
+            z = self.bias[node]
+            for p in self.places([f[some] for f in found], ranks[some], node, self.table.size):
+                z += self.table[p]
+            np.negative(z, out=z, where=right)
+            lost = np.log1p(np.exp(np.minimum(z, np.float32(80))))
+            out[some] = -np.add.reduceat(lost, opens, dtype=np.float64)
         rest = ranks == self.keys.size
         out[rest] += np.log((counts[rest] + 0.5) / self.rest)
         return out / LN10
 
 
+def _spans(opens: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the spans ``which``, one behind the other, and where each begins among them."""
+    a = opens[which]
+    size = opens[which + 1] - a
+    ends = np.cumsum(size)
+    return np.arange(ends[-1]) + np.repeat(a - ends + size, size), ends - size
+
+
 def parted(mass: np.ndarray, use: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
-    """Nested classes of two parts: (class, word, whether in the second part) of all steps, and each class's log odds."""
+    """Nested classes of two parts: (class, word, whether in the second part) of all steps, and each class's log odds.
+
+    Four levels are a group, numbered as in a heap from 1; place 0 of the first group is left for the top."""
     if use is not None:
         use = np.sqrt(use / np.maximum(use.sum(axis=1, keepdims=True), 1)).astype(np.float32)
-    nodes, words, right, odds = [], [], [], []
-    todo = [np.argsort(-mass, kind="stable")]
+    nodes, words, right = [], [], []
+    odds = [0.0] * (1 << LINE)
+    todo = [(np.argsort(-mass, kind="stable"), 1)]
     while todo:
-        some = todo.pop()
+        some, at = todo.pop()
         if some.size < 2:
             continue
         if use is not None and some.size >= PARTED:
@@ -149,11 +171,16 @@ def parted(mass: np.ndarray, use: np.ndarray | None) -> tuple[np.ndarray, np.nda
         so_far = np.cumsum(mass[some])
         cut = int(np.clip(np.searchsorted(so_far, so_far[-1] / 2), 0, some.size - 2)) + 1
         for part, second in ((some[:cut], False), (some[cut:], True)):
-            nodes.append(np.full(part.size, len(odds) + 1, np.int32))
+            nodes.append(np.full(part.size, at, np.int32))
             words.append(part)
             right.append(np.full(part.size, second))
-            todo.append(part)
-        odds.append(float(np.log((so_far[-1] - so_far[cut - 1]) / so_far[cut - 1])))
+            below = (at & (1 << LINE) - 1) * 2 + second
+            if below < 1 << LINE:
+                todo.append((part, at >> LINE << LINE | below))
+            elif part.size > 1:  # the first of a new group
+                todo.append((part, len(odds) + 1))
+                odds += [0.0] * (1 << LINE)
+        odds[at] = float(np.log((so_far[-1] - so_far[cut - 1]) / so_far[cut - 1]))
     if not nodes:
         return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool), odds
     return np.concatenate(nodes), np.concatenate(words), np.concatenate(right), odds
@@ -164,7 +191,7 @@ def start(keys: np.ndarray, counts: np.ndarray, n: int, v: int, rows: int, use:
     counts = counts.astype(np.float64)
     rest = n - counts.sum() + 0.5 * (v - keys.size + 1)
     node, word, right, odds = parted(counts, use)
-    order = np.lexsort((node, word))
+    order = np.argsort(word, kind="stable")
     size = np.append(np.bincount(word, minlength=keys.size) + 1, 1)  # the top class is on every path
     opens = np.concatenate([[0], np.cumsum(size)])
     nodes, turn = np.zeros(opens[-1], np.int32), np.zeros(opens[-1], bool)
@@ -172,33 +199,46 @@ def start(keys: np.ndarray, counts: np.ndarray, n: int, v: int, rows: int, use:
     below[opens[:-1]] = False
     nodes[below], turn[below] = node[order], right[order]
     turn[-1] = True  # the rest
+    group = nodes >> LINE
+    door = np.ones(group.size, bool)
+    door[1:] = group[1:] != group[:-1]
+    door[opens[:-1]] = True
+    doors = np.append(np.cumsum(door) - door, door.sum())[opens]
     top = float(np.log(rest / counts.sum())) if keys.size else 60.0
-    bits = max(4, round(float(np.log2(rows))))
-    return Model(keys, opens, nodes, turn, np.array([top, *odds], np.float32), np.zeros(1 << bits, np.float32), n, v, rest)
+    odds[0] = top
+    bits = max(2 * LINE, round(float(np.log2(rows))))
+    return Model(keys, opens, nodes, turn, doors, group[door], np.diff(np.flatnonzero(door), append=door.size), np.array(odds, np.float32), np.zeros(1 << bits, np.float32), n, v, rest)
 
 
 class Trainer:
-    """AdaGrad steps on one task's documents."""
+    """AdaGrad steps on one task's documents. Each line of weights has its sums of squares beside it."""
 
     def __init__(self, model: Model, rate: float):
         self.m, self.rate, self.n = model, np.float32(rate), 0
-        self.table = model.table.copy()
-        self.seen = np.full(self.table.size, 0.1, np.float32)
+        self.lines = np.full((model.table.size >> LINE, 2, 1 << LINE), 0.1, np.float32)
+        self.lines[:, 0] = model.table.reshape(-1, 1 << LINE)
+
+    @property
+    def table(self) -> np.ndarray:
+        return self.lines[:, 0].ravel()
 
     def learn(self, words: np.ndarray, lengths: np.ndarray) -> None:
-        m, ranks, found = self.m, self.m.ranks(words), features(words, lengths)
+        m, ranks, found, both = self.m, self.m.ranks(words), features(words, lengths), self.lines.reshape(-1)
         for at in range(0, words.size, BATCH):
             some = slice(at, at + BATCH)
-            token, node, right, _ = m.paths(ranks[some])
-            z, places = m.logits([f[some] for f in found], token, node, self.table)
-            g = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - right
-            g = g.astype(np.float32)
-            square = g * g
-            for p in places:
-                np.add.at(self.seen, p, square)
-            g *= -self.rate
-            for p in places:
-                np.add.at(self.table, p, g / np.sqrt(self.seen[p]))
+            node, right, _ = m.steps(ranks[some])
+            z, places = m.bias[node], []
+            for p in m.places([f[some] for f in found], ranks[some], node, m.table.size, LINE + 1):
+                places.append(p)
+                z += both[p]
+            g = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - right.astype(np.float32)
+            square, step = g * g, g * -self.rate
+            for p in places:  # the weights of one feature stay in the cache
+                beside = p + (1 << LINE)
+                seen = both[beside]
+                seen += square
+                both[beside] = seen  # of equal places in a batch one counts
+                np.add.at(both, p, step / np.sqrt(seen))
         self.n += words.size
 
 
@@ -254,10 +294,10 @@ def _texts(batches):
 
 def _uses(docs: DataFrame, keys: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
     """Of each predicted word how often each context stands one and two places before it, over all training documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((keys, np.argsort(-counts, kind="stable")[:CONTEXTS])))
+    sent = docs.sparkSession.sparkContext.broadcast((keys, np.argsort(-counts, kind="stable")[:CONTEXTS]))
 
     def count(batches):
-        known, top = pickle.loads(sent.value)
+        known, top = sent.value
         context = np.full(known.size + 1, CONTEXTS)
         context[top] = np.arange(top.size)
         total, n = np.zeros(known.size * 2 * (CONTEXTS + 1), np.float32), 0
@@ -277,10 +317,10 @@ def _uses(docs: DataFrame, keys: np.ndarray, counts: np.ndarray) -> np.ndarray |
 
 
 def _round(docs: DataFrame, model: Model, rate: float) -> Model:
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def train(batches):
-        m = pickle.loads(sent.value)
+        m = sent.value
         t = Trainer(m, rate)
         for words, lengths in _texts(batches):
             t.learn(words, lengths)
@@ -300,7 +340,7 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 
 def predicted(v: int, least: int) -> int:
     """Words of ``v`` that are predicted from the history."""
-    return min(v, max(least, int(16 * v**0.55)))
+    return min(v, max(least, int(12 * v**0.55)))
 
 
 def word_counts(df: DataFrame, buckets: int, held_mod: int, held_rest: int, least: int) -> DataFrame:
@@ -308,17 +348,17 @@ def word_counts(df: DataFrame, buckets: int, held_mod: int, held_rest: int, leas
 
     def send(batches):
         for b in batches:
-            blocks, ids = b.column(0).to_numpy(), b.column(1).to_pylist()
+            b = b.take(pa.array(np.argsort(b.column(0).to_numpy(), kind="stable")))
+            ids = b.column(1).to_pylist()
             learnt = np.fromiter((crc(i) % held_mod != held_rest for i in ids), bool, len(ids))
             raw, at = raw_texts(b.column(2))
-            parts = [(*tokens(raw[int(at[i]) : int(at[j])], at[i : j + 1] - at[i]), i, j) for i, j in slices(at)]
             out: list[dict] = []
-            for block in np.unique(blocks).tolist():
+            for block, x, y in ranges(b.column(0).to_numpy()):
                 words, weight = [], []
-                for w, lengths, i, j in parts:
-                    mine = np.repeat(blocks[i:j] == block, lengths)
-                    words.append(w[mine])
-                    weight.append(np.repeat(learnt[i:j], lengths)[mine])
+                for i, j in slices(at[x : y + 1]):
+                    w, lengths = tokens(raw[int(at[x + i]) : int(at[x + j])], at[x + i : x + j + 1] - at[x + i])
+                    words.append(w)
+                    weight.append(np.repeat(learnt[x + i : x + j], lengths))
                 keys, where = np.unique(np.concatenate(words), return_inverse=True)
                 out += by_bucket(block, keys, np.bincount(where, weights=np.concatenate(weight), minlength=keys.size), buckets)
             if out:
@@ -368,7 +408,7 @@ def score(
     held_mod: int = 5,
     held_rest: int = 1,
     least: int = 1024,
-    rows: int = 1 << 20,
+    rows: int = 1 << 19,
     rounds: int = 3,
     rate: float = 0.1,
     fitted: list | None = None,
@@ -381,10 +421,10 @@ def score(
     if fitted is not None:
         fitted.append(model)
     n, v = model.train_tokens, model.distinct
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        m: Model = pickle.loads(sent.value)
+        m = sent.value  # loaded once a worker
         keys = np.frombuffer(b"".join(right["keys"].to_pylist()), np.uint64)
         vals = np.frombuffer(b"".join(right["vals"].to_pylist()), np.uint32)
         keys, first = np.unique(keys, return_index=True)  # a block's word has one count, however often it was asked
@@ -394,12 +434,13 @@ def score(
         sizes, known, base, told = [], [], [], []
         for i, j in slices(at):
             words, lengths = tokens(raw[int(at[i]) : int(at[j])], at[i : j + 1] - at[i])
-            c = vals[np.searchsorted(keys, words)]
+            distinct, where = np.unique(words, return_inverse=True)
+            c = vals[np.searchsorted(keys, distinct)][where]
             opens = np.cumsum(lengths) - lengths
             sizes.append(lengths)
             known.append(np.add.reduceat((c > 0).astype(np.int64), opens))
             base.append(np.add.reduceat(np.log10((c + 0.5) / (n + 0.5 * (v + 1))), opens))
-            told.append(np.add.reduceat(m.score(words, c, lengths), opens))
+            told.append(np.add.reduceat(m.score(words, c, lengths, m.ranks(distinct)[where]), opens))
         whole = lambda some, kind: pa.array(np.concatenate([np.empty(0, kind), *some]))
         held = [crc(i) % held_mod == held_rest for i in ids]
         cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), whole(sizes, np.int64), whole(known, np.int64), pa.array(np.full(len(ids), n)), whole(base, np.float64), whole(told, np.float64)]
