@@ -9,9 +9,9 @@ The steps, in one query:
    send their distinct hashes to hash buckets and learn which ones other documents have too.
 2. Pieces of those hashes, once a block and with the block's smallest document, go to shards by hash. A
    piece that a third of all documents hold is one row a block. Equal documents count once, by their smallest id.
-3. A shard sorts its distinct pieces with a suffix array: suffixes are classified, leftmost-smaller
-   substrings are sorted by induction and named, the names are sorted recursively (by doubling of ranks once there are
-   more names than buckets pay for), and all suffixes are induced, bucket by bucket. Permuted common prefixes
+3. A shard sorts its distinct pieces, where they share a string's hash with another, with a suffix array: suffixes
+   are classified, leftmost-smaller substrings are sorted by induction and named by comparing neighbours, the names are
+   sorted recursively, and all suffixes are induced, bucket by bucket (few characters) or place by place (many names). Permuted common prefixes
    against the predecessor in the array give the groups of equal strings, and each group its smallest document.
 4. Every block gets back, for its pieces, the smallest document of each start, and cuts its texts.
 
@@ -23,32 +23,21 @@ nothing and are nobody's original; rows with one id do not shorten each other; a
 
 from __future__ import annotations
 
+from hashlib import blake2b, md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, mix, parts, rows_batch
+from .common import _LEFT, _LITTLE, _ODD, block_of, buckets_of, mix, ranges, raw_texts, rows_batch, slices
 
 #: Bytes of a hashed window; a run's hash is the smallest of the windows inside ``length`` bytes.
 WINDOW = 20
-#: Names up to which the reduced string is sorted by induction again.
-BUCKETS = 2048
-
-
-_P = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or _POWERS[0][0].size <= n:
-        size = 1 << max(16, int(n).bit_length())
-        a, b = np.full(size, _P), np.full(size, _INV)
-        a[0] = b[0] = 1
-        _POWERS[0] = np.multiply.accumulate(a), np.multiply.accumulate(b)
-    return _POWERS[0]
+#: Bytes of texts that are cut into runs at once.
+CUT_BYTES = 1 << 17
+#: Characters up to which induction goes bucket by bucket in arrays; above, place by place with one head for each bucket.
+BUCKETS = 512
 
 
 # --- suffix arrays --------------------------------------------------------------------
@@ -116,31 +105,55 @@ def _induce(s: np.ndarray, k: int, small: np.ndarray, seeds: np.ndarray) -> np.n
     return np.concatenate(out)[::-1]
 
 
-def _by_rank(names: np.ndarray) -> np.ndarray:
-    """Suffix array of names by doubling; only suffixes that are not alone in their rank are sorted on."""
-    n = names.size
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(n, np.int64)
-    first = np.diff(names[order].astype(np.int64), prepend=-1) != 0
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    step = 1
-    while True:
-        head = np.flatnonzero(first)
-        size = np.diff(head, append=n)
-        open_ = np.flatnonzero(np.repeat(size > 1, size))
-        if not open_.size:
-            return order
-        some = order[open_]
-        ahead = some + step
-        key = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        group = rank[some]
-        by = np.lexsort((key, group))
-        some, key, group = some[by], key[by], group[by]
-        order[open_] = some
-        new = (np.diff(group, prepend=-1) != 0) | (np.diff(key, prepend=-1) != 0)
-        first[open_] = new
-        rank[some] = open_[np.maximum.accumulate(np.where(new, np.arange(some.size), 0))]
-        step *= 2
+def _induce_each(s: np.ndarray, k: int, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """As ``_induce``, in time that does not depend on the number ``k`` of characters."""
+    line, is_small, n = s.tolist(), small.tolist(), s.size
+    sizes = np.bincount(s, minlength=k)
+    ends = np.cumsum(sizes)
+    out = [-1] * n
+    tail = ends.tolist()
+    for i in seeds[::-1].tolist():
+        c = line[i]
+        tail[c] -= 1
+        out[tail[c]] = i
+    head = (ends - sizes).tolist()
+    c = line[n - 1]  # the end of the text comes before all
+    out[head[c]] = n - 1
+    head[c] += 1
+    for at in range(n):
+        i = out[at] - 1
+        if i >= 0 and not is_small[i]:
+            c = line[i]
+            out[head[c]] = i
+            head[c] += 1
+    tail = ends.tolist()
+    for at in range(n - 1, -1, -1):
+        i = out[at] - 1
+        if i >= 0 and is_small[i]:
+            c = line[i]
+            tail[c] -= 1
+            out[tail[c]] = i
+    return np.array(out)
+
+
+def _names(s: np.ndarray, left: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of the leftmost-smaller substrings ``left`` to ``end``, equal for equal ones; ``at`` is their order."""
+    size = (end - left)[at]
+    same = np.flatnonzero(size[1:] == size[:-1])
+    many = size[same]
+    place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    differ = s[np.repeat(left[at[same]], many) + place] != s[np.repeat(left[at[same + 1]], many) + place]
+    fresh = np.ones(left.size, bool)
+    fresh[0] = False
+    if same.size:
+        fresh[same + 1] = np.logical_or.reduceat(differ, np.cumsum(many) - many)
+    last = np.flatnonzero(at == left.size - 1)[0]  # the last one runs into the end of the text
+    if end[-1] == s.size:
+        fresh[last:last + 2] = True
+        fresh[0] = False
+    name = np.empty(left.size, np.int64)
+    name[at] = np.cumsum(fresh)
+    return name
 
 
 def suffix_array(s: np.ndarray, k: int | None = None) -> np.ndarray:
@@ -150,31 +163,19 @@ def suffix_array(s: np.ndarray, k: int | None = None) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     k = int(s.max()) + 1 if k is None else k
+    induce = _induce if k <= BUCKETS else _induce_each
     small = _smaller(s)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1  # leftmost-smaller suffixes
     if left.size < 2:
-        return _induce(s, k, small, left)
-    rough = _induce(s, k, small, left)
+        return induce(s, k, small, left)
+    rough = induce(s, k, small, left)
     is_left = np.zeros(n, bool)
     is_left[left] = True
     rough = rough[is_left[rough]]
-    # names: leftmost-smaller substrings are compared by length and by a hash of their characters
-    end = np.minimum(np.append(left[1:] + 1, n), n)
-    up, down = _powers(n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
-    content = mix((total[end] - total[left]) * down[left] ^ (end - left).astype(np.uint64))
-    content[-1] = mix(content[-1:])[0] if end[-1] == n else content[-1]  # the last one runs into the end of the text
-    at = np.searchsorted(left, rough)
-    name = np.empty(left.size, np.int64)
-    name[at] = np.cumsum(np.diff(content[at], prepend=content[at[:1]]) != 0)
+    name = _names(s, left, np.minimum(np.append(left[1:] + 1, n), n), np.searchsorted(left, rough))
     names = int(name.max()) + 1
-    if names == left.size:
-        order = np.argsort(name, kind="stable")
-    elif names <= BUCKETS:
-        order = suffix_array(name, names)
-    else:
-        order = _by_rank(name)
-    return _induce(s, k, small, left[order])
+    order = np.argsort(name, kind="stable") if names == left.size else suffix_array(name, names)
+    return induce(s, k, small, left[order])
 
 
 def common_prefixes(raw: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
@@ -204,57 +205,110 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
 # --- pieces -------------------------------------------------------------------------
 
 
-def runs(raw: bytes, length: int, buckets: int):
-    """Of each run of start positions: its key, first and end start, and the hash of its piece."""
-    b = np.frombuffer(raw, np.uint8)
-    n = b.size
-    if n < length:
-        return None
-    up, down = _powers(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[b] * up[:n], out=total[1:])
+def window_hashes(raw: bytes, w: int) -> np.ndarray:
+    """A hash of each ``w`` bytes of ``raw``."""
+    n = len(raw) - w + 1
+    loads = np.ndarray((len(raw),), _LITTLE, raw + bytes(8), strides=(1,))
+    h = mix(loads[:n] & _LEFT[min(w, 8)])
+    for k in range(8, w, 8):
+        h *= _ODD
+        h ^= loads[k : k + n] & _LEFT[min(w - k, 8)]
+        h = mix(h)
+    return h
+
+
+def runs(raw: bytes, at: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of start positions of many texts: its key, its text, first and end start; ``at`` as from ``raw_texts``."""
+    many = np.maximum(np.diff(at) - length + 1, 0)
+    if not many.sum():
+        none = np.empty(0, np.int64)
+        return none.astype(np.uint64), none, none, none
     w = min(WINDOW, length)
-    low = mix((total[w:] - total[:-w]) * down[: n - w + 1])
+    low = window_hashes(raw, w)
     width, have = length - w + 1, 1
     while 2 * have <= width:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < width:
         low = np.minimum(low[: low.size - (width - have)], low[width - have :])
-    edge = np.flatnonzero(low[1:] != low[:-1]) + 1
-    start, end = np.concatenate([[0], edge]), np.append(edge, low.size)
-    v = low[start]
+    ends = np.cumsum(many)
+    place = np.arange(ends[-1]) + np.repeat(at[:-1] - ends + many, many)
+    v = low[place]
+    edge = np.ones(v.size, bool)
+    edge[1:] = v[1:] != v[:-1]
+    edge[(ends - many)[many > 0]] = True
+    edge = np.flatnonzero(edge)
+    v = v[edge]
     key = (v >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | v & np.uint64(0xFFFFFFFF)
-    stop = end + length - 1
-    piece = mix((total[stop] - total[start]) * down[start] ^ (stop - start).astype(np.uint64))
-    return key, start, end, piece
+    start = place[edge]
+    return key, np.searchsorted(ends, edge, "right"), start, start + np.diff(edge, append=place.size)
+
+
+def among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are in the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, keys), known.size - 1)] == keys if known.size else np.zeros(keys.size, bool)
+
+
+def digest(piece: bytes) -> int:
+    return int.from_bytes(blake2b(piece, digest_size=8).digest(), "little")
 
 
 ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())])
 TOLD = pa.schema([("block", pa.int64()), ("keys", pa.binary())])
-SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("bytes", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary())])
-BACK = pa.schema([("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
+SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("bytes", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary())])
+BACK = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
 def shards_of(buckets: int) -> int:
     """Shards are smaller than buckets: a sort needs some 150 bytes of memory for each byte of its pieces."""
-    return 8 * buckets
+    return 4 * buckets
 
 
 def _cat(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table[name].to_pylist()), dtype)
 
 
-def solve(pieces: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each start of each piece the smallest document of all pieces in which its ``length`` bytes occur."""
+def solve(pieces: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of each piece the smallest document of all pieces in which its ``length`` bytes occur, and where each piece's end.
+
+    Only stretches of starts whose strings' hashes occur twice are sorted."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    whole = b"".join(pieces)
+    opens = np.cumsum(sizes) - sizes
+    many = sizes - length + 1
+    ends = np.cumsum(many)
+    owner = np.repeat(np.arange(sizes.size), many)
+    first = docs[owner]
+    h = window_hashes(whole, length)[np.arange(ends[-1]) + np.repeat(opens - ends + many, many)]
+    order = np.argsort(h)
+    twice = h[order[1:]] == h[order[:-1]]
+    shared = np.zeros(h.size, bool)
+    shared[order[1:][twice]] = True
+    shared[order[:-1][twice]] = True
+    # stretches of such starts, none across two pieces
+    edge = shared.copy()
+    edge[1:] &= ~shared[:-1]
+    edge[ends[:-1]] |= shared[ends[:-1]]
+    last = shared.copy()
+    last[:-1] &= ~shared[1:]
+    last[ends - 1] |= shared[ends - 1]
+    some, stop = np.flatnonzero(edge), np.flatnonzero(last) + 1
+    if some.size:
+        at = some + (opens - ends + many)[owner[some]]
+        least = _sorted_least([whole[a : a + n + length - 1] for a, n in zip(at.tolist(), (stop - some).tolist(), strict=True)], docs[owner[some]], length)
+        first[shared] = np.concatenate(least)
+    return first, ends
+
+
+def _sorted_least(pieces: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
     raw = np.frombuffer(b"\0".join(pieces), np.uint8)
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     open_ = np.cumsum(sizes + 1) - sizes - 1
     s = raw.astype(np.uint16) + np.uint16(1)
     s[(open_ + sizes)[:-1]] = 0
-    sa = suffix_array(s, 257)
+    alphabet, s = np.unique(s, return_inverse=True)  # only the characters that occur
+    sa = suffix_array(s.astype(np.int32), alphabet.size)
     # a start is good if its bytes stay inside its piece, so equal bytes are then equal strings
     owner = np.repeat(np.arange(sizes.size), sizes + 1)[: raw.size]
     good = np.arange(raw.size) + length <= (open_ + sizes)[owner]
@@ -270,28 +324,44 @@ def solve(pieces: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes, end exclusive) and kept (the remaining bytes) of every document."""
-    buckets = parts(docs.sparkSession)
-    df = docs.select(block_of(F.col(id_col), F.col(text_col)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    buckets = buckets_of(docs)
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    df = df.select(block_of(F.col("doc_id"), F.col("text")).alias("block"), "doc_id", "text")
+
+    # equal documents: all but those of the smallest id are copies; a block has one row of each text, so none is a hot key
+    leads = df.where("doc_id is not null").groupBy("block", F.md5("text").alias("h")).agg(F.min("doc_id").alias("lead"), F.count("*").alias("c"))
+    firsts = leads.groupBy("h").agg(F.min("lead").alias("first"), F.sum("c").alias("c")).where("c > 1").select("h", "first")
+    copies = leads.select("block", "h").join(firsts, "h").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("h", "first"))).alias("copies"))  # at most a block's documents
+
+    def copied(table: pa.Table) -> dict[str, int]:
+        return {h: d for x in table["copies"].to_pylist() for h, d in x or ()}
 
-    # equal documents: all but those of the smallest id are copies
-    hashed = df.where("doc_id is not null").select("block", "doc_id", F.md5("text").alias("h"), F.length("text").alias("l"))
-    firsts = hashed.groupBy("h", "l").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    copies = hashed.join(firsts, ["h", "l"]).where("doc_id > first").groupBy("block").agg(F.collect_set("doc_id").alias("copies"))  # at most a block's documents
+    def is_copy(doc_id: int | None, raw: bytes, first: dict[str, int]) -> bool:
+        return doc_id is not None and bool(first) and first.get(md5(raw).hexdigest(), doc_id) < doc_id
 
     def ask(batches):
         for b in batches:
-            per: dict[int, list[np.ndarray]] = {}
-            for block, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                r = runs(raw.as_buffer().to_pybytes(), length, buckets) if doc_id is not None else None
-                if r:
-                    per.setdefault(block, []).append(np.unique(r[0]))
+            b = b.take(pa.array(np.argsort(b.column(0).to_numpy(), kind="stable")))
+            blocks, ids = b.column(0).to_numpy(), b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            raw, at = raw_texts(b.column(2))
+            keys, of = [], []
+            for i, j in slices(at, CUT_BYTES):
+                key, doc, _, _ = runs(bytes(raw[int(at[i]) : int(at[j])]), at[i : j + 1] - at[i], length, buckets)
+                order = np.lexsort((key, doc))
+                key, doc = key[order], doc[order] + i
+                fresh = np.ones(key.size, bool)
+                fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                fresh &= ids[doc]
+                keys.append(key[fresh])
+                of.append(blocks[doc[fresh]])
+            keys, of = np.concatenate(keys), np.concatenate(of)
             rows = []
-            for block, some in per.items():
-                keys, times = np.unique(np.concatenate(some), return_counts=True)
-                bucket = (keys >> np.uint64(32)).astype(np.int64)
-                at = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for i, j in zip(at, [*at[1:], keys.size], strict=True):
-                    rows.append({"bucket": int(bucket[i]), "block": block, "keys": keys[i:j].astype(np.uint32).tobytes(), "many": np.packbits(times[i:j] > 1).tobytes()})
+            for block, x, y in ranges(of):
+                some, times = np.unique(keys[x:y], return_counts=True)
+                bucket = (some >> np.uint64(32)).astype(np.int64)
+                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for i, j in zip(cut.tolist(), [*cut[1:].tolist(), some.size], strict=True):
+                    rows.append({"bucket": int(bucket[i]), "block": block, "keys": some[i:j].astype(np.uint32).tobytes(), "many": np.packbits(times[i:j] > 1).tobytes()})
             if rows:
                 yield rows_batch(rows, ASK)
 
@@ -309,100 +379,117 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
         return pa.Table.from_pylist(rows, schema=TOLD)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        shared = np.unique(_cat(right, "keys", np.uint64))
-        gone = {d for x in right["copies"].to_pylist() for d in x or ()}
-        found: dict[int, list] = {}
-        if shared.size:
-            for doc_id, raw in zip(left["doc_id"].to_pylist(), left["text"], strict=True):
-                if doc_id is None or doc_id in gone:
-                    continue
-                raw = raw.as_buffer().to_pybytes()
-                r = runs(raw, length, buckets)
-                if r is None:
-                    continue
-                key, start, end, piece = r
-                hit = shared[np.minimum(np.searchsorted(shared, key), shared.size - 1)] == key
-                for k, a, b, h in zip(key[hit].tolist(), start[hit].tolist(), end[hit].tolist(), piece[hit].tolist(), strict=True):
-                    had = found.get(h)
-                    if had is None:
-                        found[h] = [k, raw[a : b + length - 1], doc_id]
-                    elif doc_id < had[2]:
-                        had[2] = doc_id
+        shared, first = np.unique(_cat(right, "keys", np.uint64)), copied(right)
+        found: dict[bytes, list] = {}
+        ids, (raw, at) = left["doc_id"].to_pylist(), raw_texts(left["text"])
+        gone = np.array([d is None or is_copy(d, raw[a:b], first) for d, a, b in zip(ids, at.tolist(), at[1:].tolist(), strict=False)], bool)
+        for i, j in slices(at, CUT_BYTES) if shared.size else ():
+            some = bytes(raw[int(at[i]) : int(at[j])])
+            key, doc, start, end = runs(some, at[i : j + 1] - at[i], length, buckets)
+            hit = np.flatnonzero(among(shared, key) & ~gone[doc + i])
+            for k, d, a, b in zip(key[hit].tolist(), doc[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True):
+                piece, doc_id = some[a : b + length - 1], ids[i + d]
+                had = found.get(piece)
+                if had is None:
+                    found[piece] = [k, doc_id]
+                elif doc_id < had[1]:
+                    had[1] = doc_id
         shards: dict[int, list] = {}
-        for h, (k, raw, doc_id) in found.items():
-            shards.setdefault((k & 0xFFFFFFFF) % shards_of(buckets), []).append((h, raw, doc_id))
+        for piece, (k, doc_id) in found.items():
+            shards.setdefault((k & 0xFFFFFFFF) % shards_of(buckets), []).append((piece, k, doc_id))
         block = left["block"][0].as_py() if left.num_rows else None
         rows = [
-            {"shard": s, "block": block, "bytes": b"".join(x[1] for x in some), "sizes": np.array([len(x[1]) for x in some], np.uint32).tobytes(), "hashes": np.array([x[0] for x in some], np.uint64).tobytes(), "docs": np.array([x[2] for x in some], np.int64).tobytes()}
+            {
+                "shard": s,
+                "block": block,
+                "bytes": b"".join(x[0] for x in some),
+                "sizes": np.array([len(x[0]) for x in some], np.uint32).tobytes(),
+                "keys": np.array([x[1] for x in some], np.uint64).tobytes(),
+                "hashes": np.array([digest(x[0]) for x in some], np.uint64).tobytes(),
+                "docs": np.array([x[2] for x in some], np.int64).tobytes(),
+            }
             for s, some in shards.items()
         ]
         return pa.Table.from_pylist(rows, schema=SENT)
 
     def sort(table: pa.Table) -> pa.Table:
-        hashes, docs_ = _cat(table, "hashes", np.uint64), _cat(table, "docs", np.int64)
-        sizes = _cat(table, "sizes", np.uint32).astype(np.int64)
-        distinct, at, where = np.unique(hashes, return_index=True, return_inverse=True)
-        raw, ends = b"".join(table["bytes"].to_pylist()), np.cumsum(sizes)
-        least = np.full(distinct.size, np.iinfo(np.int64).max)
+        raw, sizes, docs_ = b"".join(table["bytes"].to_pylist()), _cat(table, "sizes", np.uint32).astype(np.int64), _cat(table, "docs", np.int64)
+        number: dict[bytes, int] = {}  # pieces by their bytes
+        ends = np.cumsum(sizes)
+        where = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)), np.int64, sizes.size)
+        least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, where, docs_)
-        first = solve([raw[e - n : e] for e, n in zip(ends[at].tolist(), sizes[at].tolist(), strict=True)], least, length)
-        told = []
-        for x in first:
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
-            told.append((edge.size, np.diff(edge, append=x.size).astype(np.uint32).tobytes(), x[edge].tobytes()))
-        rows, i = [], 0
-        for block, mine in zip(table["block"].to_pylist(), table["hashes"].to_pylist(), strict=True):
-            some = [told[k] for k in where[i : i + len(mine) // 8].tolist()]
-            i += len(mine) // 8
-            rows.append({"block": block, "hashes": mine, "counts": np.array([x[0] for x in some], np.uint32).tobytes(), "sizes": b"".join(x[1] for x in some), "docs": b"".join(x[2] for x in some)})
+        first, stop = solve(list(number), least, length)
+        # stretches of starts with one document, piece by piece, and then row by row as they were sent
+        edge = np.ones(first.size, bool)
+        edge[1:] = first[1:] != first[:-1]
+        edge[stop[:-1]] = True
+        edge = np.flatnonzero(edge)
+        width, doc = np.diff(edge, append=first.size).astype(np.uint32), first[edge]
+        many = np.bincount(np.searchsorted(stop, edge, "right"), minlength=stop.size)
+        counts = many[where]
+        reached = np.cumsum(counts)
+        place = np.arange(reached[-1]) + np.repeat((np.cumsum(many) - many)[where] - reached + counts, counts)
+        width, doc, told = width[place], doc[place], counts.astype(np.uint32)
+        rows, i, x = [], 0, 0
+        for block, keys, mine in zip(table["block"].to_pylist(), table["keys"].to_pylist(), table["hashes"].to_pylist(), strict=True):
+            j = i + len(mine) // 8
+            y = int(reached[j - 1])
+            rows.append({"block": block, "keys": keys, "hashes": mine, "counts": told[i:j].tobytes(), "sizes": width[x:y].tobytes(), "docs": doc[x:y].tobytes()})
+            i, x = j, y
         return pa.Table.from_pylist(rows, schema=BACK)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        gone = {d for x in right["copies"].to_pylist() for d in x or ()}
+        first = copied(right)
         right = right.filter(pa.compute.is_valid(right["hashes"]))
         hashes, counts = _cat(right, "hashes", np.uint64), _cat(right, "counts", np.uint32).astype(np.int64)
         sizes, firsts_ = _cat(right, "sizes", np.uint32).astype(np.int64), _cat(right, "docs", np.int64)
+        keys = np.unique(_cat(right, "keys", np.uint64))
         order = np.argsort(hashes)
         known, opens = hashes[order], (np.cumsum(counts) - counts)[order]
         counts = counts[order]
+        ids, (raw, at) = left["doc_id"].to_pylist(), raw_texts(left["text"])
+        copy = np.array([is_copy(d, raw[a:b], first) and b - a >= length for d, a, b in zip(ids, at.tolist(), at[1:].tolist(), strict=False)], bool)
+        asks = ~copy & np.array([d is not None for d in ids], bool)
         cols: list[list] = [[], [], [], []]
-        for doc_id, value in zip(left["doc_id"].to_pylist(), left["text"], strict=True):
-            raw = value.as_buffer().to_pybytes()
-            spans: list[dict] = []
-            kept = raw
-            if doc_id in gone and len(raw) >= length:
-                spans, kept = [{"start": 0, "end": len(raw)}], b""
-            elif doc_id is not None and known.size and (r := runs(raw, length, buckets)) is not None:
-                _, start, _, piece = r
-                at = np.minimum(np.searchsorted(known, piece), known.size - 1)
-                hit = known[at] == piece
-                if hit.any():
-                    at, start = at[hit], start[hit]
-                    many = counts[at]
-                    row = np.repeat(opens[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-                    size, least = sizes[row], firsts_[row]
-                    # first start of each stretch: the run's start and the stretches before it in the run
-                    so_far = np.cumsum(size) - size
-                    lead = np.repeat(start - so_far[np.cumsum(many) - many], many)
-                    a = so_far + lead
-                    bad = least < doc_id
-                    if bad.any():
-                        edge = np.zeros(len(raw) + 1, np.int64)
-                        np.add.at(edge, a[bad], 1)
-                        np.add.at(edge, a[bad] + size[bad] + length - 1, -1)
-                        out = np.cumsum(edge[:-1]) > 0
-                        turn = np.flatnonzero(np.diff(out.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
-                        spans = [{"start": int(i), "end": int(j)} for i, j in zip(turn[::2], turn[1::2], strict=True)]
-                        kept = np.frombuffer(raw, np.uint8)[~out].tobytes()
-            for col, x in zip(cols, (doc_id, len(raw), spans, kept), strict=True):
-                col.append(x)
+        for i, j in slices(at, CUT_BYTES):
+            some, edge = bytes(raw[int(at[i]) : int(at[j])]), at[i : j + 1] - at[i]
+            out = np.repeat(copy[i:j], np.diff(edge))  # which bytes go
+            key, doc, start, end = runs(some, edge, length, buckets)
+            hit = np.flatnonzero(among(keys, key) & asks[doc + i])
+            if hit.size:
+                piece = np.fromiter((digest(some[a : b + length - 1]) for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True)), np.uint64, hit.size)
+                place = np.searchsorted(known, piece)
+                place, start, doc = place, start[hit], doc[hit]
+                mine = counts[place]
+                row = np.repeat(opens[place] - np.cumsum(mine) + mine, mine) + np.arange(int(mine.sum()))
+                size, least = sizes[row], firsts_[row]
+                # first start of each stretch: the run's start and the stretches before it in the run
+                so_far = np.cumsum(size) - size
+                a = so_far + np.repeat(start - so_far[np.cumsum(mine) - mine], mine)
+                bad = least < np.array(ids[i:j])[doc].astype(np.int64)[np.repeat(np.arange(doc.size), mine)]
+                turn = np.zeros(out.size + 1, np.int64)
+                np.add.at(turn, a[bad], 1)
+                np.add.at(turn, a[bad] + size[bad] + length - 1, -1)
+                out |= np.cumsum(turn[:-1]) > 0
+            whole = np.frombuffer(some, np.uint8)
+            for d, a, b in zip(ids[i:j], edge.tolist(), edge[1:].tolist(), strict=False):
+                gone = out[a:b]
+                spans: list[dict] = []
+                kept = some[a:b]
+                if gone.any():
+                    turn = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+                    spans = [{"start": int(x), "end": int(y)} for x, y in zip(turn[::2], turn[1::2], strict=True)]
+                    kept = whole[a:b][~gone].tobytes()
+                for col, x in zip(cols, (d, b - a, spans, kept), strict=True):
+                    col.append(x)
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, KEPT, strict=True)], schema=KEPT)
 
+    none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    uncopied = F.lit(None).cast("map<string,bigint>").alias("copies")
     told = df.mapInArrow(ask, "bucket int, block long, keys binary, many binary").groupBy("bucket").applyInArrow(tell, "block long, keys binary")
-    told = told.withColumn("copies", F.lit(None).cast("array<long>")).union(copies.select("block", F.lit(b"").alias("keys"), "copies"))
-    sent = df.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, "shard int, block long, bytes binary, sizes binary, hashes binary, docs binary")
-    back = sent.groupBy("shard").applyInArrow(sort, "block long, hashes binary, counts binary, sizes binary, docs binary")
-    back = back.withColumn("copies", F.lit(None).cast("array<long>"))
-    none = [F.lit(None).cast("binary").alias(c) for c in ("hashes", "counts", "sizes", "docs")]
-    back = back.union(copies.select("block", *none, "copies"))
+    told = told.select("block", "keys", uncopied).union(copies.select("block", F.lit(b"").alias("keys"), "copies"))
+    sent = df.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, "shard int, block long, bytes binary, sizes binary, keys binary, hashes binary, docs binary")
+    back = sent.groupBy("shard").applyInArrow(sort, "block long, keys binary, hashes binary, counts binary, sizes binary, docs binary")
+    back = back.select("*", uncopied).union(copies.select("block", *none("keys", "hashes", "counts", "sizes", "docs"), "copies"))
     return df.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
