@@ -7,11 +7,12 @@ For each row the evidence is fused in log space, language by language:
 * the declared markup language, right with probability ``markup_trust``,
 * the address suffix (path part, then top-level domain), right with ``suffix_trust``,
 * the host's prior: soft language counts of the other three by host, by registered domain and overall, from one
-  grouped aggregation, each level smoothed towards the one above by ``strength`` pseudo-rows.
+  grouped aggregation, each level without the row itself and smoothed towards the one above by ``strength`` pseudo-rows.
 
-The text model is fitted on at most ``train_rows`` labelled rows, those with the smallest hash of their id; everything else covers
-all rows. Host sums are combined before the shuffle, so a host with a third of all rows is no hot key; the
-join of hosts back to rows may be skewed, and adaptive execution splits it.
+The text model is fitted on some ``train_rows`` labelled rows, equally many of each language, by the hash of id and text; everything
+else covers all rows. The evidence is written once. Host sums are combined before the shuffle, so a host with a third of all
+rows is no hot key; the written table of hosts is broadcast only if it is small, else its join may be skewed, and adaptive
+execution splits it.
 
 Defined results: null or empty texts, or texts without letters, give no text evidence; with no evidence of any
 kind ``lang`` is null and ``probability`` 0; a null host has the overall prior; ties go to the language first in order;
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import LOWER, SLICE, mix, texts
+from .common import LOWER, SLICE, mix, texts, written
 
 TABLE = 1 << 14
 #: What stays of a byte for the text model: letters and bytes beyond ASCII; all else is a space.
@@ -62,16 +63,35 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 2000) -> TextModel:
-    """The text model from at most ``train_rows`` labelled rows."""
+    """The text model of all labels that occur, from some ``train_rows`` labelled rows, as many of each language as there are.
+
+    Rows are chosen by a hash of their id and text. Trigrams are counted where the texts are: one row of counts a language is collected."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    # the hashes first, so that texts of the chosen rows alone travel
-    last = rows.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    some = [r[1:] for r in sorted(rows.where(F.col("h") <= F.lit(last)).limit(2 * train_rows).collect())[:train_rows]] if last is not None else []
-    languages = sorted({r[0] for r in some})
+    rows = rows.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
     counts = np.full((len(languages), TABLE), 0.5)
-    for lang, text in some:
-        counts[languages.index(lang)] += np.bincount(grams(text.encode()), minlength=TABLE)
+    if not languages:
+        return TextModel([], np.zeros((0, TABLE)))
+    each = max(1, train_rows // len(languages))
+    top = {x: min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, each / n))) for x, n in sizes.items()}
+    most = F.create_map(*(F.lit(y) for x in top.items() for y in x))
+    chosen = rows.where(F.col("h") <= most[F.col("lang")]).dropDuplicates(["h"])  # a repeated row counts once
+
+    def count(batches):
+        for b in batches:
+            of: dict[str, np.ndarray] = {}
+            for lang, raw in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+                of[lang] = of.get(lang, 0) + np.bincount(grams(raw), minlength=TABLE)
+            yield pa.RecordBatch.from_arrays([pa.array(list(of)), pa.array([x.astype(np.int64).tobytes() for x in of.values()], pa.binary())], ["lang", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
+        return pa.table({"lang": table["lang"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "lang string, counts binary"
+    for r in chosen.select("lang", "text").mapInArrow(count, kind).groupBy("lang").applyInArrow(add, kind).collect():
+        counts[languages.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
     return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
@@ -142,26 +162,30 @@ def identify(
     any_ = F.col("text_evidence").isNotNull() | F.coalesce(m.isin(*langs), F.lit(False))
     for i in range(len(suffixes)):
         any_ |= F.coalesce(s[i].isin(*langs), F.lit(False))
-    own = seen.select(F.col("row.row").alias("row"), F.col("row.clues.host").alias("host"), F.col("row.clues.domain").alias("domain"), logs.alias("logs"), any_.alias("seen"), "text_evidence", "other")
+    own = written(seen.select(F.col("row.row").alias("row"), F.col("row.clues.host").alias("host"), F.col("row.clues.domain").alias("domain"), logs.alias("logs"), any_.alias("seen"), "text_evidence", "other"), "langid-evidence")
 
-    # hierarchically smoothed priors: one aggregation by host, the levels above are sums of it
+    # hierarchical counts: one aggregation by host, the levels above are sums of it
     soft = own.where("seen").select("host", "domain", _softmax(F.col("logs")).alias("p"))
-    sums = [F.sum(F.col("p")[i]).alias(f"n{i}") for i in range(len(langs))]
-    by_host = soft.groupBy("host", "domain").agg(*sums)
+    by_host = written(soft.groupBy("host", "domain").agg(*(F.sum(F.col("p")[i]).alias(f"n{i}") for i in range(len(langs)))), "langid-hosts")
     n = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]
-    by_domain, overall = by_host.groupBy("domain").agg(*n), by_host.agg(*n).first()
-    total = sum(x or 0.0 for x in overall)
-    prior = [((x or 0.0) + 1) / (total + len(langs)) for x in overall]
-
-    def smoothed(table: DataFrame, above: list[Column]) -> list[Column]:
-        size = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(len(langs))])
-        return [(F.col(f"n{i}") + strength * above[i]) / (size + strength) for i in range(len(langs))]
-
-    by_domain = by_domain.where("domain is not null").select("domain", F.array(*smoothed(by_domain, [F.lit(x) for x in prior])).alias("d"))
-    hosts = by_host.where("host is not null").join(by_domain, "domain")
-    hosts = hosts.select("host", "domain", F.array(*smoothed(hosts, [F.col("d")[i] for i in range(len(langs))])).alias("h"))
-    both = own.join(hosts.select("host", "domain", "h"), ["host", "domain"], "left")
-    given = F.coalesce("h", F.array(*map(F.lit, prior)))
+    counts = lambda name: F.array(*(F.col(f"n{i}") for i in range(len(langs)))).alias(name)
+    overall = F.array(*(F.lit(float(x or 0.0)) for x in by_host.agg(*n).first()))
+    by_domain = by_host.where("domain is not null").groupBy("domain").agg(*n).select("domain", counts("of_domain"))
+    # a table of known size: the planner sends it to all tasks if it is small, and else shuffles
+    hosts = written(by_host.where("host is not null").select("host", "domain", counts("of_host")).join(by_domain, "domain"), "langid-levels")
+    both = own.join(hosts, ["host", "domain"], "left")
+    # what a row adds to the counts is no evidence about it
+    share = F.when(F.col("seen"), _softmax(F.col("logs"))).otherwise(flat)
+    both = both.withColumn("share", share)
+
+    def smoothed(level: Column, above: Column, weight: float) -> Column:
+        others = F.zip_with(level, F.col("share"), lambda x, y: F.greatest(x - y, F.lit(0.0)))
+        size = F.aggregate(others, F.lit(0.0), lambda x, y: x + y) + weight
+        return F.zip_with(others, above, lambda x, y: (x + weight * y) / size)
+
+    even = F.array(*(F.lit(1.0 / len(langs)) for _ in langs))
+    both = both.withColumn("prior", smoothed(overall, even, float(len(langs))))
+    given = F.when(F.col("of_host").isNull(), F.col("prior")).otherwise(smoothed(F.col("of_host"), smoothed(F.col("of_domain"), F.col("prior"), strength), strength))
     done = both.select("row", "seen", _softmax(_plus(F.col("logs"), F.transform(given, lambda x: F.log(x)))).alias("posterior"), "text_evidence", "other")
     best = F.array_max("posterior")
     lang = F.element_at(F.array(*map(F.lit, langs)), F.array_position("posterior", best).cast("int"))
@@ -176,7 +200,7 @@ def page_clues(url: Column, html: Column) -> dict:
     part = lambda text, rule: F.nullif(F.lower(F.regexp_extract(text, rule, 1)), F.lit(""))
     host = part(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
     return {
-        "markup": part(html, r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})"),
+        "markup": part(html, r"(?i)<html\b[^<>]*\blang\s*=\s*[\"']?([A-Za-z]{2})"),
         "suffixes": [part(url, r"^[^:]+://[^/]+/([A-Za-z]{2})(?:[/?#]|$)"), F.nullif(F.regexp_extract(host, r"\.([a-z]{2})$", 1), F.lit(""))],
         "host": host,
         "domain": F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")),
@@ -184,6 +208,6 @@ def page_clues(url: Column, html: Column) -> dict:
 
 
 def page_text(html: Column) -> Column:
-    """Text of a page: without scripts, styles, comments and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    return F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
+    """Text of a page: without scripts, styles and comments (to the end if they are not closed) and tags."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " ")
+    return F.regexp_replace(bare, r"<[^<>]*+>", " ")
