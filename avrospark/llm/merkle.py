@@ -1,17 +1,17 @@
 """Merkle fixity audit of WARC records.
 
-``store`` turns pages into WARC records with the file and offset they are kept at. ``audit``
-compares two replicas. Records are hashed, and ordered offset ranges of their hashes are
-hashed into trees: a leaf covers ``leaf`` bytes of offsets of a file, each level above ``fan`` ranges, the
-files' tops are hashed into a tree over ``fan`` files a level, up to one root for a replica. If the roots are equal, nothing else
-is read; else only children of mismatching nodes are compared, level by level, down to records.
+``store`` turns pages into WARC records with the file and offset they are kept at; ``place`` gives the places of records that
+are measured and hashed already, so that their bytes never travel. ``audit`` compares two replicas. Ordered offset ranges of
+record hashes are hashed into trees: a leaf covers ``leaf`` bytes of offsets of a file, each level above ``fan`` ranges, the
+files' tops are hashed into a tree over ``fan`` files a level, up to the roots of a replica. If the roots are equal, nothing
+else is compared; else only children of mismatching nodes are, level by level, down to records.
 
 A node has at most ``fan`` children and a leaf the records of one offset range, so no group grows
 with the data, and ranges go by stored offsets, so a lost record spoils its own range only. DataFrame functions
 do it all; the node table is written once to the shared folder.
 
-Defined results: null addresses or bodies are empty; a null page id is in file -1; repeated pages are records of
-their own, in a fixed order; records only one replica has are ``missing`` or ``extra``; two empty replicas are equal.
+Defined results: null addresses or bodies are empty; pages without id are dealt by hash into files below 0; repeated pages are
+records of their own, in the order of their hashes; records only one replica has are ``missing`` or ``extra``; two empty replicas are equal.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import written
 
 #: Pages of one WARC file: consecutive ids.
 FILE_PAGES = 1000
+#: Files for pages without id.
+NAMELESS = 1024
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -40,17 +42,27 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
+def place(records: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
+    """``records`` (page_id, warc_length, record_sha256 and more) with warc_file and warc_offset, as they lie in files of consecutive pages."""
+    nameless = -1 - F.pmod(F.xxhash64("record_sha256"), F.lit(NAMELESS))
+    rows = records.withColumn("warc_file", F.coalesce(F.floor(F.col("page_id") / file_pages).cast("long"), nameless))
+    here = Window.partitionBy("warc_file").orderBy("page_id", "record_sha256").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("warc_offset", F.coalesce(F.sum("warc_length").over(here), F.lit(0).cast("long")))
+
+
+def measured(record_: Column) -> list[Column]:
+    return [F.length(record_).cast("long").alias("warc_length"), F.sha2(record_, 256).alias("record_sha256")]
+
+
 def store(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
     """warc_file, warc_offset, page_id and record, as they lie in files of consecutive pages."""
-    file = F.coalesce(F.floor(F.col("page_id") / file_pages).cast("long"), F.lit(-1)).alias("warc_file")
-    rows = pages.select(file, "page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    here = Window.partitionBy("warc_file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("warc_file", F.coalesce(F.sum(F.length("record").cast("long")).over(here), F.lit(0).cast("long")).alias("warc_offset"), "page_id", "record")
+    rows = pages.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    return place(rows.select("*", *measured(F.col("record"))), file_pages).select("warc_file", "warc_offset", "page_id", "record")
 
 
 def leaves(stored: DataFrame) -> DataFrame:
     """Records by place and hash; their bytes are not needed any more."""
-    return stored.select("warc_file", "warc_offset", "page_id", F.length("record").cast("long").alias("warc_length"), F.sha2("record", 256).alias("record_sha256"))
+    return stored.select("warc_file", "warc_offset", "page_id", *measured(F.col("record")))
 
 
 def _hashed(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -70,7 +82,7 @@ def tree(records: DataFrame, leaf: int, fan: int, levels: int) -> DataFrame:
 
 
 def audit(a: DataFrame, b: DataFrame, *, leaf: int = 1 << 16, fan: int = 16) -> DataFrame:
-    """Records of ``a`` or ``b`` (both from ``leaves``) that differ: warc_file, warc_offset, status.
+    """Records of ``a`` or ``b`` (both with the columns of ``leaves``) that differ: warc_file, warc_offset, status.
 
     corrupt: other bytes at the place; missing: not in ``b``; extra: only in ``b``.
     """
@@ -89,12 +101,14 @@ def audit(a: DataFrame, b: DataFrame, *, leaf: int = 1 << 16, fan: int = 16) ->
 
     # the tree over files, from the files' tops to one root
     over = [nodes.where(F.col("level") == levels).select("side", F.col("warc_file").alias("slot"), "h")]
-    width = (files if files is not None else 0) + 2
+    width = max(files if files is not None else 0, NAMELESS) + 2
     while width > 1:
         over.append(_hashed(over[-1].withColumn("up", F.floor(F.col("slot") / fan)), ["side", "up"], "slot", "h").withColumnRenamed("up", "slot"))
         width = -(-width // fan) + (1 if width > fan else 0)
-    # both -1 (pages without id) and the other files end below two slots at most; their nodes are the roots
+    # files below 0 (pages without id) and the others end in one slot each; their nodes are the roots
     bad = written(differing(over[-1], ["slot"], "h").select("slot"), "merkle-bad")
+    if not bad.head(1):
+        return both.where("false").select("warc_file", "warc_offset", F.lit("").alias("status"))
     for rows in reversed(over[:-1]):
         some = rows.withColumn("up", F.floor(F.col("slot") / fan)).join(bad.withColumnRenamed("slot", "up"), "up", "left_semi")
         bad = written(differing(some, ["slot"], "h").select("slot"), "merkle-bad")

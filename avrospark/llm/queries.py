@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, forest, jaccard, langid, maxent, merkle, packed, pieces, secrets, suffix
+from .common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +29,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits the pages' WARC files against a replica in which some records are damaged and some are lost, by the md5 of their ids."""
-    kept = merkle.store(table(spark, sf_dir, "pages"))
+    record = merkle.record(F.col("page_id"), F.col("url"), F.col("html"))
     fate = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
-    damaged = F.when(fate == "00", F.concat(F.lit(b"\0"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
-    replica = merkle.leaves(kept.where(fate != "01").withColumn("record", damaged))
-    records = merkle.leaves(kept)
+    rows = table(spark, sf_dir, "pages").select("page_id", record.alias("record"), fate.alias("fate"))
+    damaged = F.when(F.col("fate") == "00", F.concat(F.lit(b"\0"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
+    # records are hashed where they are read; their bytes don't travel
+    placed = written(merkle.place(rows.select("page_id", "fate", *merkle.measured(F.col("record")), F.sha2(damaged, 256).alias("replica_sha256"))), "warc-records")
+    records = placed.select("warc_file", "warc_offset", "page_id", "warc_length", "record_sha256")
+    replica = placed.where("fate is null or fate <> '01'").select("warc_file", "warc_offset", "page_id", "warc_length", F.col("replica_sha256").alias("record_sha256"))
     found = merkle.audit(records, replica)
     return records.join(found, ["warc_file", "warc_offset"], "left").withColumn("status", F.coalesce("status", F.lit("ok")))
 
