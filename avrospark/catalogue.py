@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from .functions import avro_canonical, avro_decode, avro_encode, avro_errors, avro_fingerprint, avro_from_json, avro_to_json, avro_valid
 from .kernels.codecs import CODECS
 from .operators import anonymize, explode_blocks, generate, read_blocks, transcode, write_blocks
-from .schema import from_spark_type
+from .schema import SchemaParseException, UnknownType, expand_schema, from_spark_type, load_schema, parse_schema
+from .schema.load import whole
 from .shared import scratch
-from .sources import avro_schema, read_avro, write_avro
-from .streaming import decode_stream, read_stream
+from .sources import are_avro, avro_schema, read_avro, write_avro
+from .streaming import decode_stream, read_stream, write_stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,7 +217,136 @@ def append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codec(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return container(table(spark, sf_dir, "nation"), codec=name)
+    """Files of many blocks; splits begin inside them."""
+    return container(table(spark, sf_dir, "lineitem"), codec=name)
+
+
+def booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).alias("big"), F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax") == 0).alias("free"))
+    out = messages(li, record("L", l_orderkey="long", l_linenumber="int", big="boolean", free=["null", "boolean"]))
+    return out.withColumn("free", F.col("free").cast("string"))
+
+
+def utc_millis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.timestamp_micros(F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))).alias("ts"))
+    out = messages(e, record("T", event_id="long", ts={"type": "long", "logicalType": "timestamp-millis"}))
+    return out.select("event_id", F.unix_millis("ts").alias("ms"))
+
+
+def resolved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of lists and values of maps, promoted and renamed inside."""
+    point = lambda name, kind, **more: record("Point", **{name: {"_": {"type": kind, **more}}})
+    p = table(spark, sf_dir, "part").select("p_partkey", F.array("p_size", F.col("p_size") + 1).alias("a"), F.create_map(F.lit("k"), F.struct(F.col("p_size").alias("x"))).alias("m"))
+    w = record("P", p_partkey="long", a={"type": "array", "items": "int"}, m={"type": "map", "values": point("x", "int")})
+    r = record("P", p_partkey="long", a={"type": "array", "items": "double"}, m={"type": "map", "values": point("y", "long", aliases=["x"])})
+    out = messages(p, w, r)
+    return out.select("p_partkey", F.col("a")[0].alias("first"), F.col("a")[1].alias("second"), F.col("m")["k"]["y"].alias("y"))
+
+
+def validate_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of a column are data of each kind of schema."""
+    o, third = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 3 == 0
+    big = F.when(third, F.lit(1 << 40)).otherwise(F.col("o_orderkey"))
+    md5 = F.unhex(F.md5(F.col("o_orderstatus").cast("binary")))
+    cases = {
+        "boolean": (third, "boolean"),
+        "bytes": (md5, "bytes"),
+        "string": (F.when(~third, F.col("o_orderstatus")), "string"),
+        "long": (F.when(~third, big), "long"),
+        "int": (big, "int"),
+        "double": (F.col("o_totalprice"), "double"),
+        "float": (F.when(third, F.col("o_totalprice")), "float"),
+        "fixed": (F.when(third, md5).otherwise(F.substring(md5, 1, 8)), {"type": "fixed", "name": "F", "size": 16}),
+        "array": (F.array(F.lit(1).cast("long"), big), {"type": "array", "items": "int"}),
+        "map": (F.create_map(F.lit("k"), F.when(~third, F.lit("v"))), {"type": "map", "values": "string"}),
+        "union": (F.when(~third, big), ["null", "long"]),
+        "narrow": (F.when(~third, big), ["null", "boolean"]),
+    }
+    columns = o.select(*(c.alias(k) for k, (c, _) in cases.items()))
+    counts = columns.select(*(F.sum(avro_valid(F.col(f"`{k}`"), columns.schema[k].dataType, schema).cast("int")).alias(k) for k, (_, schema) in cases.items()))
+    return counts.select(F.explode(F.create_map(*(x for k in cases for x in (F.lit(k), F.col(f"`{k}`"))))).alias("kind", "n"))
+
+
+def files_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files are containers, by their first bytes."""
+    path = scratch(spark, "told")
+    write_avro(table(spark, sf_dir, "region"), path)
+    told = are_avro(spark, path).union(are_avro(spark, f"{sf_dir}/region.parquet"))
+    return told.groupBy("is_avro").agg((F.count("*") > 0).alias("found"))
+
+
+def custom_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logical type of one's own, written and read, inside a list."""
+    from . import logical as types
+
+    schema = record("N", n_nationkey="int", names={"type": "array", "items": {"type": "string", "logicalType": "catalogue-shout"}})
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.array(F.lower("n_name")).alias("names"))
+    types.register("string-catalogue-shout", writer=F.upper, reader=lambda c: F.concat(c, F.lit("!")))
+    try:
+        return container(n, schema).select("n_nationkey", F.col("names")[0].alias("name"))
+    finally:
+        types.READERS.pop("string-catalogue-shout")
+        types.WRITERS.pop("string-catalogue-shout")
+
+
+def record_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records beside null, with their names."""
+    schema = record("N", n_nationkey="int", at=["null", record("geo.Region", n_regionkey="int")])
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_regionkey") > 1, F.struct("n_regionkey")).alias("at"))
+    m = n.select(avro_encode(whole_row(n), schema).alias("m"))
+    return m.select(avro_decode(F.col("m"), schema, return_record_name=True).alias("r")).select("r.n_nationkey", "r.at.tag", F.coalesce("r.at.member1.n_regionkey", F.lit(-1)).alias("region"))
+
+
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, r = scratch(spark, "valid"), table(spark, sf_dir, "region")
+    write_avro(r, path, record("R", r_regionkey="int", r_name="string"), validator=True, syncMarker="0f" * 16)
+    return read_avro(spark, path)
+
+
+def stream_copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container files read as a stream and written as a stream."""
+    path, copy = scratch(spark, "stream"), scratch(spark, "copy")
+    write_avro(table(spark, sf_dir, "events"), path)
+    write_stream(read_stream(spark, path), copy, scratch(spark, "stream-state"), codec="snappy").trigger(availableNow=True).start().awaitTermination()
+    return read_avro(spark, copy)
+
+
+class _Shelf:
+    """Schemas by name, held in memory."""
+
+    def __init__(self, **schemas: Any):
+        self.schemas = schemas
+
+    def load(self, name: str) -> Any:
+        return self.schemas[name]
+
+
+def schemas_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of nations through a schema whose types are loaded from a repository, expanded, and used as a reader's."""
+    shelf = _Shelf(Nation=record("Nation", n_nationkey="int", flag="Flag"), Flag={"type": "enum", "name": "Flag", "symbols": ["EVEN", "ODD"]})
+    schema = expand_schema(whole(load_schema("Nation", repository=shelf)))
+    flag = F.when(F.col("n_nationkey") % 2 == 0, "EVEN").otherwise("ODD")
+    return messages(table(spark, sf_dir, "nation").select("n_nationkey", flag.alias("flag")), schema)
+
+
+def schemas_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which schemas are refused: wrong defaults and symbols, unknown names."""
+    cases = {
+        "default": record("R", a={"_": {"type": "int", "default": "x"}}),
+        "fine": record("R", a={"_": {"type": ["null", "int"], "default": None}}),
+        "symbol": {"type": "enum", "name": "E", "symbols": ["a-b"]},
+        "symbols": {"type": "enum", "name": "E", "symbols": ["A", "A"]},
+        "unknown": record("R", a="Other"),
+    }
+
+    def refused(schema: Any) -> bool:
+        try:
+            parse_schema(schema)
+        except (SchemaParseException, UnknownType, ValueError):
+            return True
+        return False
+
+    return spark.createDataFrame([(k, refused(v)) for k, v in cases.items()], "what string, refused boolean")
 
 
 def block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +450,23 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "validate_many": (validate_many, "SELECT bool_and(p_size BETWEEN -2147483648 AND 2147483647) AS ok FROM part"),
     "validate_errors": (validate_errors, "SELECT event_id, 'v' AS field, 'string' AS expected FROM events WHERE event_id % 3 = 0"),
     "append_concat": (append, "SELECT * FROM region UNION ALL SELECT * FROM region"),
-    **{f"codec_{c}": (partial(codec, c), "SELECT * FROM nation") for c in CODECS},
+    **{f"codec_{c}": (partial(codec, c), "SELECT * FROM lineitem") for c in CODECS},
+    "roundtrip_boolean": (booleans, "SELECT l_orderkey, l_linenumber, l_quantity > 25 AS big, CASE WHEN l_orderkey % 7 <> 0 THEN CAST(l_tax = 0 AS VARCHAR) END AS free FROM lineitem"),
+    "logical_utc_millis": (utc_millis, "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events"),
+    "logical_time_millis": (partial(logical, "events", "event_id", lambda: F.expr("cast(extract(hour from ts) * 3600000 + extract(minute from ts) * 60000 + floor(extract(second from ts)) * 1000 as int)"), "t", {"type": "int", "logicalType": "time-millis"}), "SELECT event_id, CAST(hour(ts) * 3600000 + minute(ts) * 60000 + second(ts) * 1000 AS INTEGER) AS t FROM events"),
+    "resolve_items": (resolved_items, "SELECT p_partkey, CAST(p_size AS DOUBLE) AS first, CAST(p_size + 1 AS DOUBLE) AS second, CAST(p_size AS BIGINT) AS y FROM part"),
+    "validate_kinds": (
+        validate_kinds,
+        "SELECT u.kind, CAST(CASE WHEN u.kind IN ('boolean', 'bytes', 'double', 'union') THEN a WHEN u.kind IN ('string', 'long', 'int', 'array', 'map') THEN a - t ELSE t END AS BIGINT) AS n "
+        "FROM (SELECT count(*) AS a, count(*) FILTER (o_orderkey % 3 = 0) AS t FROM orders), unnest(['boolean', 'bytes', 'string', 'long', 'int', 'double', 'float', 'fixed', 'array', 'map', 'union', 'narrow']) AS u(kind)",
+    ),
+    "files_told": (files_told, "SELECT * FROM (VALUES (true, true), (false, true)) AS v(is_avro, found)"),
+    "logical_custom": (custom_type, "SELECT n_nationkey, upper(n_name) || '!' AS name FROM nation"),
+    "record_names": (record_names, "SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN 'geo.Region' END AS tag, CASE WHEN n_regionkey > 1 THEN n_regionkey ELSE -1 END AS region FROM nation"),
+    "write_validated": (validated, "SELECT * FROM region"),
+    "stream_copy": (stream_copied, "SELECT * FROM events"),
+    "schemas_loaded": (schemas_loaded, "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS flag FROM nation"),
+    "schemas_refused": (schemas_refused, "SELECT * FROM (VALUES ('default', true), ('fine', false), ('symbol', true), ('symbols', true), ('unknown', true)) AS v(what, refused)"),
     "block_counts": (block_counts, "SELECT count(*) AS n FROM orders"),
     "block_transcode": (transcoded, "SELECT * FROM orders"),
     "block_explode": (exploded, "SELECT * FROM supplier"),
