@@ -10,7 +10,10 @@ ever holds a list of the documents of one key.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 from collections.abc import Callable, Iterator
+from functools import wraps
 from hashlib import blake2b
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from ..shared import scratch
 from ..shared import shared_dir as shared_dir
 
-#: Documents of one block: consecutive ids, so that a block's rows mostly share a scan task.
+#: Documents of one block, a power of two: consecutive ids, so that a block's rows mostly share a scan task.
 BLOCK_DOCS = 2048
 #: Texts of at least so many bytes go to one of SPREAD side blocks of their block, so that no block has more than
 #: BLOCK_DOCS * LONG_TEXT bytes of short texts, or some BLOCK_DOCS / SPREAD long ones.
@@ -31,6 +34,9 @@ BUCKET_BYTES = 16 << 20
 #: Rows of an Arrow batch that are worked on at once, and the bytes of text at which fewer are taken.
 SLICE, SLICE_BYTES = 512, 1 << 19
 
+#: Bytes of a group after which its task gives memory back.
+TRIMMED = 4 << 20
+
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -41,6 +47,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives back what a task has freed: workers live on, and would keep it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run`` of mapInArrow, or of (co)groups, and then ``trim``."""
+    if inspect.isgeneratorfunction(run):
+
+        @wraps(run)
+        def each(batches):
+            yield from run(batches)
+            trim()
+
+        return each
+    if len(inspect.signature(run).parameters) == 1:
+
+        @wraps(run)
+        def one(table):
+            out = run(table)
+            if table.nbytes > TRIMMED:
+                trim()
+            return out
+
+        return one
+
+    @wraps(run)
+    def two(left, right):
+        out = run(left, right)
+        if left.nbytes + right.nbytes > TRIMMED:
+            trim()
+        return out
+
+    return two
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """``fn`` over slices of Arrow batches."""
 
@@ -51,7 +97,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def texts(col: pa.Array) -> list[bytes]:
@@ -91,7 +137,7 @@ def ranges(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
 
 def block_of(doc_id: Column, text: Column) -> Column:
     """Block of a document; long texts have side blocks, and documents without an id are spread by their text."""
-    main = F.coalesce(F.floor(doc_id.cast("long") / F.lit(BLOCK_DOCS)).cast("long"), F.pmod(F.xxhash64(text), F.lit(BLOCK_DOCS)) - F.lit(1 << 40))
+    main = F.coalesce(F.shiftright(doc_id.cast("long"), BLOCK_DOCS.bit_length() - 1), F.pmod(F.xxhash64(text), F.lit(BLOCK_DOCS)) - F.lit(1 << 40))
     long_ = F.coalesce(F.octet_length(text), F.lit(0)) >= LONG_TEXT
     return main * F.lit(2 * SPREAD) + F.when(long_, F.pmod(F.xxhash64(doc_id), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
 

@@ -44,9 +44,11 @@ from .common import (
     block_of,
     buckets_of,
     mix,
+    ranges,
     raw_texts,
     rows_batch,
     slices,
+    trimmed,
     words_of,
     written,
 )
@@ -131,34 +133,29 @@ def candidate_sets(docs: DataFrame, size: int, similarity: int, buckets: int) ->
             at = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
             if not at.size:
                 continue
-            at = at[np.argsort(ids.to_numpy(zero_copy_only=False)[at], kind="stable")]  # ascending ids: the first of equal keys has the least
+            at = at[np.lexsort((ids.to_numpy(zero_copy_only=False)[at], b.column(0).to_numpy()[at]))]  # ascending ids: the first of equal keys has the least
             b = b.take(pa.array(at))
-            blocks, place = b.column(0).to_numpy(), (b.column(1).to_numpy() % BLOCK_DOCS).astype(np.uint16)
+            place = (b.column(1).to_numpy() % BLOCK_DOCS).astype(np.uint16)
             raw, edge = raw_texts(b.column(2))
-            keys, of = [], []
-            for i, j in slices(edge):
-                flat, doc = prefixes(*shingle_sets(raw[int(edge[i]) : int(edge[j])], edge[i : j + 1] - edge[i], size), similarity)
-                keys.append(keys_of(flat, buckets))
-                of.append(doc + i)
-            keys, of = np.concatenate(keys), np.concatenate(of)
-            rows = []
-            for block in np.unique(blocks).tolist():
-                mine = np.flatnonzero(blocks[of] == block)
-                if not mine.size:
+            for block, x, y in ranges(b.column(0).to_numpy()):
+                keys, of = [], []
+                for i, j in slices(edge[x : y + 1]):
+                    i, j = x + i, x + j
+                    flat, doc = prefixes(*shingle_sets(raw[int(edge[i]) : int(edge[j])], edge[i : j + 1] - edge[i], size), similarity)
+                    keys.append(keys_of(flat, buckets))
+                    of.append(doc + i)
+                k, of = np.concatenate(keys), np.concatenate(of)
+                if not k.size:
                     continue
-                order = mine[np.argsort(keys[mine], kind="stable")]
-                k = keys[order]
+                order = np.argsort(k, kind="stable")
+                k = k[order]
                 head = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0)
                 many = np.diff(head, append=k.size) > 1
                 val = place[of[order[head]]] | many.astype(np.uint16) << np.uint16(15)
                 k = k[head]
                 bucket = (k >> np.uint64(32)).astype(np.int64)
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
                 low = k.astype(np.uint32)
-                for i, j in zip(cut.tolist(), [*cut[1:].tolist(), k.size], strict=True):
-                    rows.append({"bucket": int(bucket[i]), "block": block, "keys": low[i:j].tobytes(), "vals": val[i:j].tobytes()})
-            if rows:
-                yield rows_batch(rows, ENTRY_ARROW)
+                yield rows_batch([{"bucket": z, "block": block, "keys": low[i:j].tobytes(), "vals": val[i:j].tobytes()} for z, i, j in ranges(bucket)], ENTRY_ARROW)
 
     def answer(table: pa.Table) -> pa.Table:
         # a key counts once for each batch of documents that has it, twice for one with several of them
@@ -225,9 +222,9 @@ def candidate_sets(docs: DataFrame, size: int, similarity: int, buckets: int) ->
         cols += [[firsts[i][k] if i in firsts else None for i in range(len(ids))] for k in (2, 3)]
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, SETS_ARROW, strict=True)], schema=SETS_ARROW)
 
-    entries = docs.select("block", "doc_id", "text").mapInArrow(send, ENTRIES)
-    answers = entries.groupBy("bucket").applyInArrow(answer, "block long, bucket int, keys binary, vals binary, least binary")
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(choose, SETS)
+    entries = docs.select("block", "doc_id", "text").mapInArrow(trimmed(send), ENTRIES)
+    answers = entries.groupBy("bucket").applyInArrow(trimmed(answer), "block long, bucket int, keys binary, vals binary, least binary")
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(trimmed(choose), SETS)
 
 
 class Links:
@@ -368,7 +365,7 @@ def _across(sets: DataFrame, edges: DataFrame, block_docs: int, similarity: int)
     return edges.union(written(asks.union(index).groupBy("root", "part", "turn").applyInArrow(link, "u long, v long"), "jaccard-edges"))
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, similarity: int = 85, block_docs: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, similarity: int = 85, block_docs: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     df = df.select(block_of(F.col("doc_id"), F.col("text")).alias("block"), "doc_id", "text")

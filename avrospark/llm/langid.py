@@ -22,7 +22,6 @@ languages, and all rows are undetermined. Input columns come back in ``row``, wh
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -31,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.functions import arrow_udf
 
-from .common import LOWER, SLICE, mix, texts, written
+from .common import LOWER, mix, texts, trim, written
 
 TABLE = 1 << 14
 #: What stays of a byte for the text model: letters and bytes beyond ASCII; all else is a space.
@@ -95,23 +94,18 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
-def with_evidence(df: DataFrame, text_col: str, model: TextModel, keep: Sequence[str] | None = None) -> DataFrame:
-    """``row`` (the columns named by ``keep``, all by default) and ``text_evidence`` (array<double>) and ``other`` (double), null without letters."""
-    names = list(df.columns if keep is None else keep)
-    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in names]
-    some = df.select(F.struct(*quoted).alias("row"), F.col(text_col).cast("string").alias("text"))
-    sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+def _rows(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length, none of them null, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
-    def run(batches):
-        m = pickle.loads(sent.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                b = whole.slice(at, SLICE)
-                found = [m.evidence(x) for x in texts(b.column(1))]
-                logs, other = pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([x for _, x in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([b.column(0), logs, other], ["row", "text_evidence", "other"])
 
-    return some.mapInArrow(run, StructType([some.schema["row"], StructField("text_evidence", ArrayType(DoubleType())), StructField("other", DoubleType())]))
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows.shape[0] + 1, dtype=np.int32) * (rows.shape[1] if rows.size else 0)), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
+
+
+def _normal(logs: np.ndarray) -> np.ndarray:
+    raised = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
 
 
 def declared(of: Column, languages: Sequence[str], trust: float) -> Column:
@@ -125,12 +119,6 @@ def _plus(*arrays: Column) -> Column:
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), arrays)
 
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    raised = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
-
-
 def identify(
     df: DataFrame,
     model: TextModel,
@@ -154,39 +142,56 @@ def identify(
     null = F.lit(None).cast("string")
     clues = F.struct(*((markup if markup is not None else null).cast("string").alias("markup"), F.array(*(s.cast("string") for s in suffixes), null).alias("suffixes"), (host if host is not None else null).cast("string").alias("host"), (domain if domain is not None else host if host is not None else null).cast("string").alias("domain")))
     quoted = [F.col(f"`{c.replace('`', '``')}`") for c in (names if keep is None else keep)]
-    some = df.select(F.struct(*quoted).alias("row"), clues.alias("clues"), F.col(text_col).cast("string").alias("text"))
-    seen = with_evidence(some, "text", model, ["row", "clues"])
-    m, s = F.col("row.clues.markup"), F.col("row.clues.suffixes")
+    m, s = F.col("clues.markup"), F.col("clues.suffixes")
     flat = F.array(*(F.lit(0.0) for _ in langs))
-    logs = _plus(F.coalesce("text_evidence", flat), declared(m, langs, markup_trust), *(declared(s[i], langs, suffix_trust) for i in range(len(suffixes))))
-    any_ = F.col("text_evidence").isNotNull() | F.coalesce(m.isin(*langs), F.lit(False))
+    hints = _plus(flat, declared(m, langs, markup_trust), *(declared(s[i], langs, suffix_trust) for i in range(len(suffixes))))
+    any_ = F.coalesce(m.isin(*langs), F.lit(False))
     for i in range(len(suffixes)):
         any_ |= F.coalesce(s[i].isin(*langs), F.lit(False))
-    own = written(seen.select(F.col("row.row").alias("row"), F.col("row.clues.host").alias("host"), F.col("row.clues.domain").alias("domain"), logs.alias("logs"), any_.alias("seen"), "text_evidence", "other"), "langid-evidence")
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    @arrow_udf("struct<text:array<double>,other:double,logs:array<double>,share:array<double>,seen:boolean>")
+    def weigh(text: pa.Array, hints: pa.Array, any_: pa.Array) -> pa.Array:
+        """Evidence of texts, fused with that of the declarations; only texts travel to Python, the rows wait where they are."""
+        found = [sent.value.evidence(x) for x in texts(text)]
+        logs, seen = _rows(hints).copy(), any_.to_numpy(zero_copy_only=False).astype(bool)
+        for i, (x, _) in enumerate(found):
+            if x is not None:
+                logs[i] += x
+                seen[i] = True
+        share = _normal(logs) * seen[:, None] if len(found) else logs
+        cols = [pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([x for _, x in found], pa.float64()), _lists(logs), _lists(share), pa.array(seen)]
+        out = pa.StructArray.from_arrays(cols, names=["text", "other", "logs", "share", "seen"])
+        trim()
+        return out
+
+    some = df.select(F.struct(*quoted).alias("row"), clues.alias("clues"), F.col(text_col).cast("string").alias("text"))
+    own = some.select("row", F.col("clues.host").alias("host"), F.col("clues.domain").alias("domain"), weigh("text", hints, any_).alias("w"))
+    own = written(own.select("row", "host", "domain", "w.logs", "w.share", "w.seen", F.col("w.text").alias("text_evidence"), "w.other"), "langid-evidence")
 
     # hierarchical counts: one aggregation by host, the levels above are sums of it
-    soft = own.where("seen").select("host", "domain", _softmax(F.col("logs")).alias("p"))
-    by_host = written(soft.groupBy("host", "domain").agg(*(F.sum(F.col("p")[i]).alias(f"n{i}") for i in range(len(langs)))), "langid-hosts")
+    by_host = own.where("seen").groupBy("host", "domain").agg(*(F.sum(F.col("share")[i]).alias(f"n{i}") for i in range(len(langs))))
+    by_host = written(by_host, "langid-hosts")
     n = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]
     counts = lambda name: F.array(*(F.col(f"n{i}") for i in range(len(langs)))).alias(name)
-    overall = F.array(*(F.lit(float(x or 0.0)) for x in by_host.agg(*n).first()))
+    overall = np.array([float(x or 0.0) for x in by_host.agg(*n).first()])
     by_domain = by_host.where("domain is not null").groupBy("domain").agg(*n).select("domain", counts("of_domain"))
     # a table of known size: the planner sends it to all tasks if it is small, and else shuffles
     hosts = written(by_host.where("host is not null").select("host", "domain", counts("of_host")).join(by_domain, "domain"), "langid-levels")
     both = own.join(hosts, ["host", "domain"], "left")
-    # what a row adds to the counts is no evidence about it
-    share = F.when(F.col("seen"), _softmax(F.col("logs"))).otherwise(flat)
-    both = both.withColumn("share", share)
-
-    def smoothed(level: Column, above: Column, weight: float) -> Column:
-        others = F.zip_with(level, F.col("share"), lambda x, y: F.greatest(x - y, F.lit(0.0)))
-        size = F.aggregate(others, F.lit(0.0), lambda x, y: x + y) + weight
-        return F.zip_with(others, above, lambda x, y: (x + weight * y) / size)
-
-    even = F.array(*(F.lit(1.0 / len(langs)) for _ in langs))
-    both = both.withColumn("prior", smoothed(overall, even, float(len(langs))))
-    given = F.when(F.col("of_host").isNull(), F.col("prior")).otherwise(smoothed(F.col("of_host"), smoothed(F.col("of_domain"), F.col("prior"), strength), strength))
-    done = both.select("row", "seen", _softmax(_plus(F.col("logs"), F.transform(given, lambda x: F.log(x)))).alias("posterior"), "text_evidence", "other")
+
+    @arrow_udf("array<double>")
+    def fuse(logs: pa.Array, share: pa.Array, known: pa.Array, of_host: pa.Array, of_domain: pa.Array) -> pa.Array:
+        own_, above = _rows(share), np.full(len(langs), 1.0 / len(langs))
+        # what a row adds to the counts is no evidence about it
+        smoothed = lambda level, above, weight: (others := np.maximum(level - own_, 0.0), (others + weight * above) / (others.sum(axis=1, keepdims=True) + weight))[1]
+        prior = smoothed(overall[None, :], above, float(len(langs)))
+        local = smoothed(_rows(of_host), smoothed(_rows(of_domain), prior, strength), strength)
+        given = np.where(known.to_numpy(zero_copy_only=False)[:, None], local, prior)
+        return _lists(_normal(_rows(logs) + np.log(given)))
+
+    posterior = fuse(F.col("logs"), F.col("share"), F.col("of_host").isNotNull(), F.coalesce("of_host", flat), F.coalesce("of_domain", flat))
+    done = both.select("row", "seen", posterior.alias("posterior"), "text_evidence", "other")
     best = F.array_max("posterior")
     lang = F.element_at(F.array(*map(F.lit, langs)), F.array_position("posterior", best).cast("int"))
     return done.select("row", F.when(F.col("seen"), lang).alias("lang"), F.when(F.col("seen"), best).otherwise(0.0).alias("probability"), "posterior", "text_evidence", "other")

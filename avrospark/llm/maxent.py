@@ -96,13 +96,18 @@ class Model:
     distinct: int
     rest: float  # smoothed count of all words that are not predicted
     _salts: np.ndarray | None = None
+    _near: tuple | None = None
 
     def ranks(self, words: np.ndarray) -> np.ndarray:
-        """Place of each word among the predicted ones, or their number."""
-        if not self.keys.size:
-            return np.zeros(words.size, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, words), self.keys.size - 1)
-        return np.where(self.keys[at] == words, at, self.keys.size)
+        """Place of each word among the predicted ones, or their number: their hashes are even, so a table of leading bits leads near it."""
+        if self._near is None:
+            bits = self.keys.size.bit_length() + 2
+            self._near = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), np.uint64(64 - bits), np.append(self.keys, ~np.uint64(0))
+        near, shift, keys = self._near
+        at = near[words >> shift]
+        while (low := keys[at] < words).any():
+            at += low
+        return np.where(keys[at] == words, np.minimum(at, self.keys.size), self.keys.size)
 
     def steps(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every step of every token's path: its class, whether the second part is taken; and each token's first step."""

@@ -39,6 +39,8 @@ from .common import Memo, parts, raw_texts, shared_dir, slices, span_hashes
 MAGIC, HEAD = b"TPK1", struct.Struct(">4sIQQQQ")
 #: Ids of a block; a multiple of 8, so that blocks are whole bytes at any width.
 BLOCK = 4096
+#: Bytes of text that are looked up in the memo at once.
+MEMO_BYTES = 1 << 19
 NULL_ID = -(1 << 63)
 MEMO = 1_000_000
 
@@ -235,7 +237,7 @@ def write(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", t
 
         for b in batches:
             some, (raw, at) = b.column(0).to_pylist(), raw_texts(b.column(1))
-            for i, j in slices(at):
+            for i, j in slices(at, MEMO_BYTES):
                 ids, sizes = encoder(model).encode_raw(bytes(raw[int(at[i]) : int(at[j])]), at[i : j + 1] - at[i])
                 ends = np.cumsum(sizes)
                 for d, x in zip(some[i:j], np.split(np.insert(ids, ends, end_id), ends + np.arange(1, j - i + 1)), strict=False):

@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, mix, raw_texts, slices, span_hashes
+from .common import Memo, mix, raw_texts, slices, span_hashes, trimmed
 
 #: Entries of each memo; it is emptied when full, which changes speed and never results.
-MEMO, PAIRS = 1_000_000, 300_000
+MEMO, PAIRS = 600_000, 200_000
+#: Bytes of text that are looked up in the memo at once.
+MEMO_BYTES = 1 << 19
 SPACE = "▁"
 NEVER = 1 << 60
 
@@ -329,11 +331,11 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         p = pieces(path)
         for b in batches:
             raw, at = raw_texts(b.column(1))
-            for i, j in slices(at):
+            for i, j in slices(at, MEMO_BYTES):
                 ids, sizes = p.encode_raw(bytes(raw[int(at[i]) : int(at[j])]), at[i : j + 1] - at[i])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists, pa.array(p.decode_all(ids, sizes), pa.string())], ["doc_id", "ids", "decoded"])
 
-    return df.mapInArrow(work, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return df.mapInArrow(trimmed(work), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
