@@ -7,7 +7,7 @@ decontamination: documents with any benchmark passage go, however long they are.
 pieces: the rest is encoded; one row per document with its ids and what they decode to.
 
 Every stage takes the rows its predecessor kept, and all but the last return the columns of documents.
-Null ids: such rows are never near-duplicates of others. Empty input gives an empty result in every stage.
+Empty input gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from avrospark.llm import decontam, jaccard, langid, pieces, secrets
-from avrospark.llm.common import shared_dir
+from avrospark.llm.common import shared_dir, written
 
 #: No SQL expresses language identification or encoding; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -30,6 +30,10 @@ NO_LANGUAGE = 0.01
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language their text tells, with that language in ``lang``; see above for what goes.
+
+    Null and empty texts have no letters and go; a null label contradicts nothing; a null source has the overall prior; repeated
+    rows are judged each; without any labelled text nothing can be told and all rows go."""
     model = langid.fit(docs)
     told = langid.identify(docs, model, markup=F.col("lang"), host=F.col("source"))
     if not model.languages:
@@ -46,16 +50,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = jaccard.join(docs, size=5, similarity=80)
-    gone = joined.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of near-duplicates stays, the one with the smallest id.
+
+    Repeated and null ids: then rows are told apart by numbers written with them, so that equal rows are duplicates too, texts of
+    one id are judged each, and of rows with one id the first stays; rows without an id come last. Documents without words
+    have no shingles and all stay. An empty table gives no rows."""
+    ids = docs.groupBy("doc_id").count()
+    if not ids.where("count > 1 or doc_id is null").head(1):
+        gone = jaccard.join(docs, size=5, similarity=80).where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")), "pipeline-rows")
+    of = jaccard.join(rows.select("key", "row.text"), id_col="key", size=5, similarity=80)
+    named = rows.select("key", "row.doc_id").join(of.select(F.col("doc_id").alias("key"), "component_id"), "key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("first"))
+    return rows.join(first.select("first.key"), "key", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of a benchmark text, whether that has an id or not. Null and empty texts stay."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), share=None, nameless=True)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with found secrets replaced in ``text`` and ``n_chars`` counted anew where there were any; null texts stay null."""
     found = secrets.scan(docs)
     text = secrets.redacted(F.col("row.text"), F.col("spans"))
     new = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
@@ -64,6 +81,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and decoded of all documents; null and empty texts have no ids and decode to the empty text."""
     return pieces.encode(docs)
 
 
