@@ -65,12 +65,12 @@ CODECS = ("null", "deflate", "bzip2", "xz", "snappy", "zstandard", "lz4")
 def compress(codec: str, data: bytes, level: int | None = None) -> bytes:
     makers = {"null": lambda: data, "deflate": lambda: _deflate(data, level), "bzip2": lambda: bz2.compress(data), "xz": lambda: lzma.compress(data), "snappy": lambda: _snappy(data), "zstandard": lambda: _zstd(data, level), "lz4": lambda: _lz4(data)}
     if codec not in makers:
-        raise ValueError(f"unrecognized codec: {codec}")
+        raise ValueError(f"no codec is called {codec}")
     return makers[codec]()
 
 
 def decompress(codec: str, data: bytes, verify: bool = True) -> bytes:
     makers = {"null": lambda: data, "deflate": lambda: _inflate(data), "bzip2": lambda: bz2.decompress(data), "xz": lambda: lzma.decompress(data), "snappy": lambda: _unsnappy(data, verify), "zstandard": lambda: _unzstd(data), "lz4": lambda: _unlz4(data)}
     if codec not in makers:
-        raise ValueError(f"Unrecognized codec: {codec}")
+        raise ValueError(f"no codec is called {codec}")
     return makers[codec]()

@@ -76,7 +76,7 @@ class Header:
 
 def read_header(f: BinaryIO) -> Header:
     if f.read(4) != MAGIC:
-        raise ValueError("cannot read header - is it an avro file?")
+        raise ValueError("no container file: its first bytes or its header do not fit")
     found: dict[str, bytes] = {}
     while n := _long(f):
         if n < 0:
@@ -86,13 +86,13 @@ def read_header(f: BinaryIO) -> Header:
             found[key] = _bytes(f)
     sync = f.read(SYNC_SIZE)
     if len(sync) < SYNC_SIZE or "avro.schema" not in found:
-        raise ValueError("cannot read header - is it an avro file?")
+        raise ValueError("no container file: its first bytes or its header do not fit")
     return Header(found, sync, f.tell())
 
 
 def header_bytes(schema: AvroSchema, codec: str, sync: bytes, metadata: dict[str, bytes] | None = None) -> bytes:
     if codec not in CODECS:
-        raise ValueError(f"unrecognized codec: {codec}")
+        raise ValueError(f"no codec is called {codec}")
     found = {**{k: v if isinstance(v, bytes) else str(v).encode() for k, v in (metadata or {}).items()}, "avro.codec": codec.encode(), "avro.schema": json.dumps(whole(schema)).encode()}
     body = b"".join(zigzag(len(k.encode())) + k.encode() + zigzag(len(v)) + v for k, v in found.items())
     return MAGIC + zigzag(len(found)) + body + b"\0" + sync
@@ -146,7 +146,7 @@ def blocks(f: BinaryIO, header: Header, start: int = 0, end: int = 1 << 62) -> I
         if len(raw) < length + SYNC_SIZE:
             raise EOFError("the file ends inside a block")
         if raw[length:] != header.sync:
-            raise ValueError("expected sync marker not found")
+            raise ValueError("a block does not end in the sync marker of its file")
         yield Block(at, begins + length + SYNC_SIZE - at, count, begins, length), raw[:length]
         at = begins + length + SYNC_SIZE
 

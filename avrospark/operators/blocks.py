@@ -31,7 +31,7 @@ def read_blocks(spark: SparkSession, path: str, **options: Any) -> DataFrame:
 def transcode(blocks: DataFrame, codec: str, level: int | None = None) -> DataFrame:
     """Blocks recompressed; records are not decoded."""
     if codec not in CODECS:
-        raise ValueError(f"unrecognized codec: {codec}")
+        raise ValueError(f"no codec is called {codec}")
     at, old = blocks.columns.index("data"), blocks.columns.index("codec")
 
     def run(batches):

@@ -132,7 +132,7 @@ class _Resolver:
         if set(w.symbols) <= set(r.symbols):
             return c
         known = F.lit(", ".join(r.symbols))
-        other = F.lit(r.default) if r.default else F.raise_error(F.concat(c, F.lit(f" not found in reader symbol list {r.name}, known symbols: ["), known, F.lit("]"))).cast("string")
+        other = F.lit(r.default) if r.default else F.raise_error(F.concat(c, F.lit(f" is no symbol of the reader's {r.name}, which has ["), known, F.lit("]"))).cast("string")
         return F.when(c.isNull() | c.isin(*r.symbols), c).otherwise(other)
 
     def record(self, c: Column, w: Record, r: Record, depth: int) -> Column:

@@ -62,7 +62,7 @@ def rabin(data: bytes) -> str:
 
 def fingerprint(form: str, algorithm: str) -> str:
     if algorithm not in FINGERPRINTS:
-        raise ValueError(f"Unknown schema fingerprint algorithm {algorithm}. Valid values include: {', '.join(sorted(FINGERPRINTS))}")
+        raise ValueError(f"no fingerprint is called {algorithm}; there are {', '.join(sorted(FINGERPRINTS))}")
     if algorithm == RABIN:
         return rabin(form.encode())
     return hashlib.new(OTHER_NAMES.get(algorithm, algorithm), form.encode()).hexdigest()
