@@ -31,10 +31,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, parts, raw_texts, shared_dir, slices, span_hashes
+from .common import Memo, parts, raw_texts, shared_dir, slices, span_hashes, written
 
 MAGIC, HEAD = b"TPK1", struct.Struct(">4sIQQQQ")
 #: Ids of a block; a multiple of 8, so that blocks are whole bytes at any width.
@@ -43,6 +43,8 @@ BLOCK = 4096
 MEMO_BYTES = 1 << 19
 NULL_ID = -(1 << 63)
 MEMO = 1_000_000
+#: Rows of a manifest that are sent to all tasks: some 16 MB.
+SENT_ROWS = 500_000
 
 
 def width(vocabulary: int) -> int:
@@ -262,22 +264,27 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be sent to all tasks if it has few rows of a few numbers; else the planner decides."""
+    return F.broadcast(df) if rows <= SENT_ROWS else df
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """range, segment, n_docs, n_ids and first (ids before the segment) of each file."""
+    return _manifest(spark, path)[0]
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     number = lambda at: F.conv(F.hex(F.substring("content", at, 8)), 16, 10).cast("long")
     heads = files(spark, path).select(number(9).alias("range"), number(17).alias("segment"), number(25).alias("n_docs"), number(33).alias("n_ids"))
-    from .common import written
-
     heads = written(heads, "packed-manifest")
-    at, before = 0, []
-    for r in heads.groupBy("range").agg(F.sum("n_ids").alias("n")).orderBy("range").collect():  # as many rows as ranges
+    at, count, before = 0, 0, []
+    for r in heads.groupBy("range").agg(F.sum("n_ids").alias("n"), F.count("*").alias("files")).orderBy("range").collect():  # as many rows as ranges
         before.append((r["range"], at))
-        at += r["n"]
-    from pyspark.sql import Window
-
-    ranges = spark.createDataFrame(before, "range long, before long")
+        at, count = at + r["n"], count + r["files"]
+    ranges = _small(spark.createDataFrame(before, "range long, before long"), len(before))
     inside = F.sum("n_ids").over(Window.partitionBy("range").orderBy("segment")) - F.col("n_ids")
-    return heads.withColumn("inside", inside).join(F.broadcast(ranges), "range").select("range", "segment", "n_docs", "n_ids", (F.col("inside") + F.col("before")).alias("first"))
+    return heads.withColumn("inside", inside).join(ranges, "range").select("range", "segment", "n_docs", "n_ids", (F.col("inside") + F.col("before")).alias("first")), count
 
 
 DOCS = pa.schema([("range", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -305,6 +312,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(cols, schema=DOCS)
 
-    first = manifest(spark, path).select("range", "segment", "first")
+    heads, count = _manifest(spark, path)
+    first = _small(heads.select("range", "segment", "first"), count)
     rows = files(spark, path).select("content").mapInArrow(run, "range long, segment long, doc_id long, inside long, n_tokens long, ids binary")
-    return rows.join(F.broadcast(first), ["range", "segment"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    return rows.join(first, ["range", "segment"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids")

@@ -236,7 +236,7 @@ def test_bit_packing_widths():
         packed.Segment(b"nope" * 20)
 
 
-def test_bit_packing_files(spark, docs, rows):
+def test_bit_packing_files(spark, docs, rows, monkeypatch):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(packed.default_tokenizer())
@@ -246,6 +246,10 @@ def test_bit_packing_files(spark, docs, rows):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
         assert (r.doc_id, r.start, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (i, at, len(ids), ids)
         at += len(ids)
+    many = packed.write(docs, segment_ids=500)
+    assert packed.manifest(spark, many).count() > 3
+    monkeypatch.setattr(packed, "SENT_ROWS", 0)  # too many files to be sent to all tasks
+    assert packed.read(spark, many).select("doc_id", "start").orderBy("doc_id").collect() == [(r.doc_id, r.start) for r in got]
     assert packed.read(spark, packed.write(empty(docs))).collect() == []
     twice = packed.read(spark, packed.write(docs.limit(2).union(docs.limit(2)).union(docs.limit(1).select(F.lit(None).cast("long"), *docs.columns[1:])))).collect()
     assert len(twice) == 5 and min(r.start for r in twice) == 0 and [r.start for r in twice if r.doc_id is None] == [0]
