@@ -10,7 +10,6 @@ ever holds a list of the documents of one key.
 
 from __future__ import annotations
 
-import ctypes
 import inspect
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..shared import scratch
 from ..shared import shared_dir as shared_dir
+from ..shared import trim
 
 #: Documents of one block, a power of two: consecutive ids, so that a block's rows mostly share a scan task.
 BLOCK_DOCS = 2048
@@ -34,9 +34,6 @@ BUCKET_BYTES = 16 << 20
 #: Rows of an Arrow batch that are worked on at once, and the bytes of text at which fewer are taken.
 SLICE, SLICE_BYTES = 512, 1 << 19
 
-#: Bytes of a group after which its task gives memory back.
-TRIMMED = 4 << 20
-
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -47,15 +44,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def trim() -> None:
-    """Gives back what a task has freed: workers live on, and would keep it beside the next task's."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def trimmed(run: Callable) -> Callable:
     """``run`` of mapInArrow, or of (co)groups, and then ``trim``."""
     if inspect.isgeneratorfunction(run):
@@ -71,8 +59,7 @@ def trimmed(run: Callable) -> Callable:
         @wraps(run)
         def one(table):
             out = run(table)
-            if table.nbytes > TRIMMED:
-                trim()
+            trim(table.nbytes)
             return out
 
         return one
@@ -80,8 +67,7 @@ def trimmed(run: Callable) -> Callable:
     @wraps(run)
     def two(left, right):
         out = run(left, right)
-        if left.nbytes + right.nbytes > TRIMMED:
-            trim()
+        trim(left.nbytes + right.nbytes)
         return out
 
     return two

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels.codecs import CODECS, compress, decompress
-from ..kernels.container import decode_blocks, header_bytes, new_sync
+from ..kernels.container import decode_some, header_bytes, new_sync
 from ..kernels.decode import Decoder
 from ..kernels.literal import zigzag
 from ..plans.resolve import needed_fields, resolve
@@ -101,8 +101,8 @@ def explode_blocks(blocks: DataFrame, writer_schema: Any, reader_schema: Any = N
     def run(batches):
         decoder = Decoder(parse_schema(text), fields)
         for b in batches:
-            payloads = [decompress(c, d) for c, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            for got in decode_blocks(payloads, b.column(0).to_pylist(), decoder):
+            found = ((n.as_py(), decompress(c.as_py(), d.as_py())) for n, c, d in zip(*b.columns, strict=True))
+            for got in decode_some(found, decoder):
                 yield pa.RecordBatch.from_struct_array(got if pa.types.is_struct(got.type) else pa.StructArray.from_arrays([got], names=["value"]))
 
     df = blocks.select("num_records", "codec", "data").mapInArrow(run, table_type(ws, fields))

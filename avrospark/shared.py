@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
+#: Bytes of input after which memory is given back.
+TRIMMED = 4 << 20
+
+
+def trim(size: int = 1 << 62) -> None:
+    """Gives back what work on ``size`` bytes, or a task, has freed: workers live on, and would keep it beside the next task's."""
+    if size <= TRIMMED:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``, else the checkpoint folder of the context, else one set here for local runs.

@@ -18,11 +18,13 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from ..kernels.codecs import decompress
-from ..kernels.container import SYNC_SIZE, Header, block_bytes, blocks, cut, decode_blocks, header_bytes, new_sync, open_file, read_header
+from ..kernels.container import SYNC_SIZE, Header, block_bytes, blocks, cut, decode_some, header_bytes, new_sync, open_file, read_header
 from ..kernels.decode import Decoder
 from ..kernels.encode import Encoder
+from ..kernels.runs import pieces
 from ..schema.model import AvroSchema, Record, parse_schema
 from ..schema.spark_types import _spark, from_spark_type
+from ..shared import trim
 from . import places
 
 SPLIT_BYTES = 32 << 20
@@ -76,23 +78,14 @@ def decode_ranges(ranges: Ranges, fields: list[str] | None, errors: str, verify:
         with open_file(path) as f:
             header = read_header(f)
             decoder = Decoder(header.schema(lenient), fields, errors)
-
-            def decoded(payloads: list[bytes], counts: list[int], decoder: Decoder = decoder) -> Iterator[pa.RecordBatch]:
-                for got in decode_blocks(payloads, counts, decoder):
-                    got = got if pa.types.is_struct(got.type) else pa.StructArray.from_arrays([got], names=["value"])
-                    whole = pa.RecordBatch.from_struct_array(got)
-                    for i in range(0, whole.num_rows, 65536):
-                        yield whole.slice(i, 65536)
-
-            payloads, counts, size = [], [], 0
-            for block, raw in blocks(f, header, start, end):
-                payloads.append(decompress(header.codec, raw, verify))
-                counts.append(block.count)
-                size += len(payloads[-1])
-                if size >= SPLIT_BYTES:
-                    yield from decoded(payloads, counts)
-                    payloads, counts, size = [], [], 0
-            yield from decoded(payloads, counts)
+            found = ((b.count, decompress(header.codec, raw, verify)) for b, raw in blocks(f, header, start, end))
+            for got in decode_some(found, decoder):
+                got = got if pa.types.is_struct(got.type) else pa.StructArray.from_arrays([got], names=["value"])
+                whole = pa.RecordBatch.from_struct_array(got)
+                for i in range(0, whole.num_rows, 65536):
+                    yield whole.slice(i, 65536)
+                del got, whole
+                trim()
 
 
 def _flag(options: dict, name: str, default: bool) -> bool:
@@ -193,11 +186,13 @@ class _Sink:
                 arr = batch.to_struct_array() if hasattr(batch, "to_struct_array") else pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
                 if not isinstance(schema.get(schema.root), Record):
                     arr = batch.column(0)
-                for count, body in cut(encoder.rows(arr), self.interval):
-                    file.write(block_bytes(count, body, self.codec, sync, self.level))
+                for piece in pieces(arr):
+                    for count, body in cut(encoder.rows(piece), self.interval):
+                        file.write(block_bytes(count, body, self.codec, sync, self.level))
         finally:
             if file is not None:
                 file.close()
+        trim()
         return Written(temporary if file is not None else None)
 
     def sweep(self) -> None:

@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import json
 import struct
+import tracemalloc
 from decimal import Decimal
 
 import numpy as np
@@ -18,6 +19,7 @@ from avrospark.kernels.decode import Decoder, messages
 from avrospark.kernels.encode import Encoder
 from avrospark.schema import parse_schema
 from avrospark.schema.spark_types import arrow_type
+from avrospark.sources.datasource import Ranges, decode_ranges
 
 
 def encoded(schema, values):
@@ -201,3 +203,23 @@ def test_files_that_the_jvm_library_reads_and_writes(spark, tmp_path):
         assert n == 7
         want = pa.array(values, arrow_type(s)).to_pylist()
         assert read(copy.read_bytes()) == want
+
+
+def peak(run):
+    """What ``run`` gives, and the most bytes of numpy and Python that it held."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_range_is_decoded_by_few_blocks_at_once(tmp_path):
+    s, sync, n = parse_schema("string"), b"s" * 16, 2600
+    made = Encoder(s).rows(pa.array([f"{i:0100d}" for i in range(157)]))
+    (count, payload), *more = cut(made)
+    assert not more
+    (tmp_path / "t.avro").write_bytes(header_bytes(s, "null", sync) + block_bytes(count, payload, "null", sync) * n)
+    held, most = peak(lambda: sum(b.num_rows for b in decode_ranges(Ranges([(str(tmp_path / "t.avro"), 0, 1 << 62)]), None, "strict", True, False)))
+    assert held == count * n
+    assert len(payload) * n > 40e6 and most < 40e6
