@@ -17,6 +17,7 @@ from ..plans.resolve import needed_fields, resolve
 from ..schema.load import whole
 from ..schema.model import parse_schema
 from ..schema.spark_types import _spark, arrow_type
+from ..shared import trim
 
 
 @lru_cache(maxsize=64)
@@ -57,6 +58,7 @@ def avro_decode(
 
     def decode(column: pa.Array) -> pa.Array:
         got = messages(column, Decoder(_parsed(text), fields, unicode_errors))
+        trim(column.nbytes)
         return pa.StructArray.from_arrays([got], names=["value"]) if boxed else got
 
     spark_kind = _spark(pa.struct([("value", kind)]) if boxed else kind)
@@ -75,6 +77,8 @@ def avro_encode(col: Column, schema: Any, *, strict: bool = False, strict_allow_
     arrow_type(parse_schema(schema))
 
     def encode(column: pa.Array) -> pa.Array:
-        return Encoder(_parsed(text), strict, strict_allow_default).rows(column).binary()
+        out = Encoder(_parsed(text), strict, strict_allow_default).messages(column)
+        trim(column.nbytes)
+        return out
 
     return arrow_udf(encode, BinaryType())(custom_writer(col, _parsed(text)))

@@ -13,6 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from avrospark.kernels import runs
 from avrospark.kernels.codecs import CODECS, compress, decompress
 from avrospark.kernels.container import block_bytes, blocks, cut, decode_blocks, header_bytes, read_header
 from avrospark.kernels.decode import Decoder, messages
@@ -223,3 +224,30 @@ def test_a_range_is_decoded_by_few_blocks_at_once(tmp_path):
     held, most = peak(lambda: sum(b.num_rows for b in decode_ranges(Ranges([(str(tmp_path / "t.avro"), 0, 1 << 62)]), None, "strict", True, False)))
     assert held == count * n
     assert len(payload) * n > 40e6 and most < 40e6
+
+
+def test_large_batches_of_messages_take_little_more_than_themselves():
+    s = parse_schema({"type": "record", "name": "R", "fields": [{"name": "i", "type": "long"}, {"name": "turns", "type": {"type": "array", "items": {"type": "record", "name": "T", "fields": [{"name": "t", "type": ["null", "string"]}]}}}]})
+    rows = [{"i": i, "turns": [{"t": f"{i} {k}" * 60} if k else {"t": None} for k in range(i % 7)]} for i in range(3000)] * 8
+    arr = pa.array(rows, arrow_type(s))
+    made, most = peak(lambda: Encoder(s).messages(arr))
+    assert made.nbytes > 15e6 and most < 2 * made.nbytes
+    back, most = peak(lambda: messages(made, Decoder(s)))
+    assert back.equals(arr) and most < 2 * made.nbytes
+
+
+@pytest.mark.parametrize("piece", [1, 50, 1 << 10])
+def test_pieces_change_nothing(piece, monkeypatch):
+    item = {"type": "record", "name": "T", "fields": [{"name": "s", "type": ["null", "string"]}, {"name": "f", "type": {"type": "array", "items": "double"}}]}
+    s = parse_schema({"type": "record", "name": "R", "fields": [{"name": "m", "type": {"type": "map", "values": item}}, {"name": "u", "type": ["null", "long", "string"]}, {"name": "d", "type": {"type": "bytes", "logicalType": "decimal", "precision": 9, "scale": 2}}]})
+    kind = arrow_type(s)
+    rows = [{"m": [(f"k{k}", {"s": "x" * (i * k) if k % 3 else None, "f": [0.5] * k}) for k in range(i % 5)], "u": {"tag": ("null", "long", "string")[i % 3], "member0": None, "member1": i if i % 3 == 1 else None, "member2": "y" * i if i % 3 == 2 else None}, "d": Decimal(i - 50) / 100} for i in range(200)]
+    arr = pa.array(rows, kind)
+    want = Encoder(s).rows(arr).binary()
+    monkeypatch.setattr(runs, "PIECE", piece)
+    monkeypatch.setattr(runs, "STEP", 100)
+    monkeypatch.setattr(runs, "LONG", 150)
+    assert Encoder(s).messages(arr).equals(want)
+    assert Encoder(s).messages(arr.slice(7, 90)).equals(want.slice(7, 90))
+    some = pa.array([None if i % 11 == 3 else x for i, x in enumerate(want.to_pylist())], pa.binary())
+    assert messages(some, Decoder(s)).to_pylist() == [None if i % 11 == 3 else x for i, x in enumerate(arr.to_pylist())]
