@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import json
+import lzma
 import struct
 import tracemalloc
 from decimal import Decimal
@@ -226,6 +227,11 @@ def test_a_range_is_decoded_by_few_blocks_at_once(tmp_path):
     assert len(payload) * n > 40e6 and most < 40e6
 
 
+def test_xz_dictionaries_fit_the_block():
+    for data in (b"", b"abc" * 5000):
+        assert lzma.LZMADecompressor(memlimit=1 << 20).decompress(compress("xz", data)) == data
+
+
 def test_large_batches_of_messages_take_little_more_than_themselves():
     s = parse_schema({"type": "record", "name": "R", "fields": [{"name": "i", "type": "long"}, {"name": "turns", "type": {"type": "array", "items": {"type": "record", "name": "T", "fields": [{"name": "t", "type": ["null", "string"]}]}}}]})
     rows = [{"i": i, "turns": [{"t": f"{i} {k}" * 60} if k else {"t": None} for k in range(i % 7)]} for i in range(3000)] * 8
